@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, media, mixing, quality, sharding, topk, toxicity
+from . import bpe, line_dedup, media, mixing, near_dedup, quality, sharding, topk, toxicity
 from .shared import table
 
 
@@ -36,6 +36,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 
@@ -64,7 +68,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies_by_document(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op2_line_dedup, op3_media_columns, op4_bpe, op6_sharding, op7_toxicity, op8_mixing, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_line_dedup, op3_media_columns, op4_bpe, op5_near_dedup, op6_sharding, op7_toxicity, op8_mixing, op10_quality)}
 
 #: The same rows in DuckDB's SQL, for operators that SQL can express.
 ORACLE = {
