@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, media, mixing, near_dedup, quality, sharding, topk, toxicity
+from . import bpe, line_dedup, media, mixing, near_dedup, quality, sharding, suffix_dedup, topk, toxicity
 from .shared import table
 
 
@@ -58,6 +58,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.with_toxicity(docs, toxicity_model(spark, sf_dir)), toxicity.held_out_of(F.col("doc_id"), 3, 1))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.drop_repeated_strings(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(~toxicity.held_out_of(F.col("doc_id"), 5, 0))
@@ -68,7 +73,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies_by_document(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op2_line_dedup, op3_media_columns, op4_bpe, op5_near_dedup, op6_sharding, op7_toxicity, op8_mixing, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_line_dedup, op3_media_columns, op4_bpe, op5_near_dedup, op6_sharding, op7_toxicity, op8_mixing, op9_suffix_dedup, op10_quality)}
 
 #: The same rows in DuckDB's SQL, for operators that SQL can express.
 ORACLE = {
