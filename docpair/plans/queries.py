@@ -1,4 +1,184 @@
 """Queries of the library's operators on the given tables, and their SQL."""
 
-QUERIES = {}
-ORACLE = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import history as H
+from ..operators import pairs as P
+from ..operators import terms as K
+
+STOPS = ", ".join(f"'{w}'" for w in K.STOP_WORDS)
+CONTENT = f"select doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda t: t not in ({STOPS}) and length(t) > 1)) as tok from documents"
+SKILLS = r"""e as (select doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) as tok from documents),
+f as (select * from e where length(tok) >= 9), g as (select tok from f group by tok having count(*) between 3 and 200), k as (select doc_id, tok from f semi join g using (tok))"""
+COSINE = f"""c as ({CONTENT}),
+t as (select doc_id // 2 as pair_id, tok, count(*) filter (doc_id % 2 = 0) as a, count(*) filter (doc_id % 2 = 1) as b from c group by all),
+w as (select pair_id, case when a > 0 then (1 + ln(a)) * i else 0 end as a, case when b > 0 then (1 + ln(b)) * i else 0 end as b
+  from (select *, case when a > 0 and b > 0 then 1.0::double else 1 + ln(1.5) end as i from t)),
+s as (select pair_id, sum(a * b) as ab, sum(a * a) as aa, sum(b * b) as bb from w group by pair_id),
+cosines as (select pair_id, round(case when aa > 0 and bb > 0 then least(1.0, ab / sqrt(aa * bb)) else 0 end, 6) as cosine from s)"""
+MATCH = f"""{SKILLS},
+sides as (select doc_id // 2 as pair_id, tok, max(1 - doc_id % 2) as l, max(doc_id % 2) as r from k group by all),
+m as (select pair_id, sum(l * r)::bigint as matched, sum((1 - l) * r)::bigint as missing, sum(l * (1 - r))::bigint as extra from sides group by pair_id),
+matches as (select *, round(case when matched + missing > 0 then matched::double / (matched + missing) else 0 end, 6) as recall,
+  round(case when matched + extra > 0 then matched::double / (matched + extra) else 0 end, 6) as precision,
+  round(case when 2 * matched + missing + extra > 0 then 2.0::double * matched / (2 * matched + missing + extra) else 0 end, 6) as f1,
+  round(100.0::double * matched / greatest(1, matched + missing), 4) as score from m)"""
+HISTORY = """h as (select event_id as id, ts as created_at, user_id, event_type, round(least(100.0, greatest(0.0, value)), 1) as overall_score from events),
+a as (select *, case when overall_score >= 85 then 'A' when overall_score >= 70 then 'B' when overall_score >= 55 then 'C' when overall_score >= 40 then 'D' else 'F' end as grade from h)"""
+
+QUERIES, ORACLE = {}, {}
+
+
+def query(sql: str, table: str = "documents"):
+    """Registers a function of one table, under its name, with its SQL."""
+
+    def register(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+
+        QUERIES[f.__name__], ORACLE[f.__name__] = run, sql
+        return f
+
+    return register
+
+
+@query(r"""with c as (select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '[ \t\r]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g') as t from documents)
+select doc_id, md5(trim(array_to_string(list_transform(string_split(t, chr(10)), lambda x: trim(x)), chr(10)))) as clean_md5 from c""")
+def clean_text(docs):
+    return docs.select("doc_id", F.md5(T.collapsed(F.col("text"))).alias("clean_md5"))
+
+
+@query(r"""select doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))::bigint as n_lines, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::bigint as n_words,
+length(text)::bigint as n_chars, len(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')))::bigint as n_unique from documents""")
+def text_counts(docs):
+    text = F.col("text")
+    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
+    unique = F.size(F.array_distinct(T.tokens(text)))
+    return docs.select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.regexp_count(text, F.lit(T.SPACED)).cast("long").alias("n_words"), F.char_length(text).cast("long").alias("n_chars"), unique.cast("long").alias("n_unique"))
+
+
+@query(r"""with s as (select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?]) +([\p{Lu}0-9"(])', '\1' || chr(10) || '\2', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') as s from documents)
+select doc_id, len(s)::bigint as n_sentences, coalesce(list_max(list_transform(s, lambda x: length(x))), 0)::bigint as longest from s""")
+def sentence_split(docs):
+    s = docs.select("doc_id", T.sentences(F.col("text")).alias("s"))
+    return s.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.coalesce(F.array_max(F.transform("s", lambda x: F.char_length(x))), F.lit(0)).cast("long").alias("longest"))
+
+
+@query(r"""with c as (select doc_id, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') as e, regexp_extract_all(text, 'https?://[^\s<>()]+') as u, regexp_extract_all(text, '[+]?[0-9][0-9 ().-]{5,}[0-9]') as p from documents)
+select doc_id, array_to_string(list_sort(list_distinct(list_transform(e, lambda x: lower(x)))), ' ') as emails, array_to_string(list_sort(list_distinct(list_transform(u, lambda x: lower(x)))), ' ') as urls,
+len(list_filter(p, lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) between 7 and 15))::bigint as n_phones from c""")
+def contacts(docs):
+    text = F.col("text")
+    digits = lambda x: F.char_length(F.regexp_replace(x, "[^0-9]", "")).between(7, 15)
+    phones = F.filter(F.regexp_extract_all(text, F.lit(T.PHONE), F.lit(0)), digits)
+    return docs.select("doc_id", F.array_join(F.array_sort(T.found(text, T.EMAIL)), " ").alias("emails"), F.array_join(F.array_sort(T.found(text, T.URL)), " ").alias("urls"), F.size(phones).cast("long").alias("n_phones"))
+
+
+@query(f"with c as ({CONTENT}), n as (select tok, count(*) as n_tokens, count(distinct doc_id) as n_docs from c group by tok) select * from n")
+def content_terms(docs):
+    per_doc = K.content_rows(docs).groupBy("tok", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return per_doc.groupBy("tok").agg(F.sum("n").alias("n_tokens"), F.count(F.lit(1)).alias("n_docs"))
+
+
+@query(f"""with l as (select doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda t: t not in ({STOPS}) and length(t) > 1) as ts from documents),
+p as (select doc_id, unnest(ts[:-2]) as a, unnest(ts[2:]) as b from l where len(ts) > 1)
+select doc_id, count(*)::bigint as n_bigrams, count(distinct a || ' ' || b)::bigint as n_distinct from p group by doc_id""")
+def bigrams(docs):
+    return K.bigram_counts(docs)
+
+
+@query(f"""with c as ({CONTENT}), t as (select doc_id, tok, count(*) as tf from c group by all),
+w as (select *, (1 + ln(tf)) / sqrt(sum((1 + ln(tf)) * (1 + ln(tf))) over (partition by doc_id)) as weight, row_number() over (partition by doc_id order by tf desc, tok)::int as rank from t)
+select doc_id, rank, tok, tf, round(weight, 6) as score from w where rank <= 10""")
+def tfidf_terms(docs):
+    return K.top_terms(docs)
+
+
+@query(r"""with w as (select doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+') as ws from documents), x as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) - 1 as pos from w)
+select doc_id, lower(word) as key, arg_min(word, pos) as surface, min(pos)::int as pos from x group by doc_id, lower(word)""")
+def first_surfaces(docs):
+    return K.first_surfaces(docs)
+
+
+@query(f"with {COSINE} select * from cosines")
+def pair_cosine(docs):
+    return P.tfidf_cosine(docs)
+
+
+@query(f"with {MATCH} select * from matches")
+def skill_match(docs):
+    return P.skill_match(docs)
+
+
+@query(f"""with c as ({CONTENT}), t as (select doc_id // 2 as pair_id, tok, count(*) filter (doc_id % 2 = 0) as l, count(*) filter (doc_id % 2 = 1) as tf from c group by all),
+r as (select *, row_number() over (partition by pair_id order by tf desc, tok) as rank from t where tf > 0)
+select pair_id, tok, tf, case when tf >= 4 then 'high' when tf >= 2 then 'medium' else 'low' end as severity from r where rank <= 10 and l = 0""")
+def missing_terms(docs):
+    return P.missing_terms(docs)
+
+
+@query(f"""with {COSINE}, {MATCH},
+z as (select doc_id // 2 as pair_id, min(length(coalesce(text, ''))) as lo, max(length(coalesce(text, ''))) as hi from documents group by all),
+q as (select z.pair_id, round(100 * case when coalesce(cosine, 0) <= 0 then 0 else least(1.0, 1 - exp(-cosine / 0.2)) end, 2) as keyword, round(coalesce(score, 0), 2) as skills,
+  round(case when hi > 0 then 100.0::double * lo / hi else 0 end, 2) as length from z left join cosines using (pair_id) left join matches using (pair_id)),
+o as (select *, round(keyword * 0.4::double + skills * 0.4::double + length * 0.2::double, 1) as overall from q)
+select *, case when overall >= 85 then 'A' when overall >= 70 then 'B' when overall >= 55 then 'C' when overall >= 40 then 'D' else 'F' end as grade from o""")
+def pair_scores(docs):
+    return P.pair_scores(docs)
+
+
+@query("""with p as (select vec_id // 2 as pair_id, vec_id % 2 as side, embedding::double[] as v from embeddings),
+b as (select a.pair_id, a.v as a, b.v as b from p a join p b on a.pair_id = b.pair_id and a.side = 0 and b.side = 1)
+select pair_id, round(greatest(0.0, least(1.0, list_inner_product(a, b) / sqrt(list_inner_product(a, a) * list_inner_product(b, b)))), 6) as cosine from b""", "embeddings")
+def vector_cosine(vectors):
+    return P.vector_cosine(vectors)
+
+
+@query(r"""select page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))) as text_md5 from pages""", "pages")
+def page_text(pages):
+    return pages.select("page_id", F.md5(T.without_tags(F.col("html"))).alias("text_md5"))
+
+
+@query(f"with {HISTORY} select * from a order by created_at desc, id limit 20 offset 40", "events")
+def history_page(events):
+    return H.page(H.analyses(events), 3, 20)
+
+
+@query(f"with {HISTORY} select a.* from a where created_at >= (select max(created_at) from a) - interval 7 days", "events")
+def history_retained(events):
+    return H.retained(H.analyses(events), 7)
+
+
+@query(f"with {HISTORY} select count(*) as n, round(avg(overall_score), 2) as avg_score, max(overall_score) as max_score, min(overall_score) as min_score from a", "events")
+def history_totals(events):
+    return H.totals(H.analyses(events))
+
+
+@query(f"with {HISTORY} select grade, count(*) as n from a group by grade", "events")
+def history_grades(events):
+    return H.by_grade(H.analyses(events))
+
+
+@query(f"with {HISTORY}, c as (select user_id, date_trunc('hour', created_at) as hour, count(*) as n from a group by all) select *, greatest(0, n - 1)::bigint as rejected from c", "events")
+def admissions(events):
+    return H.admissions(H.analyses(events))
+
+
+@query("""with r as (select o_custkey, o_orderdate::date as s, (o_orderdate + interval 60 days)::date as e, o_orderkey from orders),
+m as (select *, max(e) over (partition by o_custkey order by s, e rows between unbounded preceding and 1 preceding) as reach from r),
+i as (select *, sum(case when reach is null or s > reach then 1 else 0 end) over (partition by o_custkey order by s, e rows unbounded preceding) as island from m)
+select o_custkey, min(s)::varchar as first, max(e)::varchar as last, count(*) as parts from i group by o_custkey, island""", "orders")
+def merged_intervals(orders):
+    rows = orders.select("o_custkey", F.to_date("o_orderdate").alias("s"), F.date_add(F.to_date("o_orderdate"), 60).alias("e"))
+    return H.merged_intervals(rows, "o_custkey", "s", "e").select("o_custkey", F.col("first").cast("string").alias("first"), F.col("last").cast("string").alias("last"), "parts")
+
+
+@query("""with t as (select doc_id, string_split(text, chr(10)) as ls from documents), l as (select doc_id, trim(unnest(ls)) as line, generate_subscripts(ls, 1) as pos from t),
+n as (select *, sum(case when length(line) <= 40 and line <> '' then 1 else 0 end) over (partition by doc_id order by pos rows unbounded preceding)::bigint as heading_no from l)
+select doc_id, heading_no, count(*) as n_lines, sum(length(line))::bigint as n_chars from n group by doc_id, heading_no""")
+def sections(docs):
+    return H.sections(docs)
