@@ -91,7 +91,8 @@ class Lexicon:
             self.sets.append(states)
             self.steps.append({})
             exact = max([s for *_, s in states] + [self.word[n][0] for n, e, _ in states if n >= 0 and e == 0 and self.word[n]] + [0.0])
-            near = max([self.word[n][0] for n, e, _ in states if n >= 0 and e and self.word[n] and e <= self.word[n][1]] + [0.0])
+            whole = {n for n, e, _ in states if e == 0}
+            near = max([self.word[n][0] for n, e, _ in states if n >= 0 and n not in whole and self.word[n] and e <= self.word[n][1]] + [0.0])
             self.hits.append((exact, near))
         return self.ids[states]
 
