@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,6 +34,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """Like cut(), as compressed Parquet, for larger tables; also the path, for discarded()."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def discarded(spark: SparkSession, *paths: str) -> None:
+    """Deletes stored tables that nothing will read again."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def freed(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of tables that were cut and of which nothing refers to the plan any more.
+
+    Spark deletes them once the driver has collected its garbage, which by itself it may do only every half hour.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def words_in(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

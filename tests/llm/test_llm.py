@@ -206,7 +206,7 @@ def brute_strings(texts, n=suffix_dedup.LENGTH):
     return out
 
 
-@pytest.mark.parametrize("hot", [512, 2])
+@pytest.mark.parametrize("hot", [4096, 2])
 def test_suffix_dedup(spark, odd, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     got = suffix_dedup.drop_repeated_strings(docs_of(spark, odd)).collect()
