@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
+
 #: Fixed value: the word pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHED = 400_000
@@ -133,6 +135,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
 
     A null or empty text has no ids. path is the vocabulary file, at the same place on every executor.
     """
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("binary")
     def ids_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -145,6 +148,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """Adds decoded (string) to a table with ids; null ids decode to an empty string."""
+    bounded_batches(encoded.sparkSession)
 
     @F.pandas_udf("string")
     def text_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -161,6 +165,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     The ids and the decoded text stay in the worker, so that only digests leave it. Null and empty texts, repeated rows
     and other columns: as in encode().
     """
+    bounded_batches(docs.sparkSession)
 
     def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = loaded(path)

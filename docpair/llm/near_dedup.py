@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import bounded_batches, cut
 
 SHINGLE, BANDS, ROWS, BATCH = 5, 32, 3, 16
 HASHES = BANDS * ROWS
@@ -179,6 +179,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-4, id_c
     component of null ids has a null id); kept tells whether it is the document's own. Repeated rows are linked like any
     equal texts; rows that repeat an id are told apart by their sets. Other columns are left out. An empty table stays so.
     """
+    bounded_batches(docs.sparkSession)
     sets = cut(sets_of(docs, id_col, text_col))
     nodes = cut(sets.where("node is not null").groupBy("node").agg(F.min("doc").alias("low"), F.first("signature").alias("signature")))
     least = prune_below(percent / 100, miss)

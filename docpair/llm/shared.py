@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\x0c\r"
 #: A word, as a regular expression that Java, DuckDB and Python read alike.
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +58,14 @@ def freed(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Has Spark hand Python tasks at most BATCH_BYTES of rows at a time, unless the session sets a limit of its own.
+
+    Spark's default is 10,000 rows, whatever their size. The setting stays in the session, as frames are lazy.
+    """
+    spark.conf.set(BATCH_LIMIT, spark.conf.get(BATCH_LIMIT, BATCH_BYTES))
+
+
 def words_in(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

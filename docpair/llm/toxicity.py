@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
+
 WORDS = re.compile(r"[^\W\d_]+")
 WINDOW = 60
 #: Verbs of reporting and words of address, in the corpus's languages.
@@ -189,6 +191,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, terms: int = 2000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learns from labelled documents. Null labels and documents that labels lacks don't count."""
+    bounded_batches(docs.sparkSession)
     order = F.xxhash64(F.lit(7), F.col(id_col))
     rows = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("__lid"), F.col(label_col).cast("int").alias("y"), (order % 2 == 0).alias("first")).orderBy(order, "y").limit(sample)
     known = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(rows), F.col("__id") == F.col("__lid")).select("t", "y", "first")
@@ -235,6 +238,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, terms: int =
 
 def scored(docs: DataFrame, model: Model, text_col: str, feature_col: str) -> DataFrame:
     """Adds the features of each text; a null text has those of an empty one."""
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("array<double>")
     def found(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
