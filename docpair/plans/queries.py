@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import history as H
 from ..operators import pairs as P
+from ..operators import signals as S
 from ..operators import terms as K
+from ..streaming.admission import admission_counts
 
 STOPS = ", ".join(f"'{w}'" for w in K.STOP_WORDS)
 CONTENT = f"select doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda t: t not in ({STOPS}) and length(t) > 1)) as tok from documents"
@@ -182,3 +184,41 @@ n as (select *, sum(case when length(line) <= 40 and line <> '' then 1 else 0 en
 select doc_id, heading_no, count(*) as n_lines, sum(length(line))::bigint as n_chars from n group by doc_id, heading_no""")
 def sections(docs):
     return H.sections(docs)
+
+
+@query(r"""with f as (select doc_id, trim(regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g')) as t from documents)
+select doc_id, md5(case when length(t) <= 200 then t else rtrim(t[1:199]) || '…' end) as preview_md5 from f""")
+def previews(docs):
+    return docs.select("doc_id", F.md5(S.truncated(F.col("text"))).alias("preview_md5"))
+
+
+@query(rf"""with m as (select doc_id, list_transform(string_split_regex(regexp_replace(lower(text), '[^\p{{L}}\p{{N}} ]+', ' | ', 'g'), ' +'), lambda w: case when w in ({STOPS}) or length(w) <= 1 then '|' else w end) as ws from documents),
+p as (select doc_id, trim(unnest(string_split(array_to_string(ws, ' '), '|'))) as phrase from m), c as (select doc_id, phrase, count(*) as n from p where phrase <> '' group by all),
+w as (select doc_id, phrase, n, len(string_split(phrase, ' ')) as len, unnest(string_split(phrase, ' ')) as w from c),
+s as (select doc_id, phrase, n, sum(len * n) over (partition by doc_id, w)::double / sum(n) over (partition by doc_id, w)::double as s from w),
+t as (select doc_id, phrase, n, round(sum(s) * n, 4) as score from s where length(phrase) between 2 and 40 group by doc_id, phrase, n),
+r as (select *, row_number() over (partition by doc_id order by score desc, phrase)::int as rank from t)
+select doc_id, rank, phrase, n, score from r where rank <= 10""")
+def key_phrases(docs):
+    return S.key_phrases(docs)
+
+
+@query(r"""with d as (select doc_id, coalesce(text, '') as t from documents),
+c as (select doc_id, (length(t) >= 50)::int as extractable, (len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) > 0)::int as contact,
+  (len(list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '' and length(trim(x)) <= 40)) >= 3)::int as headings,
+  (len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) between 250 and 1500)::int as length, (len(regexp_extract_all(t, '[^\x00-\x7F]')) <= 12)::int as charset from d)
+select *, round(100.0::double * (3 * extractable + 2 * contact + 2 * headings + length + charset) / 9, 1) as score from c""")
+def document_checks(docs):
+    return S.checks(docs)
+
+
+@query(f"""with c as ({CONTENT}), t as (select doc_id // 2 as pair_id, tok, count(*) filter (doc_id % 2 = 0) as l, count(*) filter (doc_id % 2 = 1) as tf from c group by all),
+r as (select *, row_number() over (partition by pair_id order by tf desc, tok) as rank from t where tf > 0)
+select pair_id, count(*) as considered, count(*) filter (l > 0) as found, round(count(*) filter (l > 0)::double / count(*), 6) as coverage from r where rank <= 25 group by pair_id""")
+def pair_coverage(docs):
+    return S.coverage(docs)
+
+
+@query("""select user_id, time_bucket(interval 1 hour, ts) as start, count(*) as n, greatest(0, count(*) - 1)::bigint as rejected from events group by all""", "events")
+def admission_windows(events):
+    return admission_counts(events, 1, "1 hour").withColumn("start", F.col("start").cast("timestamp_ntz"))
