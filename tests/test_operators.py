@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from docpair.functions import text as T
-from docpair.operators import history, pairs
+from docpair.operators import history, pairs, signals
 
 
 def test_text_functions(spark):
@@ -25,3 +25,12 @@ def test_equal_pair_has_cosine_one(spark):
 def test_page_past_the_end_is_empty(spark):
     rows = spark.createDataFrame([(1, 5), (2, 6)], "id long, created_at int")
     assert history.page(rows, 3, 10).count() == 0
+
+
+def test_signals_of_null_and_empty_texts(spark):
+    docs = spark.createDataFrame([(0, None), (1, ""), (2, "red fox, the red fox and a dog"), (3, "red dog")], "doc_id long, text string")
+    assert [r[0] for r in docs.orderBy("doc_id").select(signals.truncated(F.col("text"), 5)).collect()] == [None, "", "red…", "red…"]
+    got = {(r["doc_id"], r["phrase"]): (r["n"], r["score"]) for r in signals.key_phrases(docs).collect()}
+    assert got == {(2, "red fox"): (2, 8.0), (2, "dog"): (1, 1.0), (3, "red dog"): (1, 4.0)}
+    assert {r["doc_id"]: r["score"] for r in signals.checks(docs).collect()} == dict.fromkeys(range(4), 11.1)
+    assert [tuple(r) for r in signals.coverage(docs).collect()] == [(1, 2, 2, 1.0)]
