@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,13 @@ PHONE = r"[+]?[0-9][0-9 ().-]{5,}[0-9]"
 TOKEN = r"[\p{L}\p{N}]+"
 SPACED = r"[^\x20\x09-\x0D]+"
 
+#: Typographic signs and what stands for them in plain text.
+TYPOGRAPHIC = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "•": "-", "\u00a0": " "}
+#: Words that titles keep small.
+SMALL_WORDS = "a an and at by for in of on or the to with".split()
+#: Sums of money, shares, and numbers of something.
+QUANTITY = r"[$€£] ?[0-9][0-9.,]*|[0-9]+(?:\.[0-9]+)? ?%|[0-9]+[+]? (?:years|months|days|users|times)"
+
 
 def collapsed(text: Column) -> Column:
     """Without control characters; runs of blanks are one blank, three newlines or more are two, lines are trimmed."""
@@ -19,6 +28,46 @@ def collapsed(text: Column) -> Column:
     return F.trim(F.array_join(F.transform(F.split(clean, "\n"), lambda x: F.trim(x)), "\n"))
 
 
+def plain(text: Column) -> Column:
+    """Latin letters without accents, typographic signs as ASCII; other characters stay."""
+    parts = {c: unicodedata.normalize("NFD", c) for c in map(chr, range(0xC0, 0x180))}
+    bare = {c: d[0] for c, d in parts.items() if len(d) > 1 and d[0].isascii()} | TYPOGRAPHIC
+    return F.translate(text, "".join(bare), "".join(bare.values()))
+
+
+def repaired(text: Column) -> Column:
+    """Words broken at line ends joined, no blanks before marks, zeros within words as o."""
+    joined = F.regexp_replace(text, r"(\p{Ll})-\n(\p{Ll})", "$1$2")
+    return F.regexp_replace(F.regexp_replace(joined, r" +([,.;:!?])", "$1"), r"(\p{Ll})0(\p{Ll})", "$1o$2")
+
+
+def cleaned(text: Column) -> Column:
+    """All cleaning steps: plain letters, repaired words, signs other than usual punctuation as blanks, blanks collapsed."""
+    return collapsed(F.regexp_replace(repaired(plain(text)), r"[^\p{L}\p{N}\x20\x09-\x0D.,;:!?'\"()@%$+#/&_-]", " "))
+
+
+def titled(text: Column) -> Column:
+    """Words with a first capital but for small ones behind the first; words with capitals inside stay as they are; ß has no capital."""
+    words = F.split(text, " ")
+    big = lambda w: F.when(w.startswith("ß"), F.lower(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 30))))
+    return F.array_join(F.transform(words, lambda w, i: F.when(w.rlike(r"^.+\p{Lu}"), w).when((i > 0) & F.lower(w).isin(SMALL_WORDS), F.lower(w)).otherwise(big(w))), " ")
+
+
+def lemma(word: Column) -> Column:
+    """A lower-case word without endings of number and tense."""
+    w = F.lower(word)
+    rules = ((r"^.{2,}ies$", r"ies$", "y"), (r"^.{4,}ing$", r"ing$", ""), (r"^.{4,}ed$", r"ed$", ""), (r"^.{2,}[^su]s$", r"s$", ""))
+    out = w
+    for test, ending, new in reversed(rules):
+        out = F.when(w.rlike(test), F.regexp_replace(w, ending, new)).otherwise(out)
+    return out
+
+
+def valid_term(term: Column) -> Column:
+    """Whether a term may be shown: at most 48 characters and 5 words, with a letter, no code of digits."""
+    return (F.char_length(term) <= 48) & term.rlike(r"\p{L}") & ~term.rlike(r"^[A-Za-z]?[0-9]+[a-z]?$") & (F.size(F.split(term, " ")) <= 5)
+
+
 def tokens(text: Column) -> Column:
     """Lower-case words of letters and digits, in order."""
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))

@@ -58,3 +58,30 @@ def sections(docs: DataFrame, most_chars: int = 40) -> DataFrame:
     so_far = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     numbered = lines.withColumn("heading_no", F.sum(head.cast("int")).over(so_far))
     return numbered.groupBy("doc_id", "heading_no").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.char_length("line")).alias("n_chars"))
+
+
+def lookup(history: DataFrame, key: object, column: str = "id") -> DataFrame:
+    """The row of a key; empty if there is none."""
+    return history.where(F.col(column) == F.lit(key))
+
+
+def projected(history: DataFrame, column: str, shape: str, most: int = 6) -> DataFrame:
+    """Fields of a JSON column in its place; lists keep their first entries. Broken JSON gives nulls."""
+    fields = history.withColumn("__j", F.from_json(column, shape))
+    cut = [F.slice(f"__j.{f.name}", 1, most).alias(f.name) if f.dataType.typeName() == "array" else F.col(f"__j.{f.name}") for f in fields.schema["__j"].dataType.fields]
+    return fields.select(*[c for c in history.columns if c != column], *cut)
+
+
+def top_values(history: DataFrame, values: str, k: int = 8) -> DataFrame:
+    """value, n: the k most frequent non-empty entries of a list column, ties by value."""
+    rows = history.select(F.explode(values).alias("value")).select(F.trim("value").alias("value")).where("value <> ''")
+    return rows.groupBy("value").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "value").limit(k)
+
+
+def score_ranks(history: DataFrame, key: str = "user_id") -> DataFrame:
+    """id, percentile: the share of a key's rows with a lower score, in percent; a key's rows are first counted by score."""
+    counts = history.groupBy(key, "overall_score").agg(F.count(F.lit(1)).alias("n"))
+    below = F.sum("n").over(Window.partitionBy(key).orderBy("overall_score").rowsBetween(Window.unboundedPreceding, -1))
+    of_all = F.sum("n").over(Window.partitionBy(key))
+    ranks = counts.select(key, "overall_score", F.round(100.0 * F.coalesce(below, F.lit(0)) / of_all, 2).alias("percentile"))
+    return history.join(ranks, [key, "overall_score"]).select("id", "percentile")

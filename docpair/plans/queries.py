@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import history as H
+from ..operators import language as L
 from ..operators import pairs as P
+from ..operators import ranking as R
+from ..operators import report
 from ..operators import signals as S
 from ..operators import terms as K
+from ..sources import files
 from ..streaming.admission import admission_counts
 
 STOPS = ", ".join(f"'{w}'" for w in K.STOP_WORDS)
@@ -222,3 +226,180 @@ def pair_coverage(docs):
 @query("""select user_id, time_bucket(interval 1 hour, ts) as start, count(*) as n, greatest(0, count(*) - 1)::bigint as rejected from events group by all""", "events")
 def admission_windows(events):
     return admission_counts(events, 1, "1 hour").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+FLAT = """array_to_string(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace({}, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), '[ \\t\\r]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), chr(10)), lambda x: trim(x)), chr(10))"""
+TAGS = rf"""w as (select doc_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+') as ws from documents), x as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as pos from w),
+tags as (select doc_id, pos, word, lower(word) as low, case when low in ({STOPS}) then 'FUNC' when regexp_matches(word, '^[0-9]') then 'NUM' when regexp_matches(low, 'ly$') then 'ADV'
+  when regexp_matches(low, '(ing|ed|ize|ise)$') then 'VERB' when regexp_matches(low, '(ous|ful|able|ible|ive|al)$') then 'ADJ' when regexp_matches(word, '^\p{{Lu}}') then 'PROPN' else 'NOUN' end as tag,
+  case when regexp_matches(low, '^.{{2,}}ies$') then regexp_replace(low, 'ies$', 'y') when regexp_matches(low, '^.{{4,}}ing$') then regexp_replace(low, 'ing$', '')
+  when regexp_matches(low, '^.{{4,}}ed$') then regexp_replace(low, 'ed$', '') when regexp_matches(low, '^.{{2,}}[^su]s$') then regexp_replace(low, 's$', '') else low end as lemma from x)"""
+PHRASES = ORACLE["key_phrases"].removeprefix("with ").rsplit("\n", 1)[0]
+KEYWORDS = f"""{PHRASES}, ps as (select doc_id, phrase as term, score from r where rank <= 10),
+ts as ({ORACLE["tfidf_terms"].replace("rank, tok, tf, round(weight, 6) as score", "tok as term, round(weight, 6) as score")}),
+parts as (select doc_id, term, round(score / max(score) over (partition by doc_id) * 0.5::double + 1e-9, 6) as score, 'terms' as method from ts union all
+  select doc_id, term, round(score / max(score) over (partition by doc_id) * 0.3::double + 1e-9, 6), 'phrases' from ps),
+ks as (select doc_id, term, round(sum(score), 6) as score, string_agg(method, '+' order by method) as methods from parts group by doc_id, term
+  having length(term) <= 48 and regexp_matches(term, '\\p{{L}}') and not regexp_matches(term, '^[A-Za-z]?[0-9]+[a-z]?$') and len(string_split(term, ' ')) <= 5)"""
+
+
+@query(r"""with p as (select doc_id, strip_accents(translate(text, '‘’“”–—•' || chr(160), '''''""--- ')) as t from documents),
+o as (select doc_id, regexp_replace(regexp_replace(regexp_replace(t, '(\p{Ll})-\n(\p{Ll})', '\1\2', 'g'), ' +([,.;:!?])', '\1', 'g'), '(\p{Ll})0(\p{Ll})', '\1o\2', 'g') as t from p),
+c as (select doc_id, regexp_replace(t, '[^\p{L}\p{N}\x20\x09-\x0D.,;:!?''"()@%$+#/&_-]', ' ', 'g') as t from o)
+select doc_id, md5(trim(""" + FLAT.format("t") + ")) as text_md5 from c")
+def cleaned_text(docs):
+    return docs.select("doc_id", F.md5(T.cleaned(F.col("text"))).alias("text_md5"))
+
+
+@query(r"""with f as (select doc_id, string_split(string_split(text, chr(10))[1], ' ') as ws from documents)
+select doc_id, md5(array_to_string(list_transform(ws, lambda w, i: case when regexp_matches(w, '^.+\p{Lu}') then w when i > 1 and lower(w) in ('a', 'an', 'and', 'at', 'by', 'for', 'in', 'of', 'on', 'or', 'the', 'to', 'with') then lower(w)
+  when w[1:1] = 'ß' then lower(w) else upper(w[1:1]) || lower(w[2:]) end), ' ')) as title_md5 from f""")
+def titles(docs):
+    return docs.select("doc_id", F.md5(T.titled(F.split("text", "\n")[0])).alias("title_md5"))
+
+
+@query(r"select doc_id, len(regexp_extract_all(text, '[$€£] ?[0-9][0-9.,]*|[0-9]+(?:\.[0-9]+)? ?%|[0-9]+[+]? (?:years|months|days|users|times)'))::bigint as n from documents")
+def quantities(docs):
+    return docs.select("doc_id", F.regexp_count("text", F.lit(T.QUANTITY)).cast("long").alias("n"))
+
+
+@query(f"with {TAGS} select doc_id, tag, count(*) as n from tags group by all")
+def tag_counts(docs):
+    return L.tag_counts(docs)
+
+
+@query(f"""with {TAGS}, s as (select doc_id, lemma, round(sum(case tag when 'PROPN' then 1.0 when 'NOUN' then 0.9 when 'ADJ' then 0.5 when 'VERB' then 0.4 when 'ADV' then 0.2 else 0 end::double), 4) as weight from tags group by all),
+r as (select *, row_number() over (partition by doc_id order by weight desc, lemma)::int as rank from s where weight > 0) select * from r where rank <= 10""")
+def weighted_lemmas(docs):
+    return L.weighted_lemmas(docs)
+
+
+@query(f"""with {TAGS}, i as (select *, sum((tag not in ('ADJ', 'NOUN', 'PROPN'))::int) over (partition by doc_id order by pos rows unbounded preceding) as island from tags),
+n as (select *, (row_number() over (partition by doc_id, island order by pos) - 1) // 6 as piece from i where tag in ('ADJ', 'NOUN', 'PROPN')),
+g as (select doc_id, string_agg(low, ' ' order by pos) as chunk from n group by doc_id, island, piece having count(*) >= 2) select doc_id, chunk, count(*) as n from g group by all""")
+def noun_chunks(docs):
+    return L.noun_chunks(docs)
+
+
+@query("with m as (" + " union all ".join(f"select doc_id, '{n}' as label, regexp_extract_all(text, '{p}') as ks from documents" for n, p in L.NAMED.items()) + """),
+x as (select doc_id, label, lower(unnest(ks)) as key, generate_subscripts(ks, 1) - 1 as pos from m) select doc_id, label, key, min(pos)::int as first, count(*) as n from x group by all""")
+def named_things(docs):
+    return L.named(docs)
+
+
+@query(r"""with l as (select doc_id, list_transform(string_split(text, chr(10)), lambda x: trim(x)) as ls from documents where text is not null)
+select doc_id, len(list_filter(ls, lambda x: regexp_matches(x, '(?i)^page [0-9]+( of [0-9]+)?$')))::bigint as n_noise, len(list_filter(ls, lambda x: length(x) <= 60 and length(regexp_replace(x, '[^\p{L}]', '', 'g')) > 0
+  and 10 * length(regexp_replace(x, '[^\p{Lu}]', '', 'g')) >= 8 * length(regexp_replace(x, '[^\p{L}]', '', 'g'))))::bigint as n_headings, len(list_filter(ls, lambda x: regexp_matches(x, '^[-*•] ')))::bigint as n_bullets from l""")
+def line_kinds(docs):
+    return L.line_kinds(docs)
+
+
+@query(r"""with t as (select doc_id, string_split(text, chr(10)) as ls from documents), l as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as pos from t),
+m as (select *, case when regexp_matches(line, '(?i)licen[sc]e|copyright') then 'legal' when regexp_matches(line, '@') then 'contact' when regexp_matches(line, '[0-9]') then 'figures' end as mark from l),
+f as (select *, last_value(mark ignore nulls) over (partition by doc_id order by pos rows unbounded preceding) as block from m) select doc_id, block, count(*) as n_lines, sum(length(line))::bigint as n_chars from f group by all""")
+def marked_blocks(docs):
+    return L.marked_blocks(docs, {"legal": "(?i)licen[sc]e|copyright", "contact": "@", "figures": "[0-9]"})
+
+
+@query(r"""with t as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as ts from documents),
+g as (select doc_id, n, unnest(range(1, len(ts) - n + 2)) as pos, array_to_string(ts[pos:pos + n - 1], ' ') as surface from t, (values (2), (3)) v(n)),
+d as (select surface from g group by surface having count(distinct doc_id) between 3 and 20),
+l as (select doc_id, list({'s': pos::bigint, 'n': n::bigint, 'c': 0::bigint} order by pos, n desc) as hs from g semi join d using (surface) group by doc_id),
+e as (select doc_id, list_reduce(hs, lambda a, x: case when x.s >= a.s then {'s': x.s + x.n, 'n': a.n + 1, 'c': a.c + x.n} else a end, {'s': 0::bigint, 'n': 0::bigint, 'c': 0::bigint}) as z from l)
+select doc_id, z.n as n_matches, z.c as n_tokens from e""")
+def longest_matches(docs):
+    surfaces = L.ngrams(docs).select("doc_id", "surface").distinct().groupBy("surface").agg(F.count(F.lit(1)).alias("n")).where("n between 3 and 20").select("surface")
+    return L.longest_matches(docs, surfaces).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_matches"), F.sum("n").alias("n_tokens"))
+
+
+@query(f"with {KEYWORDS} select * from ks")
+def keywords(docs):
+    return R.keywords(docs)
+
+
+@query(f"""with {KEYWORDS}, l as (select doc_id, string_split(term, ' ') as ws, score from ks where term like '% %'), i as (select doc_id, unnest(ws) as part from l),
+a as (select doc_id, ws, score, unnest(range(2, len(ws))) as k from l), o as (select doc_id, array_to_string(ws[1:k], ' ') as part, score from a union all select doc_id, array_to_string(ws[len(ws) - k + 1:], ' '), score from a)
+select * from ks where not exists (select 1 from i where i.doc_id = ks.doc_id and part = term and term not like '% %') and not exists (select 1 from o where o.doc_id = ks.doc_id and part = term and o.score >= ks.score)""")
+def distinct_keywords(docs):
+    return R.without_redundant(R.keywords(docs))
+
+
+@query(f"""with c as ({CONTENT}), t as (select doc_id, tok, count(*) as tf from c group by all), r as (select *, row_number() over (partition by doc_id order by tf desc, tok) as rank from t),
+s as (select doc_id, (sum(tf) filter (rank <= 10))::bigint as covered, sum(tf)::bigint as n from r group by doc_id)
+select *, round(covered::double / n, 6) as density, case when density < 0.05 then 'under' when density > 0.6 then 'over' else 'fit' end as band from s""")
+def keyword_density(docs):
+    return R.density(docs)
+
+
+@query(f"""with {COSINE}, v as ({ORACLE["pair_coverage"]})
+select pair_id, round(100 * (0.45::double * case when cosine <= 0 then 0 else least(1.0, 1 - exp(-cosine / 0.2)) end + 0.55::double * coalesce(coverage, 0)), 2) as keyword from cosines left join v using (pair_id)""")
+def keyword_scores(docs):
+    return R.keyword_scores(docs)
+
+
+@query(f"""with {SKILLS}, s as (select doc_id // 2 as pair_id, tok, bool_or(doc_id % 2 = 0) as l, bool_or(doc_id % 2 = 1) as r from k group by all)
+select pair_id, coalesce(string_agg(tok, ' ' order by tok) filter (l and r), '') as matched, coalesce(string_agg(tok, ' ' order by tok) filter (not l), '') as missing, coalesce(string_agg(tok, ' ' order by tok) filter (not r), '') as extra from s group by pair_id""")
+def skill_lists(docs):
+    lists = report.skill_lists(docs)
+    return lists.select("pair_id", *[F.array_join(c, " ").alias(c) for c in ("matched", "missing", "extra")])
+
+
+@query(f"""with {SKILLS}, c as ({CONTENT}), m as (select doc_id // 2 as pair_id, tok, count(*) as mentions from c where doc_id % 2 = 1 group by all),
+s as (select doc_id // 2 as pair_id, tok from k group by all having not bool_or(doc_id % 2 = 0)),
+r as (select *, row_number() over (partition by pair_id order by mentions desc, tok)::int as rank from s join m using (pair_id, tok))
+select pair_id, tok, mentions, rank, case when mentions >= 3 then 'high' when mentions = 2 then 'medium' else 'low' end as severity from r where rank <= 12""")
+def missing_skills(docs):
+    return report.missing_skills(docs)
+
+
+@query("with checks as (" + ORACLE["document_checks"] + "), a as (" + " union all ".join(
+    f"select doc_id, '{c}' as category, {p} as priority, {i}::double as impact, '{m}' as message from checks where {k} = 0" for k, (c, p, i, m) in report.ADVICE.items()
+) + """), r as (select *, row_number() over (partition by doc_id order by priority, impact desc, message)::int as rank from a) select doc_id, rank, category, message from r where rank <= 3""")
+def recommendations(docs):
+    return report.recommendations(docs)
+
+
+@query(r"""with a as (select p_brand as canonical, p_type as alias, min(p_partkey) as ord from part group by all), n as (select lower(canonical) as alias, canonical, 0 as kind, ord from a union all select lower(alias), canonical, 1, ord from a),
+m as (select alias, arg_min(canonical, (kind, ord, canonical)) as canonical from n group by alias) select distinct p_size, coalesce(canonical, p_type) as tok from part left join m on lower(p_type) = alias""", "part")
+def canonical_terms(part):
+    names = report.canonical_names(part.groupBy(F.col("p_brand").alias("canonical"), F.col("p_type").alias("alias")).agg(F.min("p_partkey").alias("ord")))
+    return report.canonicalized(part.select("p_size", F.col("p_type").alias("tok")), names)
+
+
+@query(r"""with f as (select doc_id, case doc_id % 4 when 0 then 'txt' when 1 then 'pdf' when 2 then 'exe' else '' end as kind, octet_length(encode(text)) as length from documents)
+select doc_id, kind, case when length = 0 then 'empty' when kind = 'exe' then 'kind' when length > 4096 then 'size' when kind = 'pdf' then 'signature' end as problem from f""")
+def file_checks(docs):
+    ending = F.element_at(F.array(*map(F.lit, (".txt", ".PDF", ".exe", ""))), (F.col("doc_id") % 4 + 1).cast("int"))
+    rows = docs.select("doc_id", F.concat(F.lit("text"), ending).alias("name"), F.encode("text", "UTF-8").alias("content"), F.octet_length("text").alias("length"))
+    return files.checked(rows, 4096).select("doc_id", "kind", "problem")
+
+
+@query("select event_id as id, ts as created_at, user_id, (props::json->>'k')::bigint as k from events where event_id = 17", "events")
+def history_lookup(events):
+    rows = events.select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"), "user_id", "props")
+    return H.projected(H.lookup(rows, 17), "props", "k long")
+
+
+@query("select event_type || ' ' || (props::json->>'k') as value, count(*) as n from events group by all order by n desc, value limit 8", "events")
+def history_top_values(events):
+    values = F.array(F.concat_ws(" ", "event_type", F.get_json_object("props", "$.k")))
+    return H.top_values(events.select(values.alias("values")), "values")
+
+
+@query(f"with {HISTORY} select id, round(100.0::double * (rank() over (partition by user_id order by overall_score) - 1) / count(*) over (partition by user_id), 2) as percentile from a", "events")
+def score_ranks(events):
+    return H.score_ranks(H.analyses(events))
+
+
+@query("")
+def text_chunks(docs):
+    return L.chunks(docs)
+
+
+@query("")
+def graph_ranks(docs):
+    return R.graph_ranks(docs)
+
+
+#: Neither has SQL; the tests hold them against brute force.
+ORACLE = {name: sql for name, sql in ORACLE.items() if sql}

@@ -5,7 +5,7 @@ from conftest import SF
 from docpair.plans.queries import ORACLE, QUERIES
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", ORACLE)
 def test_matches_sql(spark, name):
     assert_same(spark, SF, QUERIES[name], ORACLE[name])
 
