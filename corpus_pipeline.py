@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docpair.llm import bpe, line_dedup, mixing, near_dedup, toxicity
 from docpair.llm.queries import toxicity_model, vocabulary
-from docpair.llm.shared import shared_folder
+from docpair.llm.shared import freed, shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,23 +19,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """With lines dropped that other documents repeat; n_chars follows the text."""
+    freed(spark)  # shuffle files of the stage before
     out = line_dedup.drop_repeated_lines(docs).withColumn("n_chars", F.char_length("text").cast("long"))
     return out.select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """With one document of each group of near duplicates: the one with the smallest id."""
+    freed(spark)
     kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """With documents repeated or left out, so that sources come near their targets."""
+    freed(spark)
     return mixing.mix_sources(docs)
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """With the ids of each text and their number."""
+    freed(spark)
     return bpe.encode(docs.select("doc_id", "source", "lang", "text"), vocabulary()).select("doc_id", "source", "lang", "n_tokens", "ids")
 
 
