@@ -34,8 +34,8 @@ def quantised(vector: Column, scale: int = 256) -> Column:
     return F.when(vector.isNotNull() & finite, F.transform(vector, lambda x: F.floor(x.cast("double") * scale)))
 
 
-def _packed(rows: DataFrame, block_rows: int) -> DataFrame:
-    """Rows (vec_id, v) in blocks: block int, ids and numbers as bytes of int64, width int."""
+def _packed(rows: DataFrame, block_rows: int) -> tuple[DataFrame, int]:
+    """Rows (vec_id, v) in blocks: block int, ids and numbers as bytes of int64, width int; and the blocks' number, of which some may lack rows."""
     n_blocks = max(1, -(-rows.count() // block_rows))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -46,7 +46,7 @@ def _packed(rows: DataFrame, block_rows: int) -> DataFrame:
         return pd.DataFrame({"block": pdf["block"].iloc[:1], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "numbers": [numbers.tobytes()], "width": [width]})
 
     dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_blocks)).cast("int"))
-    return dealt.groupBy("block").applyInPandas(pack, "block int, ids binary, numbers binary, width int")
+    return dealt.groupBy("block").applyInPandas(pack, "block int, ids binary, numbers binary, width int"), n_blocks
 
 
 def _unpacked(row) -> tuple[np.ndarray, np.ndarray]:
@@ -115,19 +115,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
     Repeated rows are rows of their own. Scores beyond a long are set to the nearest long. Other columns are left out.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), quantised(F.col(vector_col), scale).alias("v"), is_query.alias("is_query")).where("vec_id is not null and v is not null")
-    queries = cut(_packed(rows.where("is_query").drop("is_query"), QUERY_BLOCK))
-    blocks = cut(_packed(rows.drop("is_query"), ROW_BLOCK))
-    query_blocks, row_blocks = queries.count(), blocks.count()
+    queries, query_blocks = _packed(rows.where("is_query").drop("is_query"), QUERY_BLOCK)
+    blocks, row_blocks = _packed(rows.drop("is_query"), ROW_BLOCK)
+    queries, blocks = cut(queries), cut(blocks)
     found = "query_block int, place int, query_id long, vec_id long, score long"
 
     def meet(left: DataFrame, cutoffs: bool) -> DataFrame:
-        left = left.withColumn("row_block", F.explode(F.sequence(F.lit(0), F.lit(max(row_blocks - 1, 0))))) if row_blocks else left.withColumn("row_block", F.lit(0))
-        right = blocks.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(max(query_blocks - 1, 0))))).withColumnRenamed("block", "row_block")
+        left = left.withColumn("row_block", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
+        right = blocks.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).withColumnRenamed("block", "row_block")
         left = left.withColumnRenamed("block", "query_block")
         return left.groupBy("query_block", "row_block").cogroup(right.groupBy("query_block", "row_block")).applyInPandas(_search(k, cutoffs), found)
 
-    queries = queries.withColumn("block", F.dense_rank().over(Window.orderBy("block")) - 1) if query_blocks else queries
-    blocks = blocks.withColumn("block", F.dense_rank().over(Window.orderBy("block")) - 1) if row_blocks else blocks
     best = Window.partitionBy("query_block", "place").orderBy(F.col("score").desc(), "vec_id")
     kth = meet(queries, False).withColumn("n", F.row_number().over(best)).where(F.col("n") == k)
     kth = kth.groupBy("query_block").agg(F.collect_list("place").alias("places"), F.collect_list("score").alias("cutoffs"))
