@@ -1,10 +1,11 @@
 """Toxicity by a lexicon, with misspellings, and context windows.
 
 The lexicon is learned: words and word beginnings of labelled documents, by their log odds between toxic and other
-documents. It is a trie, walked by a Levenshtein automaton: the product of both is made deterministic step by step, so
-a word costs a dictionary look-up for each letter until no term is within reach. A hit's context window tells quotation
-(quotation marks around it, verbs of reporting near it) from abuse (words of address near it). A logistic regression
-on the hits of each kind gives the score.
+documents. A beginning is kept only if it finds more toxic documents than the sum over its words. It is a trie, walked
+by a Levenshtein automaton: the product of both is made deterministic step by step, so a word costs a dictionary
+look-up for each letter until no term is within reach. A hit's context window tells quotation (quotation marks around
+it, verbs of reporting near it) from abuse (words of address near it). A logistic regression on the hits of each kind
+gives the score.
 
 What is learned comes from at most `sample` labelled rows, taken in the order of a hash of their ids; half of them give
 the lexicon, half the regression. Both are small, whatever the corpus: at most `terms` terms and a weight per feature.
@@ -25,6 +26,11 @@ from pyspark.sql import functions as F
 from .shared import bounded_batches
 
 WORDS = re.compile(r"[^\W\d_]+")
+#: Digits and signs that stand for letters inside a word.
+SIGNS, LETTERS = "013457@$!", "oieastasi"
+SIGN = re.compile(rf"[{SIGNS}]+(?=[^\W\d_])")
+DISGUISED = re.compile(rf"(?<![^\W\d_])[^\W\d_]++(?:[{SIGNS}]++[^\W\d_]++)+")
+READ = str.maketrans(SIGNS, LETTERS)
 WINDOW = 60
 #: Verbs of reporting and words of address, in the corpus's languages.
 REPORTING = frozenset("said says say wrote writes called calls quoted quote quotes word words term dit disait écrit mot sagte sagt schrieb wort nannte dijo dice escribió palabra".split())
@@ -41,26 +47,30 @@ def held_out_of(id_col: Column, mod: int, rest: int) -> Column:
 class Lexicon:
     """Terms (text, whether any ending may follow, weight) in a trie, with a lazily built automaton.
 
-    The first letter must match. Words of 5 letters and more may differ by one edit, of 9 and more by two; beginnings
-    must match exactly.
+    Words of 5 letters and more may differ by one edit, of 9 and more by two, at any letter; with `swaps`, exchanging
+    two adjacent letters is one edit. Beginnings must match exactly.
     """
 
-    def __init__(self, terms: list[tuple[str, bool, float]]):
+    def __init__(self, terms: list[tuple[str, bool, float]], swaps: bool = False):
+        self.swaps = swaps
         self.children: list[dict[str, int]] = [{}]
+        self.before = [""]  # the letter that leads to a node's parent
         self.word: list[tuple[float, int] | None] = [None]
         self.stem: list[float] = [0.0]
         self.reach = [0]  # edits that some term below a node allows
         for text, open_end, weight in terms:
             edits = 0 if open_end else (len(text) >= 5) + (len(text) >= 9)
-            at = 0
+            at, last = 0, ""
             for c in text:
                 self.reach[at] = max(self.reach[at], edits)
                 at = self.children[at].setdefault(c, len(self.children))
                 if at == len(self.word):
                     self.children.append({})
+                    self.before.append(last)
                     self.word.append(None)
                     self.stem.append(0.0)
                     self.reach.append(0)
+                last = c
             self.reach[at] = max(self.reach[at], edits)
             if open_end:
                 self.stem[at] = max(self.stem[at], weight)
@@ -73,14 +83,14 @@ class Lexicon:
         self.sets: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
         self.hits: list[tuple[float, float]] = []
-        self.dead, self.start = self._state(frozenset()), self._state(frozenset({(0, 0, 0.0)}))
+        self.dead, self.start = self._state(frozenset()), self._state(self._closed({(0, 0, 0.0)}))
 
     def _closed(self, states: set) -> frozenset:
         """With letters of a term left out; of the states at a node the least edits stay."""
         todo = list(states)
         while todo:
             node, edits, stem = todo.pop()
-            if node > 0 and edits < self.reach[node]:
+            if node >= 0 and edits < self.reach[node]:
                 for child in self.children[node].values():
                     if (new := (child, edits + 1, stem)) not in states and edits + 1 <= self.reach[child]:
                         states.add(new)
@@ -101,16 +111,23 @@ class Lexicon:
     def _step(self, state: int, letter: str) -> int:
         out = set()
         for node, edits, stem in self.sets[state]:
-            if node < 0:
+            if node == -1:
                 out.add((node, edits, stem))
                 continue
+            if node < 0:  # two letters exchanged, the first of them still to come
+                if letter == self.before[-2 - node]:
+                    out.add((-2 - node, edits, stem))
+                continue
             child = self.children[node].get(letter)
             if child is not None:
                 out.add((child, edits, stem))
                 if edits == 0 and self.stem[child]:
                     out.add((-1, 0, self.stem[child]))  # whatever follows
-            if node > 0 and edits < self.reach[node]:
+            if edits < self.reach[node]:
                 out.add((node, edits + 1, stem))  # a letter too many
+                if self.swaps:
+                    after = (self.children[other].get(letter) for c, other in self.children[node].items() if c != letter)
+                    out.update((-2 - n, edits + 1, stem) for n in after if n is not None and edits + 1 <= self.reach[n])
                 out.update((other, edits + 1, stem) for c, other in self.children[node].items() if c != letter and edits + 1 <= self.reach[other])
         self.steps[state][letter] = to = self._state(self._closed(out))
         return to
@@ -128,9 +145,17 @@ class Lexicon:
         return self.hits[at]
 
 
+def readings(lower: str) -> list[tuple[int, int, str]]:
+    """Start, end and reading of words with digits or signs inside, read as the letters they stand for."""
+    if not any(m.start() and lower[m.start() - 1].isalpha() for m in SIGN.finditer(lower)):
+        return []
+    return [(m.start(), m.end(), m[0].translate(READ)) for m in DISGUISED.finditer(lower)]
+
+
 def terms_of(text: str) -> set[tuple[str, bool]]:
-    """Words, and their beginnings of 4 to 8 letters, each once."""
-    words = set(WORDS.findall(text.lower()))
+    """Words, with readings of disguised ones, and their beginnings of 4 to 8 letters, each once."""
+    lower = text.lower()
+    words = {*WORDS.findall(lower), *(w for *_, w in readings(lower))}
     return {(w, False) for w in words} | {(w[:n], True) for w in words for n in range(4, min(len(w), 9))}
 
 
@@ -143,9 +168,9 @@ class Model:
 def features(text: str, lexicon: Lexicon, cache: dict) -> list[float]:
     """Of hits outside quotations: highest and summed weight, the same for near hits, hits with address; of quoted ones the highest; hits a word."""
     lower = text.lower()
-    words = WORDS.findall(lower)
+    words, disguised = WORDS.findall(lower), readings(lower)
     hit = False
-    for w in words:
+    for w in words + [w for *_, w in disguised] if disguised else words:
         got = cache.get(w)
         if got is None:
             if len(cache) >= CACHED:
@@ -157,11 +182,12 @@ def features(text: str, lexicon: Lexicon, cache: dict) -> list[float]:
         return out
     seen: set[str] = set()
     hits = 0
-    for m in WORDS.finditer(lower):
-        exact, near = cache.get(m[0]) or lexicon.match(m[0])
+    places = [(m.start(), m.end(), m[0]) for m in WORDS.finditer(lower)] + disguised
+    for start, end, word in places:
+        exact, near = cache.get(word) or lexicon.match(word)
         if not exact and not near:
             continue
-        before, after = lower[max(0, m.start() - WINDOW) : m.start()], lower[m.end() : m.end() + WINDOW]
+        before, after = lower[max(0, start - WINDOW) : start], lower[end : end + WINDOW]
         around = {*WORDS.findall(before), *WORDS.findall(after)}
         quoted = any(q in before for q in QUOTES) and any(q in after for q in QUOTES) or bool(REPORTING & around)
         hits += 1
@@ -169,8 +195,8 @@ def features(text: str, lexicon: Lexicon, cache: dict) -> list[float]:
             out[5] = max(out[5], exact, near)
             continue
         out[0], out[2] = max(out[0], exact), max(out[2], near)
-        if m[0] not in seen:
-            seen.add(m[0])
+        if word not in seen:
+            seen.add(word)
             out[1], out[3] = out[1] + exact, out[3] + near
         out[4] += bool(ADDRESS & around)
     return [out[0], np.log1p(out[1]), out[2], np.log1p(out[3]), np.log1p(out[4]), out[5], np.log1p(hits), 100 * hits / len(words)]
@@ -221,12 +247,17 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, terms: int =
     picked = [((r["term"], r["open_end"]), r["pos"]) for r in rows]
     negs = known.where("first and y = 0").mapInPandas(against, "term string, open_end boolean, neg long").groupBy("term", "open_end").agg(F.sum("neg").alias("neg")).collect() if picked else []
     neg = {(r["term"], r["open_end"]): r["neg"] for r in negs}
+    seen = dict(picked)
     odds = {k: np.log((p + 0.5) / (n_pos + 1)) - np.log((neg.get(k, 0) + 0.5) / (n_neg + 1)) for k, p in picked}
-    kept: dict[tuple[str, bool], float] = {}
-    for (term, open_end), weight in sorted(odds.items(), key=lambda x: (len(x[0][0]), not x[0][1], x[0][0])):
-        covered = any(kept.get((term[:n], True), 0) >= weight - 1 for n in range(4, len(term) + (not open_end)))
-        if weight >= 2.5 and not covered:
-            kept[term, open_end] = float(weight)
+    kept = {k: float(w) for k, w in odds.items() if w >= 2.5 and not k[1]}  # whole words stay: only they allow edits
+    whole: Counter = Counter()  # toxic documents that kept words with a beginning find
+    for word, _ in kept:
+        for n in range(4, min(len(word), 8) + 1):
+            whole[word[:n]] += seen[word, False]
+    for (term, open_end), weight in sorted(odds.items(), key=lambda x: (len(x[0][0]), x[0][0])):
+        covered = any(kept.get((term[:n], True), 0) >= weight - 1 for n in range(4, len(term)))
+        if open_end and weight >= 2.5 and not covered and seen[term, True] > whole[term]:
+            kept[term, True] = float(weight)
     model = Model([(t, o, w) for (t, o), w in sorted(kept.items(), key=lambda x: (-x[1], x[0]))[:terms]])
     found = scored(known.where("not first"), model, "t", "__f").select("__f", "y").collect()
     if found and len({r["y"] for r in found}) == 2:
@@ -242,7 +273,7 @@ def scored(docs: DataFrame, model: Model, text_col: str, feature_col: str) -> Da
 
     @F.pandas_udf("array<double>")
     def found(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        lexicon, cache = Lexicon(model.terms), {}
+        lexicon, cache = Lexicon(model.terms, swaps=True), {}
         for texts in parts:
             yield pd.Series([features(t or "", lexicon, cache) for t in texts], dtype=object)
 
