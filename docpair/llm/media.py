@@ -255,7 +255,7 @@ def _hashes(thumb: np.ndarray) -> tuple[str, str]:
     """Average hash and difference hash of an 8 x 8 (8 x 9) grid of the thumbnail's means."""
     def grid(across: int) -> np.ndarray:
         rows, cols = (np.arange(n) * size // n for n, size in ((8, thumb.shape[0]), (across, thumb.shape[1])))
-        sums = np.add.reduceat(np.add.reduceat(thumb.astype(np.int64), rows, 0), cols, 1)
+        sums = np.add.reduceat(np.add.reduceat(thumb, rows, 0, dtype=np.int64), cols, 1)
         count = np.diff(np.append(rows, thumb.shape[0])).clip(1)[:, None] * np.diff(np.append(cols, thumb.shape[1])).clip(1)[None]
         return sums // count
 
@@ -264,6 +264,12 @@ def _hashes(thumb: np.ndarray) -> tuple[str, str]:
     return tuple(np.packbits(x).tobytes().hex() for x in bits)
 
 
+def _stacked(frames: list[dict]) -> np.ndarray:
+    """The thumbnails of all frames, one below the other; narrower ones are filled up with 0."""
+    across = max(f["thumb"].shape[1] for f in frames)
+    return np.vstack([f["thumb"] if f["thumb"].shape[1] == across else np.pad(f["thumb"], ((0, 0), (0, across - f["thumb"].shape[1]))) for f in frames])
+
+
 def _weighed(texts: pd.Series, size) -> Iterator[slice]:
     """Slices of a batch with about BATCH bytes each."""
     start = held = 0
@@ -299,7 +305,7 @@ FEATURES = "width long, height long, frames int, payload_bytes long, payload_sha
 def with_features(docs: DataFrame, media_col: str = "media") -> DataFrame:
     """Adds the struct features to a table of stored media: dimensions, digests of the bytes read back, thumbnail hashes.
 
-    width and height are in pixels, height over all frames; hashes are of the first frame. A null media has null
+    width and height are in pixels, height over all frames; hashes are of all frames, stacked. A null media has null
     features. What is no baseline JPEG raises an error.
     """
 
@@ -318,7 +324,7 @@ def with_features(docs: DataFrame, media_col: str = "media") -> DataFrame:
                     frames = next(shots)
                     back = b"".join(f["thumb"].tobytes() for f in frames)
                     width, height = frames[0]["width"], sum(f["height"] for f in frames)
-                    a, d = _hashes(frames[0]["thumb"])
+                    a, d = _hashes(_stacked(frames))
                     rows.append([width, height, len(frames), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(m), hashlib.sha256(m).hexdigest(), a, d, f"{width}x{height}:{a}:{d}"])
             yield pd.DataFrame(rows, columns=names)
 
