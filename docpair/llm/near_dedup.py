@@ -27,6 +27,7 @@ from .shared import bounded_batches, cut
 SHINGLE, BANDS, ROWS, BATCH = 5, 32, 3, 16
 HASHES = BANDS * ROWS
 BLOCK, GROUP = 256, 8192  # nodes in a block, rows in a task's group of block pairs
+BLOCK_SHINGLES, GROUP_SHINGLES = 2**23, 2**23  # about so many shingles in them at most, at 4 bytes each
 _RNG = np.random.default_rng(20240229)
 A = (_RNG.integers(0, 2**31, HASHES, dtype=np.int64) * 2 + 1).astype(np.uint32)
 B = _RNG.integers(0, 2**32, HASHES, dtype=np.int64).astype(np.uint32)
@@ -101,8 +102,14 @@ def _signatures(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(map(bytes, column)), np.uint32).reshape(-1, HASHES)
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc, mark, t: ids, fingerprints of texts, texts. Rows that agree in doc and mark have equal texts."""
+    t = F.col(text_col)
+    return docs.select(F.col(id_col).alias("doc"), F.unhex(F.md5(t)).alias("mark"), t.alias("t"))
+
+
 def sets_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, n_shingles, node (fingerprint of the set, null if it is empty), signature."""
+    """doc, mark (fingerprint of the text), n_shingles, node (fingerprint of the set, null if it is empty), signature."""
     kind = dict(docs.dtypes)[id_col]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,19 +121,19 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 sizes.append(len(s))
                 nodes.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 signatures.append(signature(s).tobytes() if len(s) else None)
-            yield pd.DataFrame({"doc": pdf["doc"], "n_shingles": sizes, "node": nodes, "signature": signatures})
+            yield pd.DataFrame({"doc": pdf["doc"], "mark": pdf["mark"], "n_shingles": sizes, "node": nodes, "signature": signatures})
 
-    return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("t")).mapInPandas(work, f"doc {kind}, n_shingles long, node binary, signature binary")
+    return keyed(docs, id_col, text_col).mapInPandas(work, f"doc {kind}, mark binary, n_shingles long, node binary, signature binary")
 
 
 def members_of_buckets(nodes: DataFrame) -> DataFrame:
-    """bucket, node, fame: each node in each banded bucket with others; fame counts the others it meets in all buckets."""
+    """bucket, node, n_shingles, fame: each node in each banded bucket with others; fame counts the others it meets in all buckets."""
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("signature", i * (4 * ROWS) + 1, F.lit(4 * ROWS))))
-    rows = nodes.select("node", F.posexplode(bands).alias("band", "bucket"))
+    rows = nodes.select("node", "n_shingles", F.posexplode(bands).alias("band", "bucket"))
     counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("others")).where("others > 1")
     met = cut(rows.join(counts, "bucket"))
     fame = met.groupBy("node").agg(F.sum("others").alias("fame"))
-    return cut(met.join(fame, "node").select("bucket", "band", "node", "fame", "others"))
+    return cut(met.join(fame, "node").select("bucket", "band", "node", "n_shingles", "fame", "others"))
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int, least: list[int] | None) -> DataFrame:
@@ -181,15 +188,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-4, id_c
     """
     bounded_batches(docs.sparkSession)
     sets = cut(sets_of(docs, id_col, text_col))
-    nodes = cut(sets.where("node is not null").groupBy("node").agg(F.min("doc").alias("low"), F.first("signature").alias("signature")))
+    nodes = cut(sets.where("node is not null").groupBy("node").agg(F.min("doc").alias("low"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"), F.max(F.struct("doc", "mark")).alias("pick")))
     least = prune_below(percent / 100, miss)
     met = members_of_buckets(nodes)
-    # the texts of nodes that meet others, one for each: what full sets are made of again
-    wanted = met.select("node").distinct().join(nodes.select("node", "low"), "node")
-    ids = sets.where("node is not null").select("doc", F.col("node").alias("__node")).groupBy("__node").agg(F.min("doc").alias("doc"))
-    texts = wanted.join(ids, F.col("node") == F.col("__node")).select("node", "doc")
-    keyed = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("t"))
-    texts = cut(keyed.join(texts, "doc").groupBy("node").agg(F.first("t").alias("t")))
+    # the texts of nodes that meet others, one for each: what full sets are made of again. A node's text is told by id and
+    # fingerprint, as ids may be null or shared by several texts; where a node has an id, `pick` does (null is the least)
+    wanted = met.select("node").distinct().join(nodes.select("node", "pick.doc", "pick.mark"), "node").toDF("node", "__doc", "__mark")
+    rows = keyed(docs, id_col, text_col)
+    texts = rows.join(wanted, F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("mark") == F.col("__mark")))
+    texts = cut(texts.groupBy("node").agg(F.first("t").alias("t")))
 
     leaders = met.groupBy("bucket").agg(F.max(F.struct("fame", "node")).alias("top")).select("bucket", F.col("top.node").alias("leader"))
     first = met.join(leaders, "bucket").where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
@@ -197,10 +204,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-4, id_c
     joined = components(links)
 
     # what is left: buckets that hold more than one component
-    placed = met.join(joined, "node", "left").select("bucket", "band", "node", F.coalesce("component", "node").alias("component"), "others")
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    rest = cut(placed.join(mixed, "bucket").withColumn("blocks", F.ceil(F.col("others") / BLOCK).cast("int")))
-    groups = 1 + (rest.agg(F.sum("blocks")).first()[0] or 0) // GROUP
+    placed = met.join(joined, "node", "left").select("bucket", "band", "node", "n_shingles", F.coalesce("component", "node").alias("component"), "others")
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.sum("n_shingles").alias("shingles")).where("x <> y").select("bucket", "shingles")
+    rest = cut(placed.join(mixed, "bucket").withColumn("blocks", F.ceil(F.greatest(F.col("others") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")))
+    spread_rows, spread_shingles = (x or 0 for x in rest.agg(F.sum("blocks"), F.sum(F.col("blocks") * F.col("n_shingles"))).first())
+    groups = 1 + max(spread_rows // GROUP, spread_shingles // GROUP_SHINGLES)
+    rest = rest.drop("n_shingles", "shingles")
     packed = texts.join(rest.select("node").distinct(), "node").mapInPandas(_packed, "node binary, words binary")
     rest = rest.join(nodes.select("node", "signature"), "node").join(packed, "node")
     rest = rest.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
