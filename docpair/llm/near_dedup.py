@@ -6,10 +6,11 @@ n hashes, a pair is dropped once the posterior probability that its similarity r
 (uniform prior). Survivors are verified exactly on their full sets. Links are joined into components.
 
 Pairs within a bucket are never all emitted. First every member meets its bucket's leader, the member that shares most
-buckets, so a group around one text is joined by as many pairs as it has members. What still lies in different
-components meets once more, block against block: a block pair's task holds the signatures and sets of two bounded blocks, skips pairs of one
-component, compares survivors on sets cut to 32 bits a shingle (which can only find too many links) and emits a link
-for each pair of components it joins; these links are verified on full sets like all others.
+buckets, so a group around one text is joined by as many pairs as it has members. In a bucket that still holds several
+components, members outside of its largest component are guests: they visit the blocks of all its members, while pairs
+within the largest component are settled and never meet. A task holds the short signatures and the sets (32 bits a shingle) of one block of
+guests and one of members, and emits a link for each two components it joins. These links are verified on full sets; if
+one of them fails, which takes colliding hashes, the blocks meet again with 64 bits a shingle, as full sets have.
 """
 
 from __future__ import annotations
@@ -22,12 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, cut
+from .shared import bounded_batches, cut, discarded, stored
 
 SHINGLE, BANDS, ROWS, BATCH = 5, 32, 3, 16
 HASHES = BANDS * ROWS
-BLOCK, GROUP = 256, 8192  # nodes in a block, rows in a task's group of block pairs
-BLOCK_SHINGLES, GROUP_SHINGLES = 2**23, 2**23  # about so many shingles in them at most, at 4 bytes each
+BLOCK, GROUP = 2048, 8192  # nodes in a block, rows in a task's group of block pairs
+BLOCK_SHINGLES, GROUP_SHINGLES = 2**22, 2**22  # about so many shingles in them at most, at 4 or 8 bytes each
+TURN = 64  # candidates of a guest that are compared on their sets at once
 _RNG = np.random.default_rng(20240229)
 A = (_RNG.integers(0, 2**31, HASHES, dtype=np.int64) * 2 + 1).astype(np.uint32)
 B = _RNG.integers(0, 2**32, HASHES, dtype=np.int64).astype(np.uint32)
@@ -92,14 +94,80 @@ def _survive(left: np.ndarray, right: np.ndarray, least: list[int]) -> np.ndarra
     return alive
 
 
-def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    hashes = _WordHashes()
-    for pdf in batches:
-        yield pd.DataFrame({"node": pdf["node"], "words": [np.sort((shingle_set(t, hashes) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in pdf["t"]]})
+def _packed(bits: int):
+    """Adds to nodes with texts: short (the low 16 bits of each hash of the signature) and words (sorted, the high bits of each shingle)."""
+    kind = np.uint32 if bits == 32 else np.uint64
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = _WordHashes()
+        for pdf in batches:
+            words = [(shingle_set(t, hashes) >> np.uint64(64 - bits)).astype(kind).tobytes() for t in pdf["t"]]
+            short = [np.frombuffer(x, np.uint32).astype(np.uint16).tobytes() for x in pdf["signature"]]
+            yield pd.DataFrame({"node": pdf["node"], "short": short, "words": words})
+
+    return work
 
 
-def _signatures(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(map(bytes, column)), np.uint32).reshape(-1, HASHES)
+def _signatures(column: pd.Series, kind: type = np.uint32) -> np.ndarray:
+    return np.frombuffer(b"".join(map(bytes, column)), kind).reshape(-1, HASHES)
+
+
+def _matches(one: np.ndarray, others: np.ndarray, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Which of others pass every batch against one signature, and their matches. Short signatures match too often, never too seldom."""
+    alive, matches = np.arange(len(others)), np.zeros(len(others), np.int64)
+    for k, enough in enumerate(least):
+        s = slice(k * BATCH, (k + 1) * BATCH)
+        matches = matches + (others[alive, s] == one[s]).sum(1)
+        keep = matches >= enough
+        alive, matches = alive[keep], matches[keep]
+    return alive, matches
+
+
+def _meeting(percent: int, least: list[int], bits: int):
+    """links_of_blocks() for each bucket and pair of blocks in a task's group."""
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["bucket", "i", "j"], ignore_index=True)
+        keys = pdf[["bucket", "i", "j"]].to_numpy(np.int64)
+        edges = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(1), [True])))
+        found = [link for s, e in zip(edges[:-1], edges[1:], strict=True) for link in links_of_blocks(pdf.iloc[s:e], percent, least, bits)]
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return meet
+
+
+def links_of_blocks(pdf: pd.DataFrame, percent: int, least: list[int], bits: int) -> list[tuple[bytes, bytes]]:
+    """Links between guests and members of one bucket that join different components.
+
+    pdf: node, component, short, words; band; visits (a row of a guest) and guest (whether a member's row is of a guest, too).
+    A link is found by its estimate first and then by its sets; components are joined here as links are found.
+    """
+    names = pdf["node"].map(bytes).to_numpy()
+    parts = pd.factorize(pdf["component"].map(bytes))[0]
+    short = _signatures(pdf["short"], np.uint16)
+    words = [np.frombuffer(w, np.uint32 if bits == 32 else np.uint64) for w in pdf["words"]]
+    sizes = np.array([len(w) for w in words])
+    visits, guest = pdf["visits"].to_numpy(bool), pdf["guest"].to_numpy(bool)
+    before = short[:, : ROWS * int(pdf["band"].iloc[0])].reshape(len(pdf), -1, ROWS)
+    home, found, root = np.flatnonzero(~visits), [], np.arange(len(pdf))
+    for at in np.flatnonzero(visits):
+        fit = home[root[parts[home]] != root[parts[at]]]
+        fit = fit[100 * np.minimum(sizes[fit], sizes[at]) >= percent * np.maximum(sizes[fit], sizes[at])]
+        fit = fit[~guest[fit] | (names[fit] > names[at])]  # two guests meet once
+        fit = fit[~(before[fit] == before[at]).all(2).any(1)]  # those of an earlier bucket meet there
+        some, matches = _matches(short[at], short[fit], least)
+        fit = fit[some[np.argsort(-matches, kind="stable")]]
+        while len(fit):
+            now, fit = fit[:TURN], fit[TURN:]
+            all_words = np.concatenate([words[k] for k in now])
+            same = words[at][np.searchsorted(words[at], all_words).clip(max=sizes[at] - 1)] == all_words
+            shared = np.add.reduceat(same, np.concatenate(([0], np.cumsum(sizes[now])[:-1])), dtype=np.int64)
+            for k in now[100 * shared >= percent * (sizes[at] + sizes[now] - shared)]:
+                if root[parts[k]] != root[parts[at]]:
+                    found.append((names[at], names[k]))
+                    root[root == root[parts[k]]] = root[parts[at]]
+            fit = fit[root[parts[fit]] != root[parts[at]]]
+    return found
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -196,61 +264,40 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-4, id_c
     wanted = met.select("node").distinct().join(nodes.select("node", "pick.doc", "pick.mark"), "node").toDF("node", "__doc", "__mark")
     rows = keyed(docs, id_col, text_col)
     texts = rows.join(wanted, F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("mark") == F.col("__mark")))
-    texts = cut(texts.groupBy("node").agg(F.first("t").alias("t")))
+    texts, texts_path = stored(texts.groupBy("node").agg(F.first("t").alias("t")))
 
     leaders = met.groupBy("bucket").agg(F.max(F.struct("fame", "node")).alias("top")).select("bucket", F.col("top.node").alias("leader"))
     first = met.join(leaders, "bucket").where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
     links = _verified(first.distinct(), nodes, texts, percent, least)
     joined = components(links)
 
-    # what is left: buckets that hold more than one component
-    placed = met.join(joined, "node", "left").select("bucket", "band", "node", "n_shingles", F.coalesce("component", "node").alias("component"), "others")
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.sum("n_shingles").alias("shingles")).where("x <> y").select("bucket", "shingles")
-    rest = cut(placed.join(mixed, "bucket").withColumn("blocks", F.ceil(F.greatest(F.col("others") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")))
-    spread_rows, spread_shingles = (x or 0 for x in rest.agg(F.sum("blocks"), F.sum(F.col("blocks") * F.col("n_shingles"))).first())
+    # what is left: in buckets of several components, members outside of the largest one visit the blocks of all
+    placed = cut(met.join(joined, "node", "left").select("bucket", "band", "node", "n_shingles", F.coalesce("component", "node").alias("component")))
+    sizes = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
+    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component", "shingles")).alias("top"), F.sum("n").alias("n"), F.sum("shingles").alias("shingles")).where("top.n < n")
+    blocks = lambda n, shingles: F.ceil(F.greatest(n / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
+    mixed = mixed.select("bucket", F.col("top.component").alias("largest"), blocks(F.col("n"), F.col("shingles")).alias("blocks"), blocks(F.col("n") - F.col("top.n"), F.col("shingles") - F.col("top.shingles")).alias("guest_blocks"))
+    rest = cut(placed.join(mixed, "bucket").withColumn("guest", F.col("component") != F.col("largest")).drop("largest"))
+    copies = F.col("guest_blocks") + F.when(F.col("guest"), F.col("blocks")).otherwise(0)
+    spread_rows, spread_shingles = (x or 0 for x in rest.agg(F.sum(copies), F.sum(copies * F.col("n_shingles"))).first())
     groups = 1 + max(spread_rows // GROUP, spread_shingles // GROUP_SHINGLES)
-    rest = rest.drop("n_shingles", "shingles")
-    packed = texts.join(rest.select("node").distinct(), "node").mapInPandas(_packed, "node binary, words binary")
-    rest = rest.join(nodes.select("node", "signature"), "node").join(packed, "node")
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    to = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
-    spread = rest.withColumn("pair", F.explode(to)).select("bucket", "band", "pair.i", "pair.j", "block", "node", "component", "signature", "words")
-    spread = spread.withColumn("group", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(groups)))
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["bucket", "i", "j"], ignore_index=True)
-        keys = pdf[["bucket", "i", "j"]].to_numpy(np.int64)
-        edges = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(1), [True])))
-        found = [link for s, e in zip(edges[:-1], edges[1:], strict=True) for link in meet_blocks(pdf.iloc[s:e])]
-        return pd.DataFrame(found, columns=["a", "b"])
-
-    def meet_blocks(pdf: pd.DataFrame) -> list[tuple[bytes, bytes]]:
-        nodes_here, signatures = pdf["node"].map(bytes).to_numpy(), _signatures(pdf["signature"])
-        parts = pd.factorize(pdf["component"].map(bytes))[0]
-        i, j, band, block = pdf["i"].iloc[0], pdf["j"].iloc[0], int(pdf["band"].iloc[0]), pdf["block"].to_numpy()
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        earlier = signatures[:, : ROWS * band].reshape(len(pdf), -1, ROWS)
-        words = [np.frombuffer(w, np.uint32) for w in pdf["words"]]
-        sizes = np.array([len(w) for w in words])
-        found, root = [], np.arange(len(pdf))  # of components, joined as links are found
-        for at in left:
-            fit = right[root[parts[right]] != root[parts[at]]]
-            if i == j:
-                fit = fit[fit > at]
-            fit = fit[100 * np.minimum(sizes[fit], sizes[at]) >= percent * np.maximum(sizes[fit], sizes[at])]
-            fit = fit[_survive(np.broadcast_to(signatures[at], (len(fit), HASHES)), signatures[fit], least)]
-            fit = fit[~(earlier[fit] == earlier[at]).all(2).any(1)]  # those of an earlier bucket meet there
-            for k in fit:
-                if root[parts[k]] != root[parts[at]]:
-                    shared = int((words[at][np.searchsorted(words[at], words[k]).clip(max=sizes[at] - 1)] == words[k]).sum())
-                    if 100 * shared >= percent * (sizes[at] + sizes[k] - shared):
-                        found.append((nodes_here[at], nodes_here[k]))
-                        root[root == root[parts[k]]] = root[parts[at]]
-        return found
-
-    second = spread.groupBy("group").applyInPandas(meet, "a binary, b binary")
-    more = _verified(cut(second), nodes, texts, percent, None)
+    place, guest_place = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("guest_blocks")).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    stays = F.transform(upto("guest_blocks"), lambda k: F.struct(k.alias("i"), place.alias("j"), F.lit(False).alias("visits")))
+    goes = F.transform(upto("blocks"), lambda k: F.struct(guest_place.alias("i"), k.alias("j"), F.lit(True).alias("visits")))
+    at = F.when(F.col("guest"), F.concat(stays, goes)).otherwise(stays)
+    dealt = rest.withColumn("at", F.explode(at)).select("bucket", "band", "node", "component", "guest", "at.*")
+    dealt = dealt.withColumn("group", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(groups)))
+    left_over = rest.select("node").distinct()
+    for bits in (32, 64):
+        packed = texts.join(left_over, "node").join(nodes.select("node", "signature"), "node").mapInPandas(_packed(bits), "node binary, short binary, words binary")
+
+        second = cut(dealt.join(packed, "node").groupBy("group").applyInPandas(_meeting(percent, least, bits), "a binary, b binary").distinct())
+        more = _verified(second, nodes, texts, percent, None)
+        if bits == 64 or more.count() == second.count():
+            break
     whole = components(links.union(more))
+    discarded(docs.sparkSession, texts_path)
     names = nodes.select("node", "low").join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = names.join(names.groupBy("component").agg(F.min("low").alias("component_id")), "component").select(F.col("node").alias("__node"), "component_id")
     out = sets.select("doc", "n_shingles", "node").join(names, F.col("node") == F.col("__node"), "left")
