@@ -1,15 +1,20 @@
 """Byte-level BPE, encoding and decoding.
 
 A text is cut at special tokens, then into words by the vocabulary's pattern. A word's merges are driven by a segment
-tree over the ranks of adjacent pairs: the root is the leftmost pair of the lowest rank; a merge updates the leaves
-beside it, each in logarithmic time, until no pair can be merged. Words repeat, so each Python worker keeps the ids of
-up to CACHED words it has met.
+tree over the ranks of adjacent pairs, with WIDE children to a node: the root is the leftmost pair of the lowest rank;
+a merge updates the leaves beside it, each in logarithmic time, until no pair can be merged. Words repeat, so each
+Python worker keeps the ids of up to twice CACHED words it has met last.
+
+A word is a run of letters, digits, blanks or signs, so a very long text may be one word: it takes about 250 bytes of
+memory a byte and time n log n, and is not kept.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,7 +28,9 @@ from .shared import bounded_batches
 
 #: Fixed value: the word pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED = 400_000
+#: The same words where a text is ASCII.
+ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
+CACHED, WIDE = 300_000, 16
 NONE = 1 << 62
 
 
@@ -34,6 +41,25 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+class _Words(dict):
+    """The ids of words, as bytes; those met since the last CACHED others are kept, and once more found again."""
+
+    def __init__(self, merged):
+        super().__init__()
+        self.merged, self.older = merged, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = array("I", self.merged(word.encode())).tobytes()
+        if len(word) <= 64:
+            if len(self) >= CACHED:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Bpe:
     """The vocabulary in a tokenizers JSON file."""
 
@@ -44,81 +70,70 @@ class Bpe:
         to_byte = {c: b for b, c in enumerate(letters)}
         ids = spec["model"]["vocab"]
         self.first = [ids[c] for c in letters]
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
+        self.ranks: dict[tuple[int, int], int] = {}
+        self.made: list[int] = []  # by rank
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.pairs.setdefault((ids[a], ids[b]), (rank, ids[a + b]))
+            self.ranks.setdefault((ids[a], ids[b]), rank)
+            self.made.append(ids[a + b])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.bytes = {i: bytes(to_byte[c] for c in token) for token, i in ids.items() if all(c in to_byte for c in token)}
-        self.bytes |= {i: token.encode() for token, i in self.special.items()}
-        self.words = regex.compile(PATTERN)
+        known = {i: bytes(to_byte[c] for c in token) for token, i in ids.items() if all(c in to_byte for c in token)}
+        known |= {i: token.encode() for token, i in self.special.items()}
+        self.bytes = [known.get(i) for i in range(max(known) + 1)]
+        self.words, self.ascii_words = regex.compile(PATTERN), re.compile(ASCII_PATTERN, re.ASCII)
         marks = sorted(self.special, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
-        self.cache: dict[str, bytes] = {}
+        self.cache = _Words(self.merged)
 
     def merged(self, word: bytes) -> list[int]:
         """The ids of one word."""
-        ids, pairs = [self.first[b] for b in word], self.pairs
+        first, rank_of, made = self.first, self.ranks.get, self.made
+        ids = [first[b] for b in word]
         n = len(ids)
         if n < 2:
             return ids
-        size = 1 << (n - 2).bit_length() if n > 2 else 1
-        tree = [NONE] * (2 * size)
-        for i in range(n - 1):
-            if found := pairs.get((ids[i], ids[i + 1])):
-                tree[size + i] = found[0] * n + i  # the rank, then the place
-        for i in range(size - 1, 0, -1):
-            a, b = tree[2 * i], tree[2 * i + 1]
-            tree[i] = a if a < b else b
+        # a leaf is the pair's rank, then its place, as one number
+        leaves = [NONE if (rank := rank_of(pair)) is None else rank * n + i for i, pair in enumerate(zip(ids, ids[1:]))]  # noqa: B905
+        levels = [leaves]
+        while len(levels[-1]) > WIDE:
+            below = levels[-1]
+            levels.append([min(below[k : k + WIDE]) for k in range(0, len(below), WIDE)])
+        top, deep = levels[-1], len(levels) > 1
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        while (top := tree[1]) < NONE:
-            i = top % n
+        while (best := min(top)) < NONE:
+            rank, i = divmod(best, n)
             j = after[i]
-            ids[i] = pairs[ids[i], ids[j]][1]
+            k = after[j]
+            new = ids[i] = made[rank]
             ids[j] = -1
-            k = after[i] = after[j]
-            changed = [(j, NONE)] if j < n - 1 else []
+            after[i] = k
+            h = before[i]
             if k < n:
                 before[k] = i
-                found = pairs.get((ids[i], ids[k]))
-                changed.append((i, found[0] * n + i if found else NONE))
+                leaves[j] = NONE
+                rank = rank_of((new, ids[k]))
+                leaves[i] = NONE if rank is None else rank * n + i
             else:
-                changed.append((i, NONE))
-            if (h := before[i]) >= 0:
-                found = pairs.get((ids[h], ids[i]))
-                changed.append((h, found[0] * n + h if found else NONE))
-            for at, key in changed:
-                at += size
-                if tree[at] == key:
-                    continue
-                tree[at] = key
-                while at > 1:
-                    at >>= 1
-                    a, b = tree[2 * at], tree[2 * at + 1]
-                    low = a if a < b else b
-                    if tree[at] == low:
-                        break
-                    tree[at] = low
+                leaves[i] = NONE
+            if h >= 0:
+                rank = rank_of((ids[h], new))
+                leaves[h] = NONE if rank is None else rank * n + h
+            if deep:
+                changed = {h, i, j} if h >= 0 else {i, j}
+                for below, above in zip(levels, levels[1:]):  # noqa: B905
+                    changed = {at // WIDE for at in changed if at < len(below)}
+                    for at in changed:
+                        above[at] = min(below[at * WIDE : at * WIDE + WIDE])
         return [i for i in ids if i >= 0]
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        cache = self.cache
-        for part in self.marks.split(text) if self.marks else [text]:
-            if part in self.special:
-                out.append(np.array([self.special[part]], "<u4").tobytes())
-                continue
-            for word in self.words.findall(part):
-                ids = cache.get(word)
-                if ids is None:
-                    ids = np.array(self.merged(word.encode()), "<u4").tobytes()
-                    if len(word) <= 64:
-                        if len(cache) >= CACHED:
-                            cache.clear()
-                        cache[word] = ids
-                out.append(ids)
-        return b"".join(out)
+        ids_of = self.cache.__getitem__
+        words = (self.ascii_words if text.isascii() else self.words).findall
+        if not self.marks:
+            return b"".join(map(ids_of, words(text)))
+        parts = self.marks.split(text)  # every second part is a special token
+        return b"".join(array("I", [self.special[part]]).tobytes() if odd else b"".join(map(ids_of, words(part))) for at, part in enumerate(parts) for odd in (at % 2,))
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters."""
