@@ -2,19 +2,23 @@
 
 Words are summed for each source; targets come from the weights, none above a multiple of its source; a source's rate
 is its target over its words. A document is emitted floor(rate) times, plus one copy drawn by a Bernoulli trial with
-the rate's fraction as its probability. Trials are hash-seeded and stratified by size: within a source, in order of
-size, trial r succeeds where floor(r * fraction + u) steps up, u being the source's hash. Each trial alone has just the
-stated probability; together they leave the source's words near the target even where a few long documents weigh much.
+the rate's fraction as its probability. The trial is seeded by a hash of the document's id: a number that is uniform
+between 0 and 1, turned on a circle by a source's turn, is below the fraction or not. Whatever the turn, each document
+has just the stated probability, and no document's trial depends on another's. Of TURNS turns a source takes the one
+that brings its words nearest to its target, so that a few long documents don't leave it far off.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut, running_total, words_in
 
-SEED = "mix-1"
+SEED = "mix-2"
+TURNS = 64
+CIRCLE = 1 << 52
+MOST_BROADCAST = 100_000  # sources, of which one row each may be broadcast
 D = "decimal(19,0)"
 
 
@@ -42,46 +46,54 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     return ranked.select("source", "source_size", target.alias("target"))
 
 
-def _unit(*parts) -> F.Column:
-    """A number in [0, 1) from a hash of the parts."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+def _place(id_col: Column) -> Column:
+    """A document's place on the circle, 0 to CIRCLE - 1, from a hash of its id; a null id hashes as an empty string."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(SEED), F.coalesce(id_col.cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long")
 
 
-def _plan(docs: DataFrame, weights: tuple[int, ...], most: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """A row for each distinct id, source and size, with the copies of each of its rows (their number is __n)."""
-    sizes = cut(docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size")))
-    alike = sizes.groupBy("source", "size", "__id").agg(F.count(F.lit(1)).alias("__n"))
-    draw = F.md5(F.concat_ws(":", F.lit(SEED), F.coalesce(F.col("__id").cast("string"), F.lit(""))))
-    order = [F.col("source").asc_nulls_last(), F.col("size").desc(), F.col("__draw"), F.col("__id")]
-    ranked = running_total(alike.withColumn("__draw", draw), order, F.lit(1), "__number")
+def _copies(place: Column, turn: Column | int) -> Column:
+    """Copies of a document of a source with __whole and __part, if the source takes this turn."""
+    turned = F.pmod(place + turn * F.lit(CIRCLE // TURNS), F.lit(CIRCLE))
+    return F.col("__whole") + (turned < F.col("__part")).cast("int")
+
+
+def _with_plan(docs: DataFrame, weights: tuple[int, ...], most: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """Adds to docs: __size, __source_size, __target, __copies."""
+    sizes = cut(docs.select(_place(F.col(id_col)).alias("place"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size")))
     targets = source_targets(sizes, weights, most)
-    starts = ranked.groupBy(F.col("source").alias("__source")).agg(F.min("__number").alias("__start"))
-    rates = targets.join(starts, F.col("source").eqNullSafe(F.col("__source"))).select(
-        "__source", "source_size", "target", "__start", _unit(F.lit(SEED), F.lit("source"), F.coalesce("source", F.lit(""))).alias("__u"),
-        F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0).alias("__rate"),
-    )
-    joined = ranked.join(rates, F.col("source").eqNullSafe(F.col("__source")))
-    trial, part = F.col("__number") - F.col("__start"), F.col("__rate") - F.floor("__rate")
-    step = F.floor((trial + 1) * part + F.col("__u")) - F.floor(trial * part + F.col("__u"))
-    return joined.withColumn("copies", (F.floor("__rate") + step).cast("int"))
+    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
+    rates = cut(targets.withColumn("__rate", rate).select(
+        F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.floor("__rate").cast("int").alias("__whole"),
+        F.floor((F.col("__rate") - F.floor("__rate")) * F.lit(float(CIRCLE))).alias("__part"),
+    ))
+    few = rates.count() <= MOST_BROADCAST
+    by_source = lambda df: F.broadcast(df) if few else df
+    taken = [F.sum(F.col("size") * _copies(F.col("place"), k)).alias(f"t{k}") for k in range(TURNS)]
+    totals = sizes.join(by_source(rates), F.col("source").eqNullSafe(F.col("__source"))).groupBy("__source").agg(F.first("__target").alias("target"), *taken)
+    off = F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("off"), F.lit(k).alias("turn")) for k in range(TURNS)])
+    turns = totals.select(F.col("__source").alias("__of"), F.array_min(off)["turn"].alias("__turn"))
+    rates = cut(rates.join(turns, F.col("__source").eqNullSafe(F.col("__of"))).drop("__of"))
+    planned = docs.withColumn("__size", words_in(F.col(text_col))).join(by_source(rates), F.col(source_col).eqNullSafe(F.col("__source")))
+    return planned.withColumn("__copies", _copies(_place(F.col(id_col)), F.col("__turn")))
 
 
 def copies_by_document(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Returns id_col, the source, size, source_size, target, copies and taken, a row for each document.
 
     Null texts have size 0. Sources are in order of code points, null last, and weigh by the weights in turn. Documents
-    that tie in size are in order of a hash of their id, then of the id; a null id hashes as an empty string. Rows that
-    repeat id, source and size share one trial. No row gets more than `most` copies. Sources without words get a target
-    of 0 and no copies. Other columns are left out. An empty table gives no rows.
+    that tie in size are told apart by their ids; rows that repeat an id share one trial, and so do null ids. Of turns
+    that bring a source equally near, the first is taken. No row gets more than `most` copies. Sources without words get
+    a target of 0 and no copies. Other columns are left out. An empty table gives no rows.
     """
-    each = _plan(docs, weights, most, id_col, text_col, source_col).withColumn("__each", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
-    return each.select(F.col("__id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+    columns = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__in"), F.col(text_col).alias("__text"))
+    out = _with_plan(columns, weights, most, "__id", "__text", "__in")
+    return out.select(
+        F.col("__id").alias(id_col), F.col("__in").alias(source_col), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
+        F.col("__copies").alias("copies"), (F.col("__size") * F.col("__copies")).cast("long").alias("taken"),
+    )
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Returns docs with each row repeated as often as copies_by_document() says; rows without a copy go."""
-    plan = _plan(docs, weights, most, id_col, text_col, source_col).where(F.col("copies") > 0)
-    plan = plan.select(F.col("__id").alias("__pid"), F.col("source").alias("__psource"), F.col("size").alias("__psize"), F.col("copies").alias("__copies"))
-    match = F.col(id_col).eqNullSafe(F.col("__pid")) & F.col(source_col).eqNullSafe(F.col("__psource")) & (F.col("__size") == F.col("__psize"))
-    joined = docs.withColumn("__size", words_in(F.col(text_col))).join(plan, match)
-    return joined.withColumn("__each", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    """Returns docs with each row repeated as often as copies_by_document() says; rows without a copy go. Texts aren't shuffled."""
+    planned = _with_plan(docs, weights, most, id_col, text_col, source_col).where(F.col("__copies") > 0)
+    return planned.withColumn("__each", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

@@ -102,8 +102,11 @@ v as (select (total - 3 * size_before)::double as num, (weights - weight_before)
   where ratio * (weights - weight_before) >= total - 3 * size_before order by ratio, source limit 1),
 g as (select source, source_size, least(source_size * 3.0::double, weight * num / den) as target from w, v),
 r as (select d.*, g.source_size, g.target, case when g.source_size > 0 then least(g.target / g.source_size, 3.0::double) else 0 end as rate,
-  (row_number() over (partition by d.source order by d.size desc, md5('mix-1:' || coalesce(d.doc_id::varchar, '')), d.doc_id) - 1)::double as n,
-  ('0x' || substr(md5('mix-1:source:' || coalesce(d.source, '')), 1, 13))::bigint / 4503599627370496::double as u
-  from d join g on d.source is not distinct from g.source)
-select doc_id, size, source_size, target, (size * (floor(rate) + floor((n + 1) * (rate - floor(rate)) + u) - floor(n * (rate - floor(rate)) + u)))::bigint as taken from r""",
+  ('0x' || substr(md5('mix-2:' || coalesce(d.doc_id::varchar, '')), 1, 13))::bigint as place from d join g on d.source is not distinct from g.source),
+p as (select *, floor(rate)::bigint as whole, floor((rate - floor(rate)) * 4503599627370496)::bigint as part from r),
+k as (select source, turn, abs(sum(size * (whole + (((place + turn * 70368744177664) % 4503599627370496) < part)::bigint))::double - any_value(target)) as off
+  from p, (select unnest(range(64)) as turn) group by source, turn),
+b as (select source, arg_min(turn, (off, turn)) as turn from k group by source)
+select doc_id, size, source_size, target, (size * (whole + (((place + turn * 70368744177664) % 4503599627370496) < part)::bigint))::bigint as taken
+from p join b on p.source is not distinct from b.source""",
 }
