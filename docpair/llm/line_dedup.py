@@ -3,9 +3,11 @@
 Lines are exploded, stripped and hashed; distinct documents are counted for each hash; lines of a hash found in enough
 documents go, except in the largest document that holds it; the rest is reassembled by position.
 
-Shuffles: one slim row (16 bytes of hash, id, position) for each long line, twice; the ids with lines to drop; and
-the texts once, by id. A line that a third of the corpus holds is pre-aggregated, first to distinct (line, document),
-then to partial counts; the join that finds its occurrences is a sort-merge join that adaptive execution may split.
+A slim row (16 bytes of hash, id, position) for each long line is written once and read twice. It is shuffled as distinct
+(line, document) for the counts and once more to meet the lines that go. A line that a third of the corpus holds is
+pre-aggregated, first to distinct (line, document), then to partial counts. Where its occurrences are looked up, it
+would land in one task. So lines in more documents than one COMMONth of all slim rows, which are fewer than COMMON
+whatever the input, meet their occurrences by a broadcast, and all others by a join. The texts are shuffled once, by id.
 """
 
 from __future__ import annotations
@@ -13,8 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BLANKS
+from .shared import BLANKS, cut, discarded, stored
 
+COMMON = 4096
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -36,12 +39,16 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3,
     texts = F.coalesce(F.col(text_col), F.lit(""))
     split = docs.select(F.col(id_col).alias("__id"), F.xxhash64(texts).alias("__text_id"), F.posexplode(F.split(texts, "\n")).alias("__pos", "__line"))
     keyed = split.withColumn("__key", line_key(F.col("__line"))).where(F.char_length("__key") >= min_chars)
-    keyed = keyed.select("__id", "__text_id", "__pos", F.unhex(F.md5("__key")).alias("__hash"))
+    keyed, keyed_path = stored(keyed.select("__id", "__text_id", "__pos", F.unhex(F.md5("__key")).alias("__hash")))
 
     found = keyed.select("__hash", "__id").distinct().groupBy("__hash").agg(F.count(F.lit(1)).alias("__docs"), F.max("__id").alias("__last"))
-    found = found.where(F.col("__docs") >= min_docs).select("__hash", "__last")
-    gone = keyed.join(found, "__hash").where(~F.col("__id").eqNullSafe(F.col("__last")))
-    gone = gone.groupBy(F.col("__id").alias("__gid"), F.col("__text_id").alias("__gtext")).agg(F.collect_set("__pos").alias("__gone"))
+    found = cut(found.where(F.col("__docs") >= min_docs))
+    common = found.where(F.col("__docs") * COMMON > keyed.count()).select("__hash", "__last")
+    seldom = keyed.join(F.broadcast(common.select("__hash")), "__hash", "left_anti").join(found.select("__hash", "__last"), "__hash")
+    met = keyed.join(F.broadcast(common), "__hash").unionByName(seldom)
+    gone = met.where(~F.col("__id").eqNullSafe(F.col("__last")))
+    gone, _ = stored(gone.groupBy(F.col("__id").alias("__gid"), F.col("__text_id").alias("__gtext")).agg(F.collect_set("__pos").alias("__gone")))
+    discarded(docs.sparkSession, keyed_path)
 
     whole = docs.select(F.col(id_col).alias("__id"), texts.alias("__text"), *[F.col(c).alias(f"__o{i}") for i, c in enumerate(others)])
     whole = whole.withColumn("__text_id", F.xxhash64("__text"))
