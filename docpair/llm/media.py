@@ -2,7 +2,9 @@
 
 store() writes a payload as the luminance of a grey baseline JPEG: each byte is the DC coefficient of one 8 x 8 block
 at a quantiser of 8, so the block's mean is the byte and nothing is lost. A frame has 192 blocks across and up to 8191
-down, with a restart marker after each row of blocks; longer payloads are frames one after another.
+down, with a restart marker after each row of blocks; longer payloads are frames one after another. Payloads are coded
+AT_ONCE rows at a time, and intervals are decoded AT_ONCE at a time, so that a text of any length takes, beside itself and
+its stored form, a few bytes of memory for each of its bytes.
 
 read() takes any grey or colour baseline JPEG: it parses the markers, Huffman-decodes the scans and reconstructs the
 luminance thumbnail of block means from the DC coefficients alone. The intervals between restart markers, of all
@@ -21,9 +23,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
+
 ACROSS, DOWN = 192, 8191
-BATCH = 2 << 20
-#: Fixed value: the code lengths 2, 2, 3, 4, 4, 4, 4, 5, 5 ... of the DC categories in the order below; all AC blocks are one bit (end of block).
+BATCH, AT_ONCE = 2 << 20, 8192
+#: Fixed value: the DC categories by the length of their codes, from the commonest (differences of 16 to 31 and of 8 to 15, two bits) on; AC blocks are one bit (end of block).
 DC_BY_LENGTH = {2: (5, 4), 3: (6, 3, 7), 5: (0, 2, 8), 6: (1,)}
 
 
@@ -70,13 +74,10 @@ def payload_of(text: str | None) -> bytes:
     return raw + b" " * (-len(raw) % ACROSS or (0 if raw else ACROSS))
 
 
-def store(payloads: list[bytes]) -> list[bytes]:
-    """The stored form of each payload; lengths are positive multiples of 192."""
-    if not payloads:
-        return []
+def _coded(rows: np.ndarray) -> list[bytes]:
+    """The entropy-coded interval of each row of payload bytes, with zeros stuffed behind bytes of ones."""
     bits, lengths = _writer()
-    rows = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, ACROSS).astype(np.int64)
-    steps = np.diff(rows, axis=1, prepend=128) + 255
+    steps = np.diff(rows.astype(np.int64), axis=1, prepend=128) + 255
     value, n = bits[steps], lengths[steps]
     ends = n.cumsum(1)
     size = (ends[:, -1] + 7) // 8
@@ -95,15 +96,22 @@ def store(payloads: list[bytes]) -> list[bytes]:
     moved = np.concatenate(([0], full.cumsum()))
     stuffed = np.zeros(total + int(moved[-1]), np.uint8)
     stuffed[np.arange(total) + moved[:-1]] = packed
-    edge = (start + moved[start]).tolist()
-    data, result, row = stuffed.tobytes(), [], 0
+    edge, data = (start + moved[start]).tolist(), stuffed.tobytes()
+    return [data[s:e] for s, e in zip(edge[:-1], edge[1:], strict=True)]
+
+
+def store(payloads: list[bytes]) -> list[bytes]:
+    """The stored form of each payload; lengths are positive multiples of 192."""
+    joined = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, ACROSS)
+    coded = [x for at in range(0, len(joined), AT_ONCE) for x in _coded(joined[at : at + AT_ONCE])]
+    result, row = [], 0
     for p in payloads:
         left, parts = len(p) // ACROSS, []
         while left:
             here = min(left, DOWN)
             parts.append(_header(here))
             for i in range(here):
-                parts.append(data[edge[row + i] : edge[row + i + 1]])
+                parts.append(coded[row + i])
                 parts.append(bytes([0xFF, 0xD0 + i % 8]) if i < here - 1 else b"\xff\xd9")
             row, left = row + here, left - here
         result.append(b"".join(parts))
@@ -180,13 +188,14 @@ def thumbnails(media: list[bytes]) -> list[list[dict]]:
             f["units"] = [-(-f["width"] // (8 * wide)), -(-f["height"] // (8 * high))]
             pieces = _intervals(f["data"])
             every = f["every"] or f["units"][0] * f["units"][1]
-            f["luma"] = np.zeros((f["units"][0] * f["units"][1], f["scan"][0][1] * f["scan"][0][2] if len(f["scan"]) > 1 else 1), np.int64)
+            f["luma"] = np.zeros((f["units"][0] * f["units"][1], f["scan"][0][1] * f["scan"][0][2] if len(f["scan"]) > 1 else 1), np.int32)
             # one block of a unit after another: component and its tables
             order = tuple((c, p[4], p[5]) for c, p in enumerate(f["scan"]) for _ in range(p[1] * p[2] if len(f["scan"]) > 1 else 1))
             for i, piece in enumerate(pieces):
                 lanes.setdefault(order, []).append((f, i * every, min(every, len(f["luma"]) - i * every), piece))
     for order, group in lanes.items():
-        _decode(order, group)
+        for at in range(0, len(group), AT_ONCE):
+            _decode(order, group[at : at + AT_ONCE])
     out = []
     for frames in parsed:
         shots = []
@@ -194,7 +203,8 @@ def thumbnails(media: list[bytes]) -> list[list[dict]]:
             across, down = f["units"]
             h, v = (f["scan"][0][1], f["scan"][0][2]) if len(f["scan"]) > 1 else (1, 1)
             blocks = f["luma"].reshape(down, across, v, h).transpose(0, 2, 1, 3).reshape(down * v, across * h)
-            means = np.clip((blocks * f["quant"][f["scan"][0][3]] + 4) // 8 + 128, 0, 255).astype(np.uint8)
+            means = np.clip((blocks.astype(np.int64) * f["quant"][f["scan"][0][3]] + 4) // 8 + 128, 0, 255).astype(np.uint8)
+            del f["luma"]
             shots.append({"width": f["width"], "height": f["height"], "thumb": means[: -(-f["height"] // 8), : -(-f["width"] // 8)]})
         out.append(shots)
     return out
@@ -285,8 +295,11 @@ def _weighed(texts: pd.Series, size) -> Iterator[slice]:
 def with_media(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds media (binary) to docs: each text's UTF-8 bytes, filled up with blanks to a positive multiple of 192, stored.
 
-    A null text is stored as an empty one. Other columns pass through; a column named media is replaced.
+    A null text is stored as an empty one, and so is an empty one: 192 blanks. Equal texts are stored alike; repeated rows
+    stay. Very long texts are several frames. Other columns pass through; a column named media is replaced. An empty
+    table stays so.
     """
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("binary")
     def stored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -306,8 +319,9 @@ def with_features(docs: DataFrame, media_col: str = "media") -> DataFrame:
     """Adds the struct features to a table of stored media: dimensions, digests of the bytes read back, thumbnail hashes.
 
     width and height are in pixels, height over all frames; hashes are of all frames, stacked. A null media has null
-    features. What is no baseline JPEG raises an error.
+    features. What is no baseline JPEG raises an error. Other columns pass through; a column named features is replaced.
     """
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf(FEATURES)
     def features(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
