@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
+
 WIDTH, FILTERS, SEGMENT, SPAN, STEP = 6, 12, 128, 4, 3
 CHUNK = SEGMENT * SPAN
 BATCH = 1 << 19
@@ -39,12 +41,16 @@ def _laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(buffer + bytes(WIDTH), np.uint8), first
 
 
-def _responses(data: np.ndarray, net: Network) -> np.ndarray:
+def _responses(data: np.ndarray, net: Network, last: np.ndarray) -> np.ndarray:
+    """Of each segment, place and filter. last: the segments that end a text; views that reach behind these are all zeros."""
     size = len(data) - WIDTH
-    total = net.tables[0].take(data[:size], 0)
+    total, zeros = net.tables[0].take(data[:size], 0), net.tables[0][0].copy()
     for j in range(1, WIDTH):
         total += net.tables[j].take(data[j : size + j], 0)
-    return total.reshape(-1, SEGMENT, FILTERS)
+        zeros += net.tables[j][0]
+    total = total.reshape(-1, SEGMENT, FILTERS)
+    total[last, SEGMENT - WIDTH + 1 :] = zeros
+    return total
 
 
 def _pooled(maxima: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -68,7 +74,8 @@ def probabilities(texts: list[bytes], net: Network) -> np.ndarray:
     maxima = np.empty((first[-1], FILTERS), np.float32)
     for s in range(0, len(maxima), BATCH // SEGMENT):
         e = min(len(maxima), s + BATCH // SEGMENT)
-        maxima[s:e] = _responses(data[s * SEGMENT : e * SEGMENT + WIDTH], net).max(1)
+        last = first[1:] - 1 - s
+        maxima[s:e] = _responses(data[s * SEGMENT : e * SEGMENT + WIDTH], net, last[(last >= 0) & (last < e - s)]).max(1)
     top, mean, *_ = _pooled(np.maximum(maxima + net.bias, 0), first)
     return 1 / (1 + np.exp(-np.clip(np.hstack([top, mean]) @ net.out + net.base, -30, 30)))
 
@@ -90,7 +97,7 @@ def fit(texts: list[bytes], y: np.ndarray, weight: np.ndarray, epochs: int = 10,
             some = order[at : at + 32]
             net.base = float(params[3][0])
             data, first = _laid_out([texts[i] for i in some])
-            raw = _responses(data, net)
+            raw = _responses(data, net, first[1:] - 1)
             where = raw.argmax(1)
             high = np.take_along_axis(raw, where[:, None], 1)[:, 0] + net.bias
             maxima = np.maximum(high, 0)
@@ -129,7 +136,12 @@ def fit(texts: list[bytes], y: np.ndarray, weight: np.ndarray, epochs: int = 10,
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = 1000, most_bytes: int = 16_384, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network:
-    """Fits a network on a sample of labelled documents. Null labels don't count."""
+    """Fits a network on at most `sample` labelled documents of either label, of at most `most_bytes` bytes each.
+
+    Null labels, null ids and labels without a document don't count. A repeated row, of labels or of documents, counts as
+    often as it is there. Null texts are empty. Other columns don't matter. Without documents of both labels every score
+    is the share of label 1 among the labels.
+    """
     order = F.xxhash64(F.lit(11), F.col(id_col))
     rows = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("__lid"), F.col(label_col).cast("int").alias("y"), order.alias("__order"))
     shares = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
@@ -149,8 +161,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 1000, most_bytes: in
 def with_quality(docs: DataFrame, net: Network, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """Adds score (double, 0 to 1) and predicted (int, 1 from the threshold on); columns of these names are replaced.
 
-    Null texts score as empty ones, which are one chunk of zeros. Equal texts score alike. Other columns pass through.
+    Null texts score as empty ones, which are one chunk of zeros. Equal texts score alike; repeated rows stay. Texts are
+    read whole, a few segments at a time. Other columns pass through. An empty table stays so.
     """
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
