@@ -5,9 +5,10 @@ blocks, each of a bounded number of rows, so no task holds more than one block o
 
 1. For each query, each slice of each row block lists its k best partial scores; the lists' entries are summed, and
    the k-th best sum over all blocks is a cutoff that the k-th best score reaches at least.
-2. The cutoff goes back to the blocks. Only entries where some slice reaches cutoff / slices can reach the cutoff in
-   all; of these, an entry whose upper bound (its large partial scores, and cutoff / slices for the others) is below
-   the cutoff is left out.
+2. The cutoff goes back to the blocks. Rows that no query of a strip can meet at its cutoff, by the lengths of their
+   slices, aren't multiplied again. Only entries where some slice reaches cutoff / slices can reach the cutoff in all;
+   of these, an entry whose upper bound (its large partial scores, and cutoff / slices for the others) is below the
+   cutoff is left out.
 3. What remains is scored in full, and the best k of each block, then of all blocks, are the result.
 
 The blocks are written once, and read by both passes. Scores are summed in doubles where these are exact for the blocks
@@ -81,8 +82,16 @@ def _search(k: int, cutoffs: bool):
             if cutoffs and left["places"].iloc[0] is not None:
                 limits = limits.astype(parts[0][0].dtype) if parts[0][0].dtype != object else limits.astype(object)
                 limits[np.asarray(left["places"].iloc[0])] = np.asarray(left["cutoffs"].iloc[0]).astype(limits.dtype)
+            exact_parts, all_ids = parts, ids
+            lengths = [[np.sqrt((x * x).sum(1)) for x in both] for both in parts] if cutoffs and parts[0][0].dtype != object else []
             for at in range(0, len(query_ids), STRIP):
                 q = slice(at, at + STRIP)
+                parts, ids = exact_parts, all_ids
+                if lengths:  # no score exceeds the sum of the products of lengths; a little more for rounding
+                    most = np.column_stack([x[q] for x, _ in lengths]) @ np.column_stack([y for _, y in lengths]).T
+                    near = np.flatnonzero((most * (1 + 1e-9) >= limits[q, None]).any(0))
+                    if len(near) < len(ids):
+                        parts, ids = [(x, y[near]) for x, y in parts], ids[near]
                 scores = [x[q] @ y.T for x, y in parts]
                 other = query_ids[q, None] != ids[None, :]
                 if cutoffs:
@@ -112,7 +121,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
 
     A row's own id is no candidate for it. Ties go to the smaller vec_id. Vectors that are null or hold null or
     non-finite components, and rows with a null id, take no part. Components that a shorter vector lacks count as 0.
-    Repeated rows are rows of their own. Scores beyond a long are set to the nearest long. Other columns are left out.
+    Repeated rows are rows of their own, which don't meet rows of the same id. Scores beyond a long are set to the nearest long. Other columns are left out.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), quantised(F.col(vector_col), scale).alias("v"), is_query.alias("is_query")).where("vec_id is not null and v is not null")
     queries, query_blocks = _packed(rows.where("is_query").drop("is_query"), QUERY_BLOCK)
