@@ -8,7 +8,8 @@ it, verbs of reporting near it) from abuse (words of address near it). A logisti
 gives the score.
 
 What is learned comes from at most `sample` labelled rows, taken in the order of a hash of their ids; half of them give
-the lexicon, half the regression. Both are small, whatever the corpus: at most `terms` terms and a weight per feature.
+the lexicon, half the regression. Both are bounded by the sample, whatever the corpus: a term is in at least a hundredth
+of the sampled toxic documents, so there are at most a hundred times as many terms as such a document has on average.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ WINDOW = 60
 REPORTING = frozenset("said says say wrote writes called calls quoted quote quotes word words term dit disait écrit mot sagte sagt schrieb wort nannte dijo dice escribió palabra".split())
 ADDRESS = frozenset("you your yours yourself u tu te toi vous ton votre du dich dir dein ihr euch tú ti usted vosotros".split())
 QUOTES = "\"“”„«»‚‘’"
-CACHED = 300_000
+CACHED = 150_000
 
 
 def held_out_of(id_col: Column, mod: int, rest: int) -> Column:
@@ -215,8 +216,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, terms: int = 2000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Learns from labelled documents. Null labels and documents that labels lacks don't count."""
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Learns from labelled documents, of at most `sample` rows of labels.
+
+    Null labels, null ids and documents that labels lacks don't count; neither do labels without a document. A repeated row,
+    of labels or of documents, counts as often as it is there. Null texts are empty. Texts count whole, however long.
+    Other columns don't matter. Without labels of both kinds one hit is enough for toxicity.
+    """
     bounded_batches(docs.sparkSession)
     order = F.xxhash64(F.lit(7), F.col(id_col))
     rows = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("__lid"), F.col(label_col).cast("int").alias("y"), (order % 2 == 0).alias("first")).orderBy(order, "y").limit(sample)
@@ -242,8 +248,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, terms: int =
     n_pos, n_neg = totals.get((True, 1), 0), totals.get((True, 0), 0)
     pos = known.where("first and y = 1").mapInPandas(count, "term string, open_end boolean, pos long, neg long").groupBy("term", "open_end").agg(F.sum("pos").alias("pos"))
     least = max(3, n_pos // 100)
-    # candidates: at most ten times the terms wanted, the most frequent among toxic documents first
-    rows = pos.where(F.col("pos") >= least).orderBy(F.col("pos").desc(), "term", "open_end").limit(10 * terms).collect()
+    rows = pos.where(F.col("pos") >= least).orderBy(F.col("pos").desc(), "term", "open_end").collect()
     picked = [((r["term"], r["open_end"]), r["pos"]) for r in rows]
     negs = known.where("first and y = 0").mapInPandas(against, "term string, open_end boolean, neg long").groupBy("term", "open_end").agg(F.sum("neg").alias("neg")).collect() if picked else []
     neg = {(r["term"], r["open_end"]): r["neg"] for r in negs}
@@ -258,7 +263,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, terms: int =
         covered = any(kept.get((term[:n], True), 0) >= weight - 1 for n in range(4, len(term)))
         if open_end and weight >= 2.5 and not covered and seen[term, True] > whole[term]:
             kept[term, True] = float(weight)
-    model = Model([(t, o, w) for (t, o), w in sorted(kept.items(), key=lambda x: (-x[1], x[0]))[:terms]])
+    model = Model([(t, o, w) for (t, o), w in sorted(kept.items(), key=lambda x: (-x[1], x[0]))])
     found = scored(known.where("not first"), model, "t", "__f").select("__f", "y").collect()
     if found and len({r["y"] for r in found}) == 2:
         model.weights = _logistic(np.array([r["__f"] for r in found]), np.array([r["y"] for r in found], float)).tolist()
@@ -283,7 +288,9 @@ def scored(docs: DataFrame, model: Model, text_col: str, feature_col: str) -> Da
 def with_toxicity(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """Adds score (double, 0 to 1) and predicted (int, 1 from the threshold on); columns of these names are replaced.
 
-    Null and empty texts score as texts without a hit. Equal texts score alike. Other columns pass through.
+    Null and empty texts score as texts without a hit. Equal texts score alike; repeated rows stay. Texts are read whole,
+    however long, and a word costs a step a letter. Other columns pass through, but for one named __f, which the operator
+    uses itself. An empty table stays so.
     """
     dot = F.aggregate(F.zip_with("__f", F.array(*map(F.lit, model.weights[:-1])), lambda a, b: a * b), F.lit(float(model.weights[-1])), lambda a, b: a + b)
     out = scored(docs, model, text_col, "__f").withColumn("score", 1 / (1 + F.exp(-dot))).drop("__f")
