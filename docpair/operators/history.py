@@ -43,12 +43,15 @@ def admissions(history: DataFrame, limit: int = 1) -> DataFrame:
 
 
 def merged_intervals(rows: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """key, start, end, parts: overlapping or touching intervals of a key joined."""
+    """key, first, last, parts, months: overlapping or touching intervals of a key joined, and the months they touch, both ends included."""
     ahead = Window.partitionBy(key).orderBy(start, end)
     reach = F.max(end).over(ahead.rowsBetween(Window.unboundedPreceding, -1))
     marked = rows.withColumn("__new", F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0))
     islands = marked.withColumn("__island", F.sum("__new").over(ahead.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy(key, "__island").agg(F.min(start).alias("first"), F.max(end).alias("last"), F.count(F.lit(1)).alias("parts")).drop("__island")
+    out = islands.groupBy(key, "__island").agg(F.min(start).alias("first"), F.max(end).alias("last"), F.count(F.lit(1)).alias("parts")).drop("__island")
+    if dict(rows.dtypes)[start] != "date":
+        return out
+    return out.withColumn("months", (F.year("last") - F.year("first")) * 12 + F.month("last") - F.month("first") + 1)
 
 
 def sections(docs: DataFrame, most_chars: int = 40) -> DataFrame:
@@ -85,3 +88,20 @@ def score_ranks(history: DataFrame, key: str = "user_id") -> DataFrame:
     of_all = F.sum("n").over(Window.partitionBy(key))
     ranks = counts.select(key, "overall_score", F.round(100.0 * F.coalesce(below, F.lit(0)) / of_all, 2).alias("percentile"))
     return history.join(ranks, [key, "overall_score"]).select("id", "percentile")
+
+
+def rehydrated(history: DataFrame, column: str, shape: str) -> DataFrame:
+    """history with a JSON column as a struct of a declared shape, besides its other columns; unknown fields are left out, missing ones are
+    null, and so is the struct of broken JSON."""
+    parsed = F.from_json(column, shape, {"mode": "PERMISSIVE"})
+    broken = F.col(column).isNull() | F.try_parse_json(column).isNull()
+    return history.withColumn(column, F.when(~broken, parsed))
+
+
+def without_expired(history: DataFrame, days: int) -> tuple[DataFrame, DataFrame]:
+    """Rows to keep, and rows to delete, which are more than so many days older than the newest; none if days is 0 or less."""
+    if days <= 0:
+        return history, history.limit(0)
+    newest = history.agg(F.max("created_at").alias("__newest"))
+    marked = history.join(F.broadcast(newest)).withColumn("__old", F.col("created_at") < F.col("__newest") - F.expr(f"interval {days} days"))
+    return marked.where("not __old").drop("__newest", "__old"), marked.where("__old").drop("__newest", "__old")

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType
 
 from ..functions.text import EMAIL, TOKEN, URL, lemma, tokens
 from .terms import STOP_WORDS
@@ -99,44 +95,40 @@ def ngrams(docs: DataFrame, sizes: tuple[int, ...] = (2, 3)) -> DataFrame:
     return ts.select("doc_id", F.inline(F.flatten(F.array_compact(F.array(*map(runs, sizes))))))
 
 
-@F.pandas_udf(ArrayType(BooleanType()))
-def _leftmost(starts: pd.Series, lengths: pd.Series) -> pd.Series:
-    def sweep(s, n):
-        end, keep = 0, []
-        for a, b in zip(s, n, strict=True):
-            keep.append(bool(a >= end))
-            end = a + b if a >= end else end
-        return keep
-
-    return pd.Series([sweep(s, n) for s, n in zip(starts, lengths, strict=True)])
-
-
 def longest_matches(docs: DataFrame, dictionary: DataFrame, sizes: tuple[int, ...] = (2, 3)) -> DataFrame:
     """doc_id, pos, n, surface: dictionary entries in texts that don't overlap: from the left, the longest at each place."""
     hits = ngrams(docs, sizes).join(dictionary, "surface", "left_semi")
     lists = hits.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", (-F.col("n")).alias("less"), "n", "surface"))).alias("hits"))
-    kept = lists.select("doc_id", "hits", _leftmost("hits.pos", "hits.n").alias("keep"))
-    pairs = F.filter(F.arrays_zip("hits", "keep"), lambda x: x["keep"])
-    return kept.select("doc_id", F.explode(pairs).alias("x")).select("doc_id", "x.hits.pos", "x.hits.n", "x.hits.surface")
+    free = lambda kept, h: h["pos"] >= F.element_at(kept, -1)["pos"] + F.element_at(kept, -1)["n"]
+    kept = F.aggregate(F.slice("hits", 2, 1 << 30), F.slice("hits", 1, 1), lambda a, h: F.when(free(a, h), F.concat(a, F.array(h))).otherwise(a))
+    return lists.select("doc_id", F.inline_outer(kept)).drop("less")
 
 
-def chunks(docs: DataFrame, most: int = 512, overlap: int = 64) -> DataFrame:
-    """doc_id, chunk_no, start, chunk: pieces of at most so many characters that overlap.
+def chunk_arrays(text: Column, most: int = 512, overlap: int = 64) -> Column:
+    """Pieces of a text (start, chunk) of at most so many characters; each begins `overlap` characters before the end of the one before.
 
-    A piece ends behind the last sentence or line that ends in its second half, else at the limit. Null and empty texts have none.
+    A piece ends behind the last full stop before a blank, or the last newline, of its second half; else at the limit. The
+    overlap must be less than half of `most`, so that each piece gets further. Null and empty texts have none.
     """
+    if not 0 <= overlap < most // 2:
+        raise ValueError("overlap must be less than half of a piece")
+    size = F.char_length(text)
+    none = F.array().cast("array<struct<start:int,chunk:string>>")
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for i, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                rows, at = [], 0
-                while at < len(text):
-                    end = min(len(text), at + most)
-                    if end < len(text):
-                        mark = max(text.rfind(". ", at, end), text.rfind("\n", at, end))
-                        end = mark + 1 if mark > at + most // 2 else end
-                    rows.append((i, len(rows), at, text[at:end]))
-                    at = end if end == len(text) else end - overlap
-                yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "start", "chunk"])
-
-    return docs.where("text <> ''").select("doc_id", "text").mapInPandas(split, "doc_id long, chunk_no int, start int, chunk string")
+    def step(s: Column, _: Column) -> Column:
+        window = F.substring(text, s["at"] + 1, F.lit(most))
+        marked = F.char_length(F.regexp_extract(window, r"(?s)^.*(?:\. |\n)", 0)) - F.regexp_extract(window, r"(?s)^.*(?:\. |\n)", 0).endswith(" ").cast("int")
+        taken = F.when(s["at"] + most >= size, size - s["at"]).when(marked > most // 2, marked).otherwise(most)
+        after = s["at"] + taken
+        piece = F.struct(s["at"].alias("start"), F.substring(text, s["at"] + 1, taken).alias("chunk"))
+        return F.when(s["at"] >= size, s).otherwise(F.struct(F.when(after >= size, size).otherwise(after - overlap).cast("int").alias("at"), F.concat(s["out"], F.array(piece)).alias("out")))
+
+    steps = F.sequence(F.lit(1), (size / (most // 2 - overlap)).cast("int") + 1)
+    return F.when(size > 0, F.aggregate(steps, start, step, lambda s: s["out"]))
+
+
+def chunks(docs: DataFrame, most: int = 512, overlap: int = 64) -> DataFrame:
+    """doc_id, chunk_no, start, chunk: a row for each piece of chunk_arrays()."""
+    rows = docs.select("doc_id", F.posexplode_outer(chunk_arrays(F.col("text"), most, overlap)).alias("chunk_no", "c"))
+    return rows.where("c is not null").select("doc_id", "chunk_no", "c.start", "c.chunk")

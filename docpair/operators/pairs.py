@@ -6,27 +6,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import calibrated, grade
-from .terms import content_rows, skills_of
+from .terms import content_rows, gram_rows, skills_of
 
 WEIGHTS = {"keyword": 0.4, "skills": 0.4, "length": 0.2}
 
 
-def neighbours(docs: DataFrame) -> DataFrame:
-    """pair_id, doc_id, side: even ids on the left, each with the next id on the right."""
-    return docs.select(F.floor(F.col("doc_id") / 2).cast("long").alias("pair_id"), "doc_id", F.when(F.col("doc_id") % 2 == 0, "left").otherwise("right").alias("side"))
-
-
 def _sided(rows: DataFrame) -> DataFrame:
     return rows.withColumn("pair_id", F.floor(F.col("doc_id") / 2).cast("long")).withColumn("is_left", F.col("doc_id") % 2 == 0)
 
 
-def tfidf_cosine(docs: DataFrame) -> DataFrame:
-    """pair_id, cosine: of 1 + ln(tf) times an idf over the two documents (1 for terms of both, else 1 + ln(3/2)).
+def _cosine(sided: DataFrame) -> DataFrame:
+    """pair_id, cosine, from pair_id, is_left, text: of 1 + ln(tf) of runs of 1 to 3 content tokens, times an idf over the two
+    documents (1 for terms of both, else 1 + ln(3/2)).
 
-    One aggregation by pair and term; no join of the sides.
+    Documents are dealt by pair; what follows is counted and summed there, without a join of the sides.
     """
     n_left, n_right = F.sum(F.col("is_left").cast("int")), F.sum((~F.col("is_left")).cast("int"))
-    terms = _sided(content_rows(docs)).groupBy("pair_id", "tok").agg(n_left.alias("a"), n_right.alias("b"))
+    terms = gram_rows(sided.select("pair_id", "is_left", "text"), "pair_id").groupBy("pair_id", "tok").agg(n_left.alias("a"), n_right.alias("b"))
     idf = F.when((F.col("a") > 0) & (F.col("b") > 0), 1.0).otherwise(1 + F.log(F.lit(1.5)))
     w = lambda c: F.when(F.col(c) > 0, (1 + F.log(c)) * idf).otherwise(0.0)
     sums = terms.select("pair_id", w("a").alias("a"), w("b").alias("b")).groupBy("pair_id").agg(F.sum(F.col("a") * F.col("b")).alias("ab"), F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("b") * F.col("b")).alias("bb"))
@@ -34,6 +30,17 @@ def tfidf_cosine(docs: DataFrame) -> DataFrame:
     return sums.select("pair_id", F.round(F.least(cosine, F.lit(1.0)), 6).alias("cosine"))
 
 
+def tfidf_cosine(docs: DataFrame) -> DataFrame:
+    """pair_id, cosine of each even doc_id and the next."""
+    return _cosine(_sided(docs))
+
+
+def cosine_of(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """pair_id, cosine of given pairs (pair_id, left_id, right_id) of two tables (doc_id, text)."""
+    side = lambda docs, name: pairs.join(docs.select(F.col("doc_id").alias(f"{name}_id"), "text"), f"{name}_id").select("pair_id", F.lit(name == "left").alias("is_left"), "text")
+    return _cosine(side(left, "left").unionByName(side(right, "right")))
+
+
 def skill_match(docs: DataFrame) -> DataFrame:
     """pair_id, matched, missing, extra, recall, precision, f1, score: dictionary terms of the right found on the left."""
     sides = _sided(skills_of(docs)).groupBy("pair_id", "tok").agg(F.max(F.col("is_left").cast("int")).alias("l"), F.max((~F.col("is_left")).cast("int")).alias("r"))

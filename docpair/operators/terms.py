@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import tokens, valid_term
 
 #: Words that carry no content, in the corpus's languages.
 STOP_WORDS = "the of and to in is it that for on with as by at this be are was an a from or le la de et les des du un une en que qui der die das und ist von mit ein eine zu den el los las y es con por".split()
@@ -22,26 +22,43 @@ def content_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(listed).alias("pos", "tok"))
 
 
+def content_tokens(text: Column) -> Column:
+    """Tokens that are no stop words, nor single letters, in order."""
+    return F.filter(tokens(text), lambda t: (~t.isin(STOP_WORDS)) & (F.char_length(t) > 1))
+
+
+def runs(listed: Column, n: int) -> Column:
+    """Each run of n entries, joined by blanks."""
+    if n == 1:
+        return listed
+    return F.transform(F.filter(F.transform(listed, lambda t, i: i), lambda i: i + n <= F.size(listed)), lambda i: F.array_join(F.slice(listed, i + 1, n), " "))
+
+
+def gram_rows(docs: DataFrame, key: str = "doc_id", sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """docs with tok, a row for each run of 1 to 3 content tokens. The documents are dealt by key before, so that what is counted by key
+    needs no further shuffle: a text is a sixth of its runs."""
+    listed = docs.repartition(key).withColumn("__ts", content_tokens(F.col("text"))).drop("text")
+    return listed.withColumn("tok", F.explode_outer(F.flatten(F.array(*[runs(F.col("__ts"), n) for n in sizes])))).where("tok is not null").drop("__ts")
+
+
 def bigram_counts(docs: DataFrame) -> DataFrame:
     """doc_id, n_bigrams, n_distinct: pairs of adjacent content tokens."""
-    after = Window.partitionBy("doc_id").orderBy("pos")
-    pairs = content_rows(docs).withColumn("next", F.lead("tok").over(after)).where("next is not null")
-    per_pair = pairs.groupBy("doc_id", "tok", "next").agg(F.count(F.lit(1)).alias("n"))
-    return per_pair.groupBy("doc_id").agg(F.sum("n").alias("n_bigrams"), F.count(F.lit(1)).alias("n_distinct"))
+    pairs = docs.select("doc_id", runs(content_tokens(F.col("text")), 2).alias("b"))
+    return pairs.where(F.size("b") > 0).select("doc_id", F.size("b").cast("long").alias("n_bigrams"), F.size(F.array_distinct("b")).cast("long").alias("n_distinct"))
 
 
 def tf_weights(docs: DataFrame) -> DataFrame:
-    """doc_id, tok, tf, weight: 1 + ln(tf), of length 1 over a document. One document is its own corpus: idf is 1."""
-    counts = content_rows(docs).groupBy("doc_id", "tok").agg(F.count(F.lit(1)).alias("tf"))
+    """doc_id, tok, tf, weight: 1 + ln(tf) of runs of 1 to 3 content tokens, of length 1 over a document. One document is its own corpus: idf is 1."""
+    counts = gram_rows(docs.select("doc_id", "text")).groupBy("doc_id", "tok").agg(F.count(F.lit(1)).alias("tf"))
     raw = counts.withColumn("w", 1 + F.log("tf"))
     norm = Window.partitionBy("doc_id")
     return raw.select("doc_id", "tok", "tf", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(norm))).alias("weight"))
 
 
 def top_terms(docs: DataFrame, k: int = 10) -> DataFrame:
-    """The k terms of the highest weight in each document, ties by term."""
+    """The k valid terms of the highest weight in each document, ties by term."""
     best = Window.partitionBy("doc_id").orderBy(F.col("tf").desc(), "tok")
-    ranked = tf_weights(docs).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ranked = tf_weights(docs).where(valid_term(F.col("tok"))).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("doc_id", "rank", "tok", "tf", F.round("weight", 6).alias("score"))
 
 
@@ -51,8 +68,11 @@ def first_surfaces(docs: DataFrame) -> DataFrame:
     return words.groupBy("doc_id", F.lower("word").alias("key")).agg(F.min(F.struct("pos", "word")).alias("first")).select("doc_id", "key", F.col("first.word").alias("surface"), F.col("first.pos").alias("pos"))
 
 
-def skills_of(docs: DataFrame, least_chars: int = 9, least_docs: int = 3, most_docs: int = 200) -> DataFrame:
-    """doc_id, tok: a document's dictionary terms; the dictionary is the corpus's long tokens that neither few nor many documents have."""
+def skills_of(docs: DataFrame, least_chars: int = 9, least_docs: int = 3) -> DataFrame:
+    """doc_id, tok: a document's dictionary terms; the dictionary is the corpus's long tokens that at least so many documents have.
+
+    Frequent tokens are pre-aggregated, first within documents, then in counts.
+    """
     each = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("tok")).where(F.char_length("tok") >= least_chars)
-    dictionary = each.groupBy("tok").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(least_docs, most_docs)).select("tok")
+    dictionary = each.groupBy("tok").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs).select("tok")
     return each.join(dictionary, "tok", "left_semi").select("doc_id", "tok")

@@ -2,6 +2,7 @@ import pytest
 from compare import assert_same
 from conftest import SF
 
+from docpair.plans import analysis
 from docpair.plans.queries import ORACLE, QUERIES
 
 
@@ -10,8 +11,13 @@ def test_matches_sql(spark, name):
     assert_same(spark, SF, QUERIES[name], ORACLE[name])
 
 
+@pytest.mark.parametrize("name", analysis.ORACLE)
+def test_analysis_matches_sql(spark, name):
+    assert_same(spark, SF, analysis.QUERIES[name], analysis.ORACLE[name])
+
+
 def test_entry(spark):
     import __spark_entry__
 
-    assert __spark_entry__.entry(spark).count() == 100
+    assert __spark_entry__.entry(spark).count() == spark.read.parquet(f"{SF}/orders.parquet").count()
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
