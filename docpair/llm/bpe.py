@@ -3,7 +3,7 @@
 A text is cut at special tokens, then into words by the vocabulary's pattern. A word's merges are driven by a segment
 tree over the ranks of adjacent pairs, with WIDE children to a node: the root is the leftmost pair of the lowest rank;
 a merge updates the leaves beside it, each in logarithmic time, until no pair can be merged. Words repeat, so each
-Python worker keeps the ids of up to twice CACHED words it has met last.
+task keeps the ids of up to twice CACHED words it has met last.
 
 A word is a run of letters, digits, blanks or signs, so a very long text may be one word: it takes about 250 bytes of
 memory a byte and time n log n, and is not kept.
@@ -16,7 +16,6 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,7 +29,7 @@ from .shared import bounded_batches
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same words where a text is ASCII.
 ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
-CACHED, WIDE = 300_000, 16
+CACHED, WIDE = 120_000, 16
 NONE = 1 << 62
 
 
@@ -67,7 +66,6 @@ class Bpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_letters()
-        to_byte = {c: b for b, c in enumerate(letters)}
         ids = spec["model"]["vocab"]
         self.first = [ids[c] for c in letters]
         self.ranks: dict[tuple[int, int], int] = {}
@@ -77,9 +75,6 @@ class Bpe:
             self.ranks.setdefault((ids[a], ids[b]), rank)
             self.made.append(ids[a + b])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        known = {i: bytes(to_byte[c] for c in token) for token, i in ids.items() if all(c in to_byte for c in token)}
-        known |= {i: token.encode() for token, i in self.special.items()}
-        self.bytes = [known.get(i) for i in range(max(known) + 1)]
         self.words, self.ascii_words = regex.compile(PATTERN), re.compile(ASCII_PATTERN, re.ASCII)
         marks = sorted(self.special, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
@@ -135,16 +130,23 @@ class Bpe:
         parts = self.marks.split(text)  # every second part is a special token
         return b"".join(array("I", [self.special[part]]).tobytes() if odd else b"".join(map(ids_of, words(part))) for at, part in enumerate(parts) for odd in (at % 2,))
 
+
+class Decoder:
+    """The bytes of each id of the vocabulary in a tokenizers JSON file."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        to_byte = {c: b for b, c in enumerate(byte_letters())}
+        known = {i: bytes(to_byte[c] for c in token) for token, i in spec["model"]["vocab"].items() if all(c in to_byte for c in token)}
+        known |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+        self.bytes = [known.get(i) for i in range(max(known) + 1)]
+
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters."""
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
-def loaded(path: str) -> Bpe:
-    return Bpe(path)
-
-
 def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """Adds ids (binary, little-endian unsigned 32-bit) and n_tokens (long) to docs; columns of these names are replaced.
 
@@ -154,7 +156,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
 
     @F.pandas_udf("binary")
     def ids_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = loaded(path)
+        bpe = Bpe(path)  # for the task: workers live on, and shouldn't keep it
         for texts in parts:
             yield pd.Series([bpe.encode(t or "") for t in texts], dtype=object)
 
@@ -167,9 +169,9 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
 
     @F.pandas_udf("string")
     def text_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = loaded(path)
+        decoder = Decoder(path)
         for ids in parts:
-            yield pd.Series([bpe.decode(x or b"") for x in ids], dtype=object)
+            yield pd.Series([decoder.decode(x or b"") for x in ids], dtype=object)
 
     return encoded.withColumn("decoded", text_of(F.col(ids_col)))
 
@@ -183,12 +185,12 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     bounded_batches(docs.sparkSession)
 
     def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = loaded(path)
+        bpe, decoder = Bpe(path), Decoder(path)
         for pdf in batches:
             ids = [bpe.encode(t or "") for t in pdf["__text"]]
             yield pd.DataFrame({
                 id_col: pdf["__id"], "n_tokens": [len(x) // 4 for x in ids], "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
-                "decoded_sha256": [hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids],
+                "decoded_sha256": [hashlib.sha256(decoder.decode(x).encode()).hexdigest() for x in ids],
             })
 
     kind = dict(docs.dtypes)[id_col]
