@@ -45,6 +45,24 @@ def test_line_dedup(spark, odd):
     assert line_dedup.drop_repeated_lines(docs_of(spark, odd)).columns == ["doc_id", "text", "source", "lang", "score", "n_lines", "n_dropped"]
 
 
+@pytest.mark.parametrize("common", [4096, 1])
+def test_line_dedup_against_plain_python(spark, monkeypatch, common):
+    monkeypatch.setattr(line_dedup, "COMMON", common)
+    rng = random.Random(8)
+    lines = ["", "short", *(f"a line of words number {i}" for i in range(12)), "\tA Line of Words number 3  ", "ÀLL of the words are here now", "àll of the words are here now"]
+    rows = [(rng.choice([None, *range(40)]), "\n".join(rng.choices(lines, k=rng.randint(1, 9)))) for _ in range(60)]
+    key = lambda x: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x.strip(" \t\n\x0b\x0c\r"))
+    held: dict = {}
+    for i, t in rows:
+        for x in t.split("\n"):
+            held.setdefault(key(x), set()).add(i)
+    last = {k: max(v, key=lambda i: -1 if i is None else i) for k, v in held.items() if len(k) >= 20 and len(v) >= 3}
+    want = [(i, "\n".join(x for x in t.split("\n") if last.get(key(x), i) == i), t.count("\n") + 1, sum(last.get(key(x), i) != i for x in t.split("\n"))) for i, t in rows]
+    got = line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    order = lambda r: (-1 if r[0] is None else r[0], *map(str, r[1:]))
+    assert sorted((tuple(r) for r in got), key=order) == sorted(want, key=order)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     vectors = [rng.normal(size=9).tolist() for _ in range(130)]
@@ -66,7 +84,9 @@ def test_media_round_trip(spark, odd):
     assert back == payloads
     out = media.with_features(media.with_media(docs_of(spark, odd))).select("doc_id", "features.*").toPandas().set_index("doc_id")
     for i, t in enumerate(odd):
-        p = media.payload_of(t)
+        raw = (t or "").encode()
+        p = raw + b" " * (-len(raw) % 192 if raw else 192)
+        assert p == media.payload_of(t)
         assert (out.loc[i, "payload_bytes"], out.loc[i, "payload_sha256"], out.loc[i, "tail_crc32"]) == (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
 
 
@@ -89,14 +109,14 @@ def test_bpe_equals_the_library(spark, odd):
     from tokenizers import Tokenizer
 
     path = queries.vocabulary()
-    library, own = Tokenizer.from_file(path), bpe.Bpe(path)
+    library, own, decoder = Tokenizer.from_file(path), bpe.Bpe(path), bpe.Decoder(path)
     rng = random.Random(5)
     bits = ["a", "B", " ", "  ", "\n", "\t", "\x1c", "\x85", " ", " ", "é", "1", "²", "!", "'s", "'re", "<|endoftext|>", "<|", "中", "😀", "́", "\r\n", "\x00"]
     texts = [t or "" for t in odd] + ["".join(rng.choices(bits, k=rng.randint(0, 30))) for _ in range(400)] + ["a" * 3000, " " * 700]
     for t in texts:
         ids = library.encode(t, add_special_tokens=False).ids
         assert np.frombuffer(own.encode(t), "<u4").tolist() == ids
-        assert own.decode(np.array(ids, "<u4").tobytes()) == library.decode(ids, skip_special_tokens=False)
+        assert decoder.decode(np.array(ids, "<u4").tobytes()) == library.decode(ids, skip_special_tokens=False)
     docs = docs_of(spark, odd)
     whole = bpe.decode(bpe.encode(docs, path), path).toPandas()
     assert all(d == (t or "") for d, t in zip(whole["decoded"], whole["text"], strict=True))
@@ -130,6 +150,21 @@ def test_sharding(spark, odd):
     assert counts["count"].max() - counts["count"].min() <= 1 and (counts["min"] == 0).all() and (counts["nunique"] == counts["count"]).all()
     for n in (1, 2, 3, 17, 1000):
         assert sorted(sharding.permuted(np.arange(n), n, 1)) == list(range(n))
+    raw = [(t or "").encode() for t in odd]
+    order = sorted(range(len(odd)), key=lambda i: i)  # ids are told apart by themselves
+    got = got.set_index("doc_id")
+    for number, i in enumerate(order):
+        left, right, half = None, number, max(1, ((len(odd) - 1).bit_length() + 1) // 2)
+        keys = [int(k) for k in np.random.Generator(np.random.PCG64(17)).integers(0, 1 << 62, sharding.ROUNDS)]
+        while left is None or number >= len(odd):
+            left, right = number >> half, number & (1 << half) - 1
+            for k in keys:
+                x = (right + k) * 0x9E3779B97F4A7C15 % 2**64
+                x = (x ^ x >> 29) * 0xBF58476D1CE4E5B9 % 2**64
+                left, right = right, left ^ (x ^ x >> 32) & (1 << half) - 1
+            number = left << half | right
+        assert (got.loc[i, "shard"], got.loc[i, "slot"]) == (number % 4, number // 4)
+        assert (got.loc[i, "size"], got.loc[i, "text_crc32"], got.loc[i, "law"]) == (len(raw[i]) + 16, zlib.crc32(raw[i]), "rows")
     twice = docs_of(spark, odd).union(docs_of(spark, odd))
     assert sharding.shard_rows(twice, 4).select("shard", "slot").distinct().count() == 2 * len(odd)
     assert sharding.shard_rows(twice.limit(0)).count() == 0
@@ -192,6 +227,24 @@ def test_mixing(spark, odd):
     assert lone.groupby(lone["source"].fillna("~")).target.first().tolist() == [2.0, 4.0, 6.0]
 
 
+def test_mixing_draws_each_document_by_its_own_hash(spark, monkeypatch):
+    rng = random.Random(6)
+    docs = docs_of(spark, [" ".join(["w"] * rng.randint(1, 300)) for _ in range(400)], [f"s{rng.choice([0, 0, 0, 1, 2])}" for _ in range(400)])
+    plan = mixing.copies_by_document(docs).toPandas().sort_values("doc_id")
+    near = plan.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
+    assert ((near.taken - near.target).abs() < 0.01 * near.target).all()
+    place = [int(hashlib.md5(f"mix-2:{i}".encode()).hexdigest()[:13], 16) for i in plan["doc_id"]]
+    for name, group in plan.assign(place=place).groupby("source"):
+        rate = min(group.target.iloc[0] / group.source_size.iloc[0], 3.0)
+        whole, part = int(rate), int((rate - int(rate)) * 2**52)
+        taken = [[s * (whole + ((p + k * 2**46) % 2**52 < part)) for s, p in zip(group["size"], group.place, strict=True)] for k in range(64)]
+        best = min(range(64), key=lambda k: (abs(sum(taken[k]) - group.target.iloc[0]), k))
+        assert group.taken.tolist() == taken[best], name
+    assert set(plan.copies) <= {int(r) + k for r in (plan.target / plan.source_size) for k in (0, 1)}
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", 0)
+    assert mixing.copies_by_document(docs).toPandas().sort_values("doc_id").taken.tolist() == plan.taken.tolist()
+
+
 def brute_strings(texts, n=suffix_dedup.LENGTH):
     seen, out = set(), {}
     for i, t in enumerate(texts):
@@ -206,20 +259,32 @@ def brute_strings(texts, n=suffix_dedup.LENGTH):
     return out
 
 
-@pytest.mark.parametrize("hot", [4096, 2])
-def test_suffix_dedup(spark, odd, hot, monkeypatch):
+@pytest.mark.parametrize(("hot", "piece", "deal"), [(4096, 1 << 17, 1 << 23), (2, 1 << 17, 1 << 23), (4096, 100, 1 << 10)])
+def test_suffix_dedup(spark, odd, hot, piece, deal, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", piece)
+    monkeypatch.setattr(suffix_dedup, "DEAL", deal)
     got = suffix_dedup.drop_repeated_strings(docs_of(spark, odd)).collect()
     assert {r["doc_id"]: (bytes(r["kept"]), r["n_bytes"], r["n_removed"], r["n_spans"]) for r in got} == brute_strings(odd)
     assert suffix_dedup.drop_repeated_strings(docs_of(spark, odd).limit(0)).count() == 0
 
 
+def test_suffix_dedup_of_ids_that_are_null_or_repeated(spark):
+    long = "".join(f"word{i} " for i in range(40))
+    rows = [(None, long[:80]), (3, long), (3, long[40:] + "tail"), (3, long), (7, "head " + long[:60]), (None, long[20:80])]
+    got = suffix_dedup.drop_repeated_strings(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    removed = lambda i: sorted((r["n_bytes"], r["n_removed"], r["n_spans"]) for r in got if r["doc_id"] == i)
+    assert removed(None) == [(60, 0, 0), (80, 0, 0)]  # one document, smaller than any other
+    assert removed(3) == sorted([(len(long), 80, 1)] * 2 + [(len(long) - 36, 0, 0)])
+    assert removed(7) == [(65, 60, 1)]
+
+
 def test_suffix_array_is_sorted():
     rng = random.Random(4)
     for text in ("banana" * 30, "a" * 100, "".join(rng.choices("ab", k=500)), "x"):
         data = np.frombuffer(text.encode() + bytes(64), np.uint8)
-        keys = [suffix_dedup._eights(data[8 * r :], ">u8").astype(np.uint64)[: len(text)] for r in range(7)]
-        order = suffix_dedup.suffix_array(data[: len(text)], keys)
+        order = suffix_dedup.suffix_array(data, len(text))
         assert sorted(order) == list(range(len(text)))
         got = [text[i : i + 50].encode() for i in order]
         assert got == sorted(got)
@@ -233,3 +298,31 @@ def test_pipeline_stages(spark):
         assert stage(spark, docs, SF).columns == docs.columns, name
     out = corpus_pipeline.run(spark, SF)
     assert isinstance(out.toPandas(), pd.DataFrame) and out.count() > 0
+
+
+def test_quality_is_a_plain_convolution(spark, odd):
+    rng = np.random.default_rng(7)
+    net = quality.Network(rng.normal(0, 0.3, (quality.WIDTH, 256, quality.FILTERS)).astype(np.float32), rng.normal(0, 0.2, quality.FILTERS).astype(np.float32), rng.normal(0, 0.2, 2 * quality.FILTERS).astype(np.float32), -0.3)
+    got = {r["doc_id"]: r["score"] for r in quality.with_quality(docs_of(spark, odd), net).collect()}
+    seg, span, step = quality.SEGMENT, quality.SPAN, quality.STEP
+    for i, t in enumerate(odd):
+        raw = (t or "").encode()
+        n = -(-(len(raw) + quality.WIDTH) // seg)
+        padded = np.frombuffer(raw + bytes(n * seg + quality.WIDTH - len(raw)), np.uint8)
+        response = np.array([sum(net.tables[j][padded[p + j]] for j in range(quality.WIDTH)) for p in range(n * seg)]) + net.bias
+        starts = range(0, max(n - span, 0) + step, step) if n > span else [0]
+        starts = [s for k, s in enumerate(starts) if k == 0 or starts[k - 1] + span < n]
+        chunks = np.array([np.maximum(response[s * seg : min(s + span, n) * seg], 0).max(0) for s in starts])
+        x = np.concatenate([chunks.max(0), chunks.mean(0)])
+        assert abs(got[i] - 1 / (1 + np.exp(-(x @ net.out + net.base)))) < 1e-4, i
+
+
+def test_empty_and_repeated_labels(spark, odd):
+    docs = docs_of(spark, odd)
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    repeated = spark.createDataFrame([(9, 1, 1), (9, 1, 1), (10, 0, 0), (None, 1, 1), (9999, 1, 1), (11, None, None)], "doc_id long, quality int, toxic int")
+    for labels in (none, repeated):
+        for scored in (toxicity.with_toxicity(docs, toxicity.learn(docs, labels)), quality.with_quality(docs, quality.learn(docs, labels))):
+            assert scored.where("score between 0 and 1").count() == len(odd) and "lang" in scored.columns
+    assert toxicity.with_toxicity(docs.limit(0), toxicity.learn(docs.limit(0), none)).count() == 0
+    assert quality.with_quality(docs.limit(0), quality.learn(docs.limit(0), none)).count() == 0
