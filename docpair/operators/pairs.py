@@ -19,10 +19,10 @@ def _cosine(sided: DataFrame) -> DataFrame:
     """pair_id, cosine, from pair_id, is_left, text: of 1 + ln(tf) of runs of 1 to 3 content tokens, times an idf over the two
     documents (1 for terms of both, else 1 + ln(3/2)).
 
-    Documents are dealt by pair; what follows is counted and summed there, without a join of the sides.
+    One aggregation by pair and term; no join of the sides.
     """
     n_left, n_right = F.sum(F.col("is_left").cast("int")), F.sum((~F.col("is_left")).cast("int"))
-    terms = gram_rows(sided.select("pair_id", "is_left", "text"), "pair_id").groupBy("pair_id", "tok").agg(n_left.alias("a"), n_right.alias("b"))
+    terms = gram_rows(sided.select("pair_id", "is_left", "text")).groupBy("pair_id", "tok").agg(n_left.alias("a"), n_right.alias("b"))
     idf = F.when((F.col("a") > 0) & (F.col("b") > 0), 1.0).otherwise(1 + F.log(F.lit(1.5)))
     w = lambda c: F.when(F.col(c) > 0, (1 + F.log(c)) * idf).otherwise(0.0)
     sums = terms.select("pair_id", w("a").alias("a"), w("b").alias("b")).groupBy("pair_id").agg(F.sum(F.col("a") * F.col("b")).alias("ab"), F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("b") * F.col("b")).alias("bb"))

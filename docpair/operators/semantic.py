@@ -60,7 +60,7 @@ def similarities(groups: DataFrame) -> DataFrame:
 
     Texts without content terms, and null ones, have 0.
     """
-    terms = lambda c: F.concat(content_tokens(c), runs(content_tokens(c), 2))
+    terms = lambda c: F.transform(F.array(content_tokens(c)), lambda ts: F.concat(ts, runs(ts, 2)))[0]  # noqa: E731  one list, read at every place
     chunked = F.transform("texts", lambda t: F.coalesce(F.transform(chunk_arrays(t, MOST, OVERLAP), lambda c: terms(c["chunk"])), F.array().cast("array<array<string>>")))
     kind = dict(groups.dtypes)["key"]
 

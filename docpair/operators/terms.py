@@ -34,16 +34,16 @@ def runs(listed: Column, n: int) -> Column:
     return F.transform(F.filter(F.transform(listed, lambda t, i: i), lambda i: i + n <= F.size(listed)), lambda i: F.array_join(F.slice(listed, i + 1, n), " "))
 
 
-def gram_rows(docs: DataFrame, key: str = "doc_id", sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """docs with tok, a row for each run of 1 to 3 content tokens. The documents are dealt by key before, so that what is counted by key
-    needs no further shuffle: a text is a sixth of its runs."""
-    listed = docs.repartition(key).withColumn("__ts", content_tokens(F.col("text"))).drop("text")
+def gram_rows(docs: DataFrame, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """docs with tok in the place of text, a row for each run of 1 to 3 content tokens."""
+    listed = docs.withColumn("__ts", content_tokens(F.col("text"))).drop("text")
     return listed.withColumn("tok", F.explode_outer(F.flatten(F.array(*[runs(F.col("__ts"), n) for n in sizes])))).where("tok is not null").drop("__ts")
 
 
 def bigram_counts(docs: DataFrame) -> DataFrame:
     """doc_id, n_bigrams, n_distinct: pairs of adjacent content tokens."""
-    pairs = docs.select("doc_id", runs(content_tokens(F.col("text")), 2).alias("b"))
+    listed = docs.select("doc_id", content_tokens(F.col("text")).alias("ts"))  # runs() reads its list at every place
+    pairs = listed.select("doc_id", runs(F.col("ts"), 2).alias("b"))
     return pairs.where(F.size("b") > 0).select("doc_id", F.size("b").cast("long").alias("n_bigrams"), F.size(F.array_distinct("b")).cast("long").alias("n_distinct"))
 
 

@@ -18,8 +18,9 @@ def test_intervals_that_touch_are_joined(spark):
 
 
 def test_equal_pair_has_cosine_one(spark):
-    docs = spark.createDataFrame([(0, "alpha beta"), (1, "beta alpha"), (2, None), (3, "x y")], "doc_id long, text string")
-    assert {r["pair_id"]: r["cosine"] for r in pairs.tfidf_cosine(docs).collect()} == {0: 1.0}
+    docs = spark.createDataFrame([(0, "alpha beta"), (1, "beta alpha"), (2, None), (3, "x y"), (4, "alpha beta"), (5, "the alpha beta")], "doc_id long, text string")
+    # of 0 and 1 the words agree, but not their runs of two: 2 / (2 + (1 + ln 1.5) ** 2)
+    assert {r["pair_id"]: r["cosine"] for r in pairs.tfidf_cosine(docs).collect()} == {0: 0.503103, 2: 1.0}
 
 
 def test_page_past_the_end_is_empty(spark):
