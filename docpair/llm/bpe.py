@@ -176,6 +176,21 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     return encoded.withColumn("decoded", text_of(F.col(ids_col)))
 
 
+def encode_and_decode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """encode() and decode() in one pass of one Python worker: adds ids, n_tokens and decoded; columns of these names are replaced."""
+    bounded_batches(docs.sparkSession)
+
+    @F.pandas_udf("ids binary, decoded string")
+    def both(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        bpe, decoder = Bpe(path), Decoder(path)
+        for texts in parts:
+            ids = [bpe.encode(t or "") for t in texts]
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([decoder.decode(x) for x in ids], dtype=object)})
+
+    out = docs.withColumn("__both", both(F.col(text_col)))
+    return out.withColumns({"ids": F.col("__both.ids"), "n_tokens": (F.octet_length("__both.ids") / 4).cast("long"), "decoded": F.col("__both.decoded")}).drop("__both")
+
+
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns id_col, n_tokens, ids_sha256, decoded_sha256: each text encoded, and its ids decoded, in one pass.
 
