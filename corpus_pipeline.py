@@ -55,8 +55,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """With the ids of each text, their number, and the digest of the text that is decoded from them. Null texts are empty ones, without ids."""
     freed(spark)
-    encoded = bpe.encode(docs.select("doc_id", "source", "lang", "text"), vocabulary()).drop("text")
-    return bpe.decode(encoded, vocabulary()).select("doc_id", "source", "lang", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.encode_and_decode(docs.select("doc_id", "source", "lang", "text"), vocabulary()).select("doc_id", "source", "lang", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("near_dedup", drop_near_copies), ("mixing", mix), ("bpe", to_tokens)]
