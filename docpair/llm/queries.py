@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, media, mixing, near_dedup, quality, sharding, suffix_dedup, topk, toxicity
+from . import bpe, divergence, line_dedup, media, mixing, near_dedup, packing, quality, sharding, suffix_dedup, topk, toxicity, vector_codes
 from .shared import table
 
 
@@ -73,7 +73,53 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies_by_document(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op2_line_dedup, op3_media_columns, op4_bpe, op5_near_dedup, op6_sharding, op7_toxicity, op8_mixing, op9_suffix_dedup, op10_quality)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    hexes = F.array_join(F.transform("indexes", lambda i: F.lower(F.lpad(F.hex(i), 2, "0"))), "")
+    out = vector_codes.with_label_error(codes)
+    return out.select("vec_id", hexes.alias("code"), "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+def word_vocabulary() -> str:
+    """The public vocabulary file with word ends, installed on the driver and all executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), word_vocabulary())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_line_dedup, op3_media_columns, op4_bpe, op5_near_dedup, op6_sharding, op7_toxicity, op8_mixing, op9_suffix_dedup, op10_quality, op11_vector_codes, op12_packing, op13_divergence)}
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """All rounds of op11 as a chain of common table expressions."""
+    nearest = "select vec_id, part, arg_min(k, (d, k)) as k, min(d) as d from (select p.vec_id, p.part, b.k, list_sum([(p.x[i] - b.x[i]) * (p.x[i] - b.x[i]) for i in range(1, len(p.x) + 1)])::bigint as d from p join {0} b using (part)) group by all"
+    steps = [f"""
+v as materialized (select vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::double)::bigint) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as materialized (select vec_id, part, e[part * (len(e) // {parts}) + 1 : (part + 1) * (len(e) // {parts})] as x from v, (select unnest(range({parts})) as part)),
+b0 as materialized (select part, row_number() over (partition by part order by vec_id) - 1 as k, x from p semi join (select vec_id from v order by vec_id limit {entries}) using (vec_id))"""]
+    for i in range(rounds):
+        steps.append(f"""
+a{i} as materialized ({nearest.format(f"b{i}")}),
+s{i} as (select part, k, i, sum(x)::bigint as s, count(*)::bigint as n from (select a.part, a.k, unnest(p.x) as x, generate_subscripts(p.x, 1) as i from a{i} a join p using (vec_id, part)) group by all),
+b{i + 1} as materialized (select part, k, coalesce(y, x) as x from b{i} left join (select part, k, list((s - ((s % n + n) % n)) // n order by i) as y from s{i} group by all) using (part, k))""")
+    last = f"b{rounds}"
+    return "with " + ",".join(steps) + f""",
+a as ({nearest.format(last)}),
+e as (select vec_id, string_agg(printf('%02x', k), '' order by part) as code, sum(d)::bigint as error from a group by vec_id),
+l as (select label, sum(error)::bigint as label_error from e join v using (vec_id) group by label),
+h as (select sha256(string_agg(x::varchar, ',' order by part, k, i)) as codebooks_sha256 from (select part, k, unnest(x) as x, generate_subscripts(x, 1) as i from {last}))
+select vec_id, code, error, label_error, codebooks_sha256 from e join v using (vec_id) join l on v.label is not distinct from l.label cross join h"""
+
 
 #: The same rows in DuckDB's SQL, for operators that SQL can express.
 ORACLE = {
@@ -109,4 +155,22 @@ k as (select source, turn, abs(sum(size * (whole + (((place + turn * 70368744177
 b as (select source, arg_min(turn, (off, turn)) as turn from k group by source)
 select doc_id, size, source_size, target, (size * (whole + (((place + turn * 70368744177664) % 4503599627370496) < part)::bigint))::bigint as taken
 from p join b on p.source is not distinct from b.source""",
+    "op11_vector_codes": _codes_sql(),
+    "op13_divergence": r"""
+with d as (select row_number() over () as doc, coalesce(lang, '') as lang, coalesce(source, '') as source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as ts from documents),
+t as materialized (select doc, lang, source, unnest(ts) as term from d),
+k as materialized (select lang, term from t group by all having count(distinct doc) >= 3),
+c as materialized (select lang, source, term, count(*)::hugeint as n from t semi join k using (lang, term) group by all),
+v as (select lang, count(*)::hugeint as v from k group by lang),
+g as materialized (select lang, source, coalesce(any_value(v), 0) as v, coalesce(sum(n), 0) as n from (select distinct lang, source from d) left join c using (lang, source) left join v using (lang) group by all),
+m as materialized (select lang, g.source, term, coalesce(c.n, 0) as n, (1 + (1000000000 * (coalesce(c.n, 0) + 1)) // (g.n + g.v))::hugeint as p from g join k using (lang) left join c using (lang, source, term)),
+pair as (select a.lang, a.source, b.source as item, coalesce(s.value, 0) as value from g a join g b on a.lang = b.lang and a.source <> b.source left join
+  (select x.lang, x.source, y.source as item, sum(((x.p - y.p) * (x.p - y.p)) // y.p) as value from m x join m y using (lang, term) group by all) s
+  on s.lang = a.lang and s.source = a.source and s.item = b.source),
+q as (select lang, term, (1 + (1000000000 * (sum(n) + 1)) // (any_value(whole)))::hugeint as q from c join (select lang, sum(n) + any_value(v) as whole from g group by lang) using (lang) group by all),
+term as (select lang, source, term as item, ((p - q) * (p - q)) // q as value from m join q using (lang, term) where n > 0 and p > q),
+r as (select lang, source, 'pair' as part, item, value from pair union all select lang, source, 'term', item, value from term),
+o as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from r)
+select lang, source, part, item, value::bigint as value, rank::int as rank from o where part = 'pair' or rank <= 200""",
 }
