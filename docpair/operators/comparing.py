@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rows import held
 from ..functions.text import tokens, valid_term
 from .ranking import combined, graph_ranks
 from .signals import key_phrases
@@ -29,34 +30,62 @@ def stems(term: Column) -> Column:
     return F.array_compact(F.concat(F.array(term), cut))
 
 
-def compared(pairs: DataFrame, left: DataFrame, right: DataFrame, left_keywords: DataFrame, right_keywords: DataFrame) -> DataFrame:
-    """pair_id, doc_id (the right's), term, score, found, occurrences, importance: the right's keywords (doc_id, term, score) looked for on the left.
+COMPARED = "array<struct<term:string,score:double,found:boolean,occurrences:bigint,importance:double>>"
+
+
+def with_compared(rows: DataFrame) -> DataFrame:
+    """rows of pairs with left_text, right_text, own (the left's keywords), ks (the right's: term and score) get compared: an array of
+    term, score, found, occurrences, importance, in the order of score (highest first), then term; null lists are empty.
 
     A keyword is found if the left's text holds it, if it is one of the left's keywords, or if one of its stems begins a word
     there. Importance weighs the score by the term's rarity in the pair. Keywords of several words that the right's text
     doesn't hold in one piece are left out. occurrences are the right's own.
     """
-    lists = right_keywords.groupBy(F.col("doc_id").alias("right_id")).agg(F.collect_list(F.struct("term", "score")).alias("ks"))
-    known = left_keywords.groupBy(F.col("doc_id").alias("left_id")).agg(F.collect_set("term").alias("own"))
-    rows = pairs.join(right.select(F.col("doc_id").alias("right_id"), F.lower("text").alias("rt")), "right_id").join(lists, "right_id")
-    rows = rows.join(left.select(F.col("doc_id").alias("left_id"), F.lower("text").alias("lt")), "left_id").join(known, "left_id", "left")
     spaced = lambda c, p: F.concat(F.lit(" "), F.trim(F.regexp_replace(c, p, " ")), F.lit(" "))
-    rows = rows.select("pair_id", "right_id", "ks", "own", "rt", "lt", spaced(F.col("lt"), r"[^\p{L}\p{N}_]+").alias("lw"), F.concat(F.lit(" "), F.array_join(content_tokens(F.col("lt")), " "), F.lit(" ")).alias("lc"), spaced(F.col("rt"), r"\s+").alias("rw"))
-    each = rows.withColumn("k", F.explode_outer("ks")).where("k is not null").select("pair_id", "right_id", "own", "rt", "lt", "lw", "lc", "rw", "k.term", "k.score")
-    term = F.col("term")
-    found = F.contains("lt", term) | F.coalesce(F.array_contains("own", term), F.lit(False)) | F.exists(stems(term), lambda s: F.contains("lw", F.concat(F.lit(" "), s)))
-    idf = F.when((F.size(F.split(term, " ")) > 3) | F.contains("lc", F.concat(F.lit(" "), term, F.lit(" "))), 1.0).otherwise(1 + F.log(F.lit(1.5)))
-    occurs = ((F.char_length("rt") - F.char_length(F.replace(F.col("rt"), term, F.lit("")))) / F.char_length(term)).cast("long")
-    out = each.select("pair_id", F.col("right_id").alias("doc_id"), "term", "score", found.alias("found"), occurs.alias("occurrences"), F.round(F.col("score") * (1 + F.log(1 + idf)) / 3, 6).alias("importance"), "rw")
-    return out.where(~F.contains("term", F.lit(" ")) | F.contains("rw", F.col("term"))).drop("rw")
-
-
-def coverage_of(compared: DataFrame, k: int = 25) -> DataFrame:
-    """pair_id, considered, found, coverage: of the k best keywords those that are found."""
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "term", "found"))), 1, k)
-    rows = compared.groupBy("pair_id").agg(best.alias("ks"))
-    found = F.size(F.filter("ks", lambda x: x["found"]))
-    return rows.select("pair_id", F.size("ks").alias("considered"), found.alias("found"), F.round(found / F.size("ks"), 6).alias("coverage"))
+    lower = rows.withColumns({"__lt": F.lower(F.coalesce("left_text", F.lit(""))), "__rt": F.lower(F.coalesce("right_text", F.lit("")))})
+    forms = F.struct(
+        F.col("__lt").alias("lt"), F.col("__rt").alias("rt"), spaced(F.col("__lt"), r"[^\p{L}\p{N}_]+").alias("lw"), spaced(F.col("__rt"), r"\s+").alias("rw"),
+        F.concat(F.lit(" "), F.array_join(content_tokens(F.col("__lt")), " "), F.lit(" ")).alias("lc"),
+    )
+    lower = lower.withColumn("__t", held(forms)).drop("__lt", "__rt")
+    t = F.col("__t")
+
+    def looked_up(k: Column) -> Column:
+        term = k["term"]
+        found = F.contains(t["lt"], term) | F.coalesce(F.array_contains("own", term), F.lit(False)) | F.exists(stems(term), lambda s: F.contains(t["lw"], F.concat(F.lit(" "), s)))
+        idf = F.when((F.size(F.split(term, " ")) > 3) | F.contains(t["lc"], F.concat(F.lit(" "), term, F.lit(" "))), 1.0).otherwise(1 + F.log(F.lit(1.5)))
+        occurs = ((F.char_length(t["rt"]) - F.char_length(F.replace(t["rt"], term, F.lit("")))) / F.char_length(term)).cast("long")
+        return F.struct(term.alias("term"), k["score"].alias("score"), found.alias("found"), occurs.alias("occurrences"), F.round(k["score"] * (1 + F.log(1 + idf)) / 3, 6).alias("importance"))
+
+    whole = F.filter("ks", lambda k: ~F.contains(k["term"], F.lit(" ")) | F.contains(t["rw"], k["term"]))
+    order = F.transform(F.array_sort(F.transform(whole, lambda k: F.struct((-k["score"]).alias("less"), k["term"].alias("term"), k["score"].alias("score")))), looked_up)
+    return lower.withColumn("compared", held(F.coalesce(order, F.array().cast(COMPARED)))).drop("__t")
+
+
+def compared(pairs: DataFrame, left: DataFrame, right: DataFrame, left_keywords: DataFrame, right_keywords: DataFrame) -> DataFrame:
+    """pair_id, doc_id (the right's), term, score, found, occurrences, importance of with_compared(), for the keywords (doc_id, term, score) of two tables."""
+    own = left_keywords.groupBy("doc_id").agg(F.collect_set("term").alias("own"))
+    ks = right_keywords.groupBy("doc_id").agg(F.collect_list(F.struct("term", "score")).alias("ks"))
+    lefts = left.join(own, "doc_id", "left").select(F.col("doc_id").alias("left_id"), F.col("text").alias("left_text"), "own")
+    rights = right.join(ks, "doc_id", "left").select(F.col("doc_id").alias("right_id"), F.col("text").alias("right_text"), "ks")
+    return compared_rows(with_compared(pairs.join(lefts, "left_id").join(rights, "right_id")))
+
+
+def compared_rows(rows: DataFrame) -> DataFrame:
+    """A row for each entry of compared."""
+    return rows.select("pair_id", F.col("right_id").alias("doc_id"), F.inline_outer("compared")).where("term is not null")
+
+
+def covered(compared: Column, k: int = 25) -> Column:
+    """A struct of considered, found, coverage (null without keywords): of the k best keywords those that are found."""
+    best = F.slice(compared, 1, k)
+    found = F.size(F.filter(best, lambda x: x["found"]))
+    return F.struct(F.size(best).alias("considered"), found.alias("found"), F.when(F.size(best) > 0, F.round(found / F.size(best), 6)).alias("coverage"))
+
+
+def coverage_of(rows: DataFrame, k: int = 25) -> DataFrame:
+    """pair_id, considered, found, coverage of covered(), for rows of with_compared() that have keywords."""
+    return rows.select("pair_id", held(covered(F.col("compared"), k)).alias("c")).where("c.considered > 0").select("pair_id", "c.*")
 
 
 def keyword_cover(docs: DataFrame, keywords: DataFrame) -> DataFrame:

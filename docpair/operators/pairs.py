@@ -15,7 +15,7 @@ def _sided(rows: DataFrame) -> DataFrame:
     return rows.withColumn("pair_id", F.floor(F.col("doc_id") / 2).cast("long")).withColumn("is_left", F.col("doc_id") % 2 == 0)
 
 
-def _cosine(sided: DataFrame) -> DataFrame:
+def cosine_of_sides(sided: DataFrame) -> DataFrame:
     """pair_id, cosine, from pair_id, is_left, text: of 1 + ln(tf) of runs of 1 to 3 content tokens, times an idf over the two
     documents (1 for terms of both, else 1 + ln(3/2)).
 
@@ -32,13 +32,13 @@ def _cosine(sided: DataFrame) -> DataFrame:
 
 def tfidf_cosine(docs: DataFrame) -> DataFrame:
     """pair_id, cosine of each even doc_id and the next."""
-    return _cosine(_sided(docs))
+    return cosine_of_sides(_sided(docs))
 
 
 def cosine_of(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """pair_id, cosine of given pairs (pair_id, left_id, right_id) of two tables (doc_id, text)."""
     side = lambda docs, name: pairs.join(docs.select(F.col("doc_id").alias(f"{name}_id"), "text"), f"{name}_id").select("pair_id", F.lit(name == "left").alias("is_left"), "text")
-    return _cosine(side(left, "left").unionByName(side(right, "right")))
+    return cosine_of_sides(side(left, "left").unionByName(side(right, "right")))
 
 
 def skill_match(docs: DataFrame) -> DataFrame:

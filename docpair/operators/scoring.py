@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rows import held
 from ..functions.text import calibrated, grade
 from .dates import FIELDS, rank
 
@@ -39,6 +40,11 @@ def _array(values: list[str]) -> Column:
     return F.array(*map(F.lit, values))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """Rounded with halves up, whatever their binary form: a share of 1e-9 more, far below any score's own steps."""
+    return F.round(x + 1e-9, places)
+
+
 def within(x: Column, low: float = 0.0, high: float = 100.0) -> Column:
     return F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), x))
 
@@ -50,11 +56,11 @@ def normal_weights(weights: dict[str, float]) -> dict[str, float]:
 
 
 def keyword_score(cosine: Column, coverage: Column) -> Column:
-    return F.round(within(100 * (0.45 * calibrated(cosine, KEYWORD_TAU) + 0.55 * coverage)), 2)
+    return rounded(within(100 * (0.45 * calibrated(cosine, KEYWORD_TAU) + 0.55 * coverage)), 2)
 
 
 def semantic_score(similarity: Column, tau: float = TEXT_TAU) -> Column:
-    return F.round(within(100 * calibrated(similarity, tau)), 2)
+    return rounded(within(100 * calibrated(similarity, tau)), 2)
 
 
 def title_overlap(titles: Column, title: Column) -> Column:
@@ -70,7 +76,7 @@ def experience_score(years: Column, required: Column, titles: Column, title: Col
     y = F.coalesce(years, F.lit(0.0))
     by_years = F.when(F.coalesce(required, F.lit(0.0)) > 0, within(100 * y / required)).otherwise(within(45 + 7 * y))
     quality = within(n_verbs * 4.0 + F.least(n_quantities, F.lit(10)) * 4.0, 0, 40)
-    return F.round(within(0.55 * by_years + 0.20 * title_overlap(titles, title) + 0.15 * within(100 * F.coalesce(similarity, F.lit(0.0))) + 0.10 * (quality / 0.4)), 2)
+    return rounded(within(0.55 * by_years + 0.20 * title_overlap(titles, title) + 0.15 * within(100 * F.coalesce(similarity, F.lit(0.0))) + 0.10 * (quality / 0.4)), 2)
 
 
 def level_asked(phrase: Column, levels: dict[str, list[str]] = ASKED_LEVELS) -> Column:
@@ -98,68 +104,84 @@ def education_score(level: Column, phrase: Column, degrees: Column, has_section:
     )
 
 
-def full_scores(features: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """pair_id, a score for each dimension, overall (to one place), grade. weights: for dimensions; those without one weigh 0, unknown
-    ones take their share."""
+def dimensions() -> dict[str, Column]:
+    """The five scores of a feature row, by name."""
     c = F.col
-    scores = {
-        "keyword_match": keyword_score(c("tfidf_cosine"), c("coverage")), "semantic_similarity": semantic_score(c("similarity")), "skill_match": F.round(within(c("skill_score")), 2),
+    return {
+        "keyword_match": keyword_score(c("tfidf_cosine"), c("coverage")), "semantic_similarity": semantic_score(c("similarity")), "skill_match": rounded(within(c("skill_score")), 2),
         "experience_relevance": experience_score(c("years"), c("required_years"), c("titles"), c("title"), c("section_similarity"), c("n_verbs"), c("n_quantities")),
         "education_match": education_score(c("level"), c("degree_phrase"), c("degrees"), c("has_education")),
     }
+
+
+def full_scores(features: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """pair_id, a score for each dimension, overall (to one place), grade. weights: for dimensions; those without one weigh 0, unknown
+    ones take their share."""
+    scores = dimensions()
     rows = features.select("pair_id", *[s.alias(n) for n, s in scores.items()])
     shares = normal_weights(weights or WEIGHTS)
-    overall = F.round(within(sum(F.col(n) * F.lit(shares.get(n, 0.0)) for n in scores)), 1)
+    overall = rounded(within(sum(F.col(n) * F.lit(shares.get(n, 0.0)) for n in scores)), 1)
     return rows.withColumn("overall", overall).withColumn("grade", grade(F.col("overall")))
 
 
-def section_scores(rows: DataFrame) -> DataFrame:
-    """Adds score to rows of pair_id, name, similarity, present, skill_score, n_quantities, education_score; contact and references have none.
-
-    100 times the calibrated similarity; skills are 60 % the skill score, education half its own score; experience loses a
-    tenth with fewer than 3 quantities; an absent summary has 0.
-    """
-    base = within(100 * calibrated(F.col("similarity"), TEXT_TAU))
-    name = F.col("name")
+def section_score(name: Column, similarity: Column, present: Column, skill_score: Column, n_quantities: Column, education: Column) -> Column:
+    """100 times the calibrated similarity; skills are 60 % the skill score, education half its own score; experience loses a
+    tenth with fewer than 3 quantities; an absent summary has 0."""
+    base = within(100 * calibrated(similarity, TEXT_TAU))
     score = (
-        F.when(name == "skills", 0.4 * base + 0.6 * within(F.col("skill_score"))).when((name == "experience") & (F.col("n_quantities") < 3), 0.9 * base)
-        .when(name == "education", 0.5 * base + 0.5 * F.col("education_score")).when((name == "summary") & ~F.col("present"), 0.0).otherwise(base)
+        F.when(name == "skills", 0.4 * base + 0.6 * within(skill_score)).when((name == "experience") & (n_quantities < 3), 0.9 * base)
+        .when(name == "education", 0.5 * base + 0.5 * education).when((name == "summary") & ~present, 0.0).otherwise(base)
     )
-    return rows.where(~name.isin("contact", "references")).withColumn("score", F.round(within(score), 1))
+    return rounded(within(score), 1)
+
 
+def section_scores(rows: DataFrame) -> DataFrame:
+    """Adds score to rows of pair_id, name, similarity, present, skill_score, n_quantities, education_score; contact and references have none."""
+    score = section_score(*map(F.col, ("name", "similarity", "present", "skill_score", "n_quantities", "education_score")))
+    return rows.where(~F.col("name").isin("contact", "references")).withColumn("score", score)
 
-def weak_sections(scored: DataFrame, detected: DataFrame) -> DataFrame:
-    """pair_id, rank, section, score: expected sections that a document lacks (0) or that score under 55, and projects and
-    certifications that score under 25; the weakest first, then by name. detected: pair_id, names (array)."""
-    lacking = detected.select("pair_id", F.explode_outer(F.array_except(_array(EXPECTED), "names")).alias("section")).where("section is not null").withColumn("score", F.lit(0.0))
-    here = scored.where("present").select("pair_id", F.col("name").alias("section"), "score")
-    limit = F.when(F.col("section").isin(EXPECTED), WEAK).when(F.col("section").isin(OPTIONAL), WEAK_OPTIONAL).otherwise(0.0)
-    rows = lacking.unionByName(here.where(F.col("score") < limit))
-    return rows.select("pair_id", F.row_number().over(Window.partitionBy("pair_id").orderBy("score", "section")).alias("rank"), "section", "score")
 
+def weak_of(rows: DataFrame) -> Column:
+    """An array of rank, section, score: expected sections that a document lacks (0) or that score under 55, and projects and
+    certifications that score under 25; the weakest first, then by name. rows: detected, own_sections (array of name, similarity,
+    present), skill_score, n_quantities, education_score."""
+    rest = [F.col(c) for c in ("skill_score", "n_quantities", "education_score")]
+    lacking = F.transform(F.array_except(_array(EXPECTED), "detected"), lambda n: F.struct(F.lit(0.0).alias("score"), n.alias("section")))
+    here = F.transform(F.filter("own_sections", lambda s: s["present"] & ~s["name"].isin("contact", "references")), lambda s: F.struct(section_score(s["name"], s["similarity"], s["present"], *rest).alias("score"), s["name"].alias("section")))
+    limit = lambda n: F.when(n.isin(EXPECTED), WEAK).when(n.isin(OPTIONAL), WEAK_OPTIONAL).otherwise(0.0)
+    found = F.array_sort(F.concat(lacking, F.filter(here, lambda s: s["score"] < limit(s["section"]))))
+    return F.transform(found, lambda s, i: F.struct((i + 1).alias("rank"), s["section"].alias("section"), s["score"].alias("score")))
 
-def noise_terms(facts: DataFrame) -> DataFrame:
-    """doc_id, term: parts of more than 2 letters of a posting's employer, the employer and the place as a whole, and some set phrases."""
-    parts = F.filter(F.split(F.lower(F.coalesce("employer", F.lit(""))), r"[^\w&]+"), lambda p: F.char_length(p) > 2)
-    whole = F.filter(F.array(F.trim(F.lower("employer")), F.trim(F.lower("place"))), lambda x: F.coalesce(x, F.lit("")) != "")
-    fixed = _array(["equal opportunity employer", "about the role", "benefits"])  # fixed values
-    return facts.select("doc_id", F.explode(F.array_distinct(F.concat(parts, whole, fixed))).alias("term"))
 
+#: Set phrases of postings that are no keywords.
+SET_PHRASES = ["equal opportunity employer", "about the role", "benefits"]
 
-def missing_keywords(compared: DataFrame, noise: DataFrame, k: int = 25) -> DataFrame:
-    """pair_id, rank, term, importance, severity: of the k best keywords those that aren't found, but for noise and terms with a word of it;
-    the most important first (1e-9 has halves rounded up whatever their binary form). compared: pair_id, doc_id, term, score, found, importance; noise: doc_id, term."""
-    best = F.row_number().over(Window.partitionBy("pair_id").orderBy(F.col("score").desc(), "term"))
-    rows = compared.withColumn("__n", best).where((F.col("__n") <= k) & ~F.col("found"))
-    parts = rows.select("pair_id", "doc_id", "term", "importance", F.explode(F.array_distinct(F.concat(F.array("term"), F.split("term", " ")))).alias("part"))
-    noisy = parts.join(noise.select("doc_id", F.col("term").alias("part")), ["doc_id", "part"], "left_semi").select("pair_id", "term").distinct()
-    left = rows.select("pair_id", "term", F.round(F.col("importance") + 1e-9, 4).alias("importance")).join(noisy, ["pair_id", "term"], "left_anti")
-    severity = F.when(F.col("importance") >= 0.35, "high").when(F.col("importance") >= 0.15, "medium").otherwise("low")
-    return left.select("pair_id", F.row_number().over(Window.partitionBy("pair_id").orderBy(F.col("importance").desc(), "term")).alias("rank"), "term", "importance", severity.alias("severity"))
 
+def noise_of(employer: Column, place: Column) -> Column:
+    """Parts of more than 2 letters of a posting's employer, the employer and the place as a whole, and some set phrases."""
+    parts = F.filter(F.split(F.lower(F.coalesce(employer, F.lit(""))), r"[^\w&]+"), lambda p: F.char_length(p) > 2)
+    whole = F.filter(F.array(F.trim(F.lower(employer)), F.trim(F.lower(place))), lambda x: F.coalesce(x, F.lit("")) != "")
+    return F.array_distinct(F.concat(parts, whole, _array(SET_PHRASES)))
 
-def gaps(features: DataFrame) -> DataFrame:
-    """pair_id, experience_gap, education_gap: a sentence for each shortfall, or null."""
+
+def missing_of(compared: Column, noise: Column, k: int = 25) -> Column:
+    """Of the k best keywords those that aren't found, but for noise and terms with a word of it: an array of rank, term, importance,
+    severity, the most important first. compared is that of comparing.with_compared()."""
+    clean = lambda x: ~x["found"] & ~F.arrays_overlap(F.concat(F.array(x["term"]), F.split(x["term"], " ")), noise)
+    kept = F.transform(F.filter(F.slice(compared, 1, k), clean), lambda x: F.struct((-rounded(x["importance"], 4)).alias("less"), x["term"].alias("term")))
+    severity = lambda i: F.when(i >= 0.35, "high").when(i >= 0.15, "medium").otherwise("low")
+    return F.transform(F.array_sort(kept), lambda x, i: F.struct((i + 1).alias("rank"), x["term"].alias("term"), (-x["less"]).alias("importance"), severity(-x["less"]).alias("severity")))
+
+
+def missing_keywords(rows: DataFrame, k: int = 25) -> DataFrame:
+    """pair_id, rank, term, importance, severity of missing_of(); rows: pair_id, compared, employer, place."""
+    listed = rows.select("pair_id", "compared", held(noise_of(F.col("employer"), F.col("place"))).alias("__noise"))
+    found = missing_of(F.col("compared"), F.col("__noise"), k)
+    return listed.select("pair_id", F.inline_outer(found)).where("term is not null")
+
+
+def gap_texts() -> tuple[Column, Column]:
+    """A sentence for the shortfall of experience and of education in a feature row, or null."""
     need, have = F.col("required_years"), F.col("years")
     number = lambda x: F.regexp_replace(F.format_string("%.2f", x), r"\.?0+$", "")
     short = F.concat(F.lit("About "), F.format_string("%.1f", have), F.lit(" years of experience against "), number(need), F.lit(" asked for, "), F.format_string("%.1f", need - have), F.lit(" short."))
@@ -171,6 +193,12 @@ def gaps(features: DataFrame) -> DataFrame:
     lower = F.concat(F.coalesce(label(F.col("level")), F.lit("No degree")), F.lit(" is below "), label(asked), F.lit(", which is asked for."))
     nothing = F.col("level").isNull() & (F.coalesce(F.size("degrees"), F.lit(0)) == 0)
     education = F.when(F.coalesce("degree_phrase", F.lit("")) != "", F.when(nothing, unknown).when(rank(F.col("level")) < rank(asked), lower))
+    return experience, education
+
+
+def gaps(features: DataFrame) -> DataFrame:
+    """pair_id, experience_gap, education_gap of gap_texts()."""
+    experience, education = gap_texts()
     return features.select("pair_id", experience.alias("experience_gap"), education.alias("education_gap"))
 
 
@@ -183,24 +211,33 @@ COLUMN_GAP, BULLET, EMOJI = r"\S {4,}\S", r"(?m)^\s*[-*•·▪●]\s+", r"[\x{1
 DATE_LINE = r"(?i)(?:19|20)\d{2}\s*(?:-|–|—|to)\s*(?:(?:[a-z]{3,9}\.?\s*)?(?:19|20)\d{2}|present|current|now)"
 
 
-def document_checks(rows: DataFrame) -> DataFrame:
-    """doc_id, a 0/1 column for each of 13 checks, passed, score: the weighted share of checks passed, from 0 to 100.
+def checks_of(known: dict[str, Column]) -> dict[str, Column]:
+    """A boolean for each of 13 checks of a document.
 
-    rows: doc_id, text, and as far as they are known n_tables, n_images, n_pages, n_bytes, scanned, names (sections),
-    n_contacts, density; what is missing or null counts as fine, and a missing file's size isn't asked. Null texts are empty.
-    An emoji makes the check of characters a warning.
+    known: text, and as far as they are known n_tables, n_images, n_pages, n_bytes, scanned, names (sections), n_contacts,
+    density; what is missing or null counts as fine, and a missing file's size isn't asked. Null texts are empty.
     """
-    have = lambda name, default: F.coalesce(F.col(name), F.lit(default)) if name in rows.columns else F.lit(default)
-    t = F.coalesce("text", F.lit(""))
+    have = lambda name, default: F.coalesce(known[name], F.lit(default)) if name in known else F.lit(default)
+    t = F.coalesce(known["text"], F.lit(""))
     count = lambda p: F.regexp_count(t, F.lit(p))
-    names = F.coalesce(F.col("names"), F.array().cast("array<string>")) if "names" in rows.columns else F.array().cast("array<string>")
-    passed = {
+    none = F.array().cast("array<string>")
+    names = F.coalesce(known["names"], none) if "names" in known else none
+    return {
         "text_extractable": ~have("scanned", False) & (F.char_length(F.trim(t)) >= 50), "contact_info": have("n_contacts", 0) > 0,
         "standard_headers": F.size(F.array_except(_array(["experience", "education", "skills"]), names)) == 0, "no_tables": have("n_tables", 0) == 0, "few_images": have("n_images", 0) <= 2,
         "single_column": count(COLUMN_GAP) < 4, "page_count": have("n_pages", 1).between(1, 3), "word_count": count(r"\S+").between(250, 1500), "file_size": have("n_bytes", 0) <= 1 << 20,
         "clean_charset": (count(EMOJI) == 0) & (count(r"[^\x00-\x7F]") <= 12), "bullet_points": count(BULLET) >= 3, "parseable_dates": count(DATE_LINE) >= 1, "keyword_density": have("density", 0.0) <= 0.60,
     }
-    flags = rows.select("doc_id", *[c.cast("int").alias(n) for n, c in passed.items()], (count(EMOJI) > 0).cast("int").alias("__emoji"))
+
+
+def document_checks(rows: DataFrame) -> DataFrame:
+    """doc_id, a 0/1 column for each check of checks_of(), passed, score: the weighted share of checks passed, from 0 to 100.
+
+    An emoji makes the check of characters a warning.
+    """
+    passed = checks_of({c: F.col(c) for c in rows.columns if c != "doc_id"})
+    emoji = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(EMOJI)) > 0
+    flags = rows.select("doc_id", *[c.cast("int").alias(n) for n, c in passed.items()], emoji.cast("int").alias("__emoji"))
     weight = {n: F.lit(w) + (F.col("__emoji") if n == "clean_charset" else 0) for n, w in CHECKS.items()}
     score = 100.0 * sum(F.col(n) * w for n, w in weight.items()) / sum(weight.values())
-    return flags.withColumn("passed", sum(F.col(n) for n in CHECKS)).withColumn("score", F.round(score, 1)).drop("__emoji")
+    return flags.withColumn("passed", sum(F.col(n) for n in CHECKS)).withColumn("score", rounded(score, 1)).drop("__emoji")

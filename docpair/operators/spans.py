@@ -9,20 +9,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rows import held, let
 from .dates import single_spaced
-from .sections import section_text
+from .sections import scope_of, with_sections
 
 #: A token of a text or a surface; signs count where names of techniques have them.
 PIECE = r"[\p{L}\p{N}_+#]+"
-#: Verbs of achievement.
-ACTIONS = "led managed built developed designed architected implemented automated optimized scaled deployed migrated refactored launched delivered created analyzed evaluated mentored coached spearheaded orchestrated streamlined established drove owned increased reduced improved collaborated presented".split()
+#: Verbs that tell what somebody has brought about.
+ACTIONS = [
+    "achieved", "analyzed", "automated", "built", "coached", "created", "cut", "delivered", "designed", "developed", "directed", "established", "founded", "grew", "improved", "increased",
+    "introduced", "launched", "led", "managed", "migrated", "negotiated", "organized", "planned", "reduced", "repaired", "saved", "shipped", "sold", "solved", "taught", "tested", "trained", "won", "wrote",
+]
 #: Lines that open the blocks of a posting, in lower case without signs; what a line begins with counts.
 REQUIRED = ["requirements", "required", "must have", "minimum qualifications", "basic qualifications", "what you need", "what we require"]
 PREFERRED = ["nice to have", "preferred", "bonus", "good to have", "desired", "plus"]
-#: Wording of short lines that end such a block.
-OTHER_BLOCKS = r"\b(benefits|perks|about us|company|who we are|equal opportunity)\b"
-#: Words of titles and headings, which names of persons don't have.
-TITLE_WORDS = "engineer developer scientist manager analyst designer architect consultant administrator specialist lead senior junior resume curriculum vitae cv profile summary experience education skills director intern".split()
+#: Wording of short lines that end such a block.
+OTHER_BLOCKS = r"\b(?:about us|benefits|company|offer|perks|who we are)\b"
+#: Words of titles and headings, which names of persons don't have.
+TITLE_WORDS = [
+    "administrator", "analyst", "application", "architect", "assistant", "clerk", "consultant", "curriculum", "cv", "designer", "developer", "director", "driver", "education", "engineer", "experience", "junior",
+    "manager", "nurse", "officer", "profile", "resume", "scientist", "senior", "skills", "specialist", "summary", "teacher", "technician", "vitae",
+]
 #: Labels of lines that state a title or a place, and a pattern of pay.
 TITLE_LINE = r"(?im)^\s*(?:job\s*title|position|role|title|hiring\s+for|we\s+are\s+hiring)\s*[:\-]\s*(.+)$"
 PLACE_LINE = r"(?im)^\s*(?:location|work\s+location|based\s+in|place|office)\s*[:\-]\s*(.+)$"
@@ -31,8 +38,9 @@ PAY = (
     r"(?i)(?:\$|£|€|₹|usd|gbp|eur|inr)\s?\d[\d,]*(?:\.\d+)?\s*(?:k|m| thousand| million)?(?:\s*(?:-|–|to)\s*(?:\$|£|€|₹|usd|gbp|eur|inr)?\s?\d[\d,]*(?:\.\d+)?\s*(?:k|m| thousand| million)?)?"
     r"(?:\s*(?:per|/|an?\s+)(?:year|annum|hour|hr|yr))?"
 )
-#: Where a stated place ends.
-TRAILERS = r"(?i)^(.+?)(?:\||;|//|employment|job type|type:|salary|compensation|posted|apply|requisition|req id|shift|schedule|$)"
+#: What follows a stated place in its line.
+BEHIND_PLACE = ["apply", "employment", "job type", "pay", "posted", "salary", "shift"]
+TRAILERS = rf"(?i)^(.+?)(?:[|;]|//|\b(?:{'|'.join(BEHIND_PLACE)})\b|$)"
 
 
 def _surface_key(surface: Column) -> Column:
@@ -43,21 +51,21 @@ def hits(docs: DataFrame, dictionary: DataFrame, most_words: int = 4, text_col:
     """doc_id, first, n, surface, canonical, category: every run of up to so many tokens that is a surface.
 
     Case, signs between tokens and a plural s or 's behind the last one don't matter. Surfaces of the policy exact need a
-    capital first; those of the policy drop never match. first counts tokens from 0.
+    capital first; those of the policy drop never match. first counts tokens from 0. Places whose token begins no surface
+    are left out before runs are made: the dictionary's first tokens, a small part of it, are met first.
     """
     tokens = F.regexp_extract_all(F.regexp_replace(F.col(text_col), r"['’]s\b", ""), F.lit(PIECE), F.lit(0))
-    rows = docs.select("doc_id", tokens.alias("ts")).withColumn("low", F.transform("ts", lambda t: F.lower(t)))
+    ahead = lambda t, i: F.struct(i.alias("first"), t.rlike(r"^\p{Lu}").alias("capital"), F.slice("low", i + 1, most_words).alias("ahead"))
+    rows = docs.select("doc_id", held(tokens).alias("ts")).withColumn("low", held(F.transform("ts", lambda t: F.lower(t))))
+    spots = rows.select("doc_id", F.inline_outer(F.transform("ts", ahead))).where("first is not null")
 
-    def runs(n: int) -> Column:
-        starts = F.filter(F.transform("ts", lambda t, i: i), lambda i: i + n <= F.size("ts"))
-        key = lambda i: F.array_join(F.slice("low", i + 1, n), " ")
-        return F.transform(starts, lambda i: F.struct(i.alias("first"), F.lit(n).alias("n"), key(i).alias("key"), F.get("ts", i).rlike(r"^\p{Lu}").alias("capital")))
-
-    each = rows.select("doc_id", F.inline_outer(F.flatten(F.array(*[runs(n) for n in range(1, most_words + 1)])))).where("key is not null")
     known = dictionary.where("policy <> 'drop'").select(_surface_key(F.col("surface")).alias("key"), "surface", "canonical", "category", "policy").where("key <> ''")
     single = known.unionByName(known.withColumn("key", F.concat("key", F.lit("s"))))
-    once = single.groupBy("key").agg(F.min(F.struct("canonical", "surface", "category", "policy")).alias("of"))
-    found = each.join(once, "key").where((F.col("of.policy") != "exact") | F.col("capital"))
+    once = single.groupBy("key").agg(F.min(F.struct("canonical", "surface", "category", "policy")).alias("of")).withColumn("n", F.size(F.split("key", " ")))
+    heads = once.groupBy(F.substring_index("key", " ", 1).alias("head")).agg(F.array_sort(F.collect_set("n")).alias("sizes"))
+    begun = spots.join(heads, F.col("ahead")[0] == F.col("head")).select("doc_id", "first", "capital", "ahead", F.explode("sizes").alias("n")).where(F.col("n") <= F.size("ahead"))
+    each = begun.select("doc_id", "first", "n", "capital", F.array_join(F.slice("ahead", F.lit(1), F.col("n")), " ").alias("key"))
+    found = each.join(once.drop("n"), "key").where((F.col("of.policy") != "exact") | F.col("capital"))
     return found.select("doc_id", "first", "n", "of.surface", "of.canonical", "of.category")
 
 
@@ -89,50 +97,68 @@ def skills(docs: DataFrame, dictionary: DataFrame, text_col: str = "text") -> Da
     return greedy(hits(docs, dictionary, text_col=text_col)).groupBy("doc_id", F.col("canonical").alias("skill")).agg(F.min("category").alias("category"), F.count(F.lit(1)).alias("n"))
 
 
+def _of_texts(docs: DataFrame, texts: Column, dictionary: DataFrame) -> DataFrame:
+    """doc_id, part, skill, category, n: skills of several texts (an array) of each document, in one pass; part counts from 0."""
+    each = docs.select("doc_id", F.posexplode_outer(texts).alias("part", "text")).where("text is not null")
+    found = skills(each.select(F.struct("doc_id", "part").alias("doc_id"), "text"), dictionary)
+    return found.select("doc_id.doc_id", "doc_id.part", "skill", "category", "n")
+
+
 def profile_skills(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Skills of the sections skills, experience, projects, summary and certifications; of the whole text where there are none."""
-    scoped = section_text(docs, ["skills", "experience", "projects", "summary", "certifications"])
-    inside = skills(scoped, dictionary, "scope")
-    rest = docs.join(inside.select("doc_id").distinct(), "doc_id", "left_anti")
-    return inside.unionByName(skills(rest, dictionary))
+    """doc_id, skill, category, n: of the sections skills, experience, projects, summary and certifications; of the whole text where
+    these have none. Both are read in one pass; a document's choice is made behind it."""
+    rows = with_sections(docs)
+    scope = scope_of(F.col("text"), F.col("sections"), ["skills", "experience", "projects", "summary", "certifications"])
+    rows = rows.select("doc_id", "text", held(scope).alias("scope"))
+    texts = F.when(F.col("scope") == F.col("text"), F.array("text")).otherwise(F.array("scope", "text"))
+    found = _of_texts(rows, texts, dictionary)
+    return found.withColumn("__first", F.min("part").over(Window.partitionBy("doc_id"))).where("part = __first").select("doc_id", "skill", "category", "n")
 
 
-def requirement_blocks(docs: DataFrame) -> DataFrame:
-    """doc_id, required, preferred: the lines of both kinds of blocks of a posting, joined.
+def blocks_of(text: Column) -> Column:
+    """A struct of required and preferred: the lines of both kinds of blocks of a posting, joined; null for null.
 
     A line that begins with a marker opens a block; preferred is asked first. A line of up to 6 words about something else
-    closes it. These lines, and blank ones, belong to no block.
+    closes it. These lines, and blank ones, belong to no block. Each line is looked at twice, whatever its number: once for
+    its kind, once for the last kind that opened a block.
     """
     bare = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), r"[^a-z0-9\s]", " "), r"\s+", " "))
     opens = lambda x, marks: F.exists(F.array(*map(F.lit, marks)), lambda m: x.startswith(m))
     kind = lambda x: F.when(x == "", "blank").when(opens(x, PREFERRED), "preferred").when(opens(x, REQUIRED), "required").when((F.regexp_count(x, F.lit(r"\S+")) <= 6) & x.rlike(OTHER_BLOCKS), "other").otherwise("line")
-    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), kind(bare(x)).alias("kind")))
-    none = F.array().cast("array<string>")
-    state = lambda now, r, p: F.struct(now.alias("now"), r.alias("required"), p.alias("preferred"))
-    put = lambda s, name, x: F.when((s["now"] == name) & (x["kind"] == "line"), F.concat(s[name], F.array(x["line"]))).otherwise(s[name])
-    step = lambda s, x: state(F.when(x["kind"].isin("preferred", "required", "other"), x["kind"]).otherwise(s["now"]), put(s, "required", x), put(s, "preferred", x))
-    folded = F.aggregate(lines, state(F.lit("other"), none, none), step)
-    return docs.where("text is not null").select("doc_id", folded.alias("b")).select("doc_id", F.array_join("b.required", "\n").alias("required"), F.array_join("b.preferred", "\n").alias("preferred"))
+    lines = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), kind(bare(x)).alias("kind")))
+    # a marker is the place of a line that opens a block; a block's lines lie between its marker and the next
+    opening = lambda ls: F.filter(F.transform(ls, lambda x, i: F.struct(i.alias("at"), x["kind"].alias("kind"))), lambda m: m["kind"].isin("preferred", "required", "other"))
+    inside = lambda ls, ms, m, k: F.filter(F.slice(ls, m["at"] + 2, F.coalesce(F.get(ms, k + 1)["at"], F.size(ls)) - m["at"] - 1), lambda x: x["kind"] == "line")
+    of = lambda ls, ms, name: F.array_join(F.transform(F.flatten(F.transform(ms, lambda m, k: F.when(m["kind"] == name, inside(ls, ms, m, k)).otherwise(F.slice(ls, 1, 0)))), lambda x: x["line"]), "\n")
+    return let(lines, lambda ls: let(opening(ls), lambda ms: F.when(ls.isNotNull(), F.struct(of(ls, ms, "required").alias("required"), of(ls, ms, "preferred").alias("preferred")))))
+
+
+def requirement_blocks(docs: DataFrame) -> DataFrame:
+    """doc_id, required, preferred of blocks_of(), without null texts."""
+    return docs.where("text is not null").select("doc_id", held(blocks_of(F.col("text"))).alias("b")).select("doc_id", "b.required", "b.preferred")
 
 
 def posting_skills(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """doc_id, skill, category, kind: skills of the block preferred that aren't required, as preferred; all others of the posting, as required.
+    """doc_id, skill, category, n, kind: skills of the block preferred that aren't required, as preferred; all others of the posting, as required.
 
-    So are all, if neither block has any. Skills outside of both blocks count as required.
+    So are all, if neither block has any. Skills outside of both blocks count as required. n is how often the whole posting
+    has a skill. Blocks and posting are read in one pass.
     """
-    blocks = requirement_blocks(docs)
-    both = blocks.select("doc_id", F.inline_outer(F.array(F.struct(F.lit(1).alias("required"), F.col("required").alias("text")), F.struct(F.lit(0).alias("required"), F.col("preferred").alias("text")))))
-    keyed = both.select(F.struct("doc_id", "required").alias("doc_id"), "text")
-    inside = skills(keyed, dictionary).select("doc_id.doc_id", "skill", F.col("doc_id.required").alias("r"))
-    marks = inside.groupBy("doc_id", "skill").agg(F.max("r").alias("r"))
-    rows = skills(docs, dictionary).select("doc_id", "skill", "category").join(marks, ["doc_id", "skill"], "left")
-    return rows.select("doc_id", "skill", "category", F.when(F.col("r") == 0, "preferred").otherwise("required").alias("kind"))
+    rows = docs.where("text is not null").select("doc_id", "text", held(blocks_of(F.col("text"))).alias("b"))
+    found = _of_texts(rows, F.array("text", "b.required", "b.preferred"), dictionary)
+    part = lambda k: F.col("part") == k
+    whole = found.groupBy("doc_id", "skill").agg(F.max(F.when(part(0), F.col("category"))).alias("category"), F.max(F.when(part(0), F.col("n"))).alias("n"), F.max(part(1)).alias("must"), F.max(part(2)).alias("nice"))
+    return whole.where("n is not null").select("doc_id", "skill", "category", "n", F.when(F.col("nice") & ~F.col("must"), "preferred").otherwise("required").alias("kind"))
+
+
+def verbs_in(text: Column, verbs: list[str] = ACTIONS) -> Column:
+    """Distinct verbs of achievement, in lower case, first seen first."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"\b(?:{'|'.join(verbs)})\b"), F.lit(0)))
 
 
 def action_verbs(docs: DataFrame, verbs: list[str] = ACTIONS) -> DataFrame:
-    """doc_id, verbs: distinct verbs of achievement, in lower case, first seen first."""
-    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(rf"\b(?:{'|'.join(verbs)})\b"), F.lit(0)))
-    return docs.where("text is not null").select("doc_id", found.alias("verbs"))
+    """doc_id, verbs of verbs_in(), without null texts."""
+    return docs.where("text is not null").select("doc_id", verbs_in(F.col("text"), verbs).alias("verbs"))
 
 
 def soft_skills(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -168,7 +194,12 @@ def person(docs: DataFrame, lines: int = 8) -> DataFrame:
 
 
 def posting_facts(docs: DataFrame) -> DataFrame:
-    """doc_id, title, place, employer, pay of a posting.
+    """doc_id, title, place, employer, pay of with_posting_facts(), without null texts."""
+    return with_posting_facts(docs.where("text is not null")).select("doc_id", "title", "place", "employer", "pay")
+
+
+def with_posting_facts(docs: DataFrame) -> DataFrame:
+    """docs with title, place, employer and pay of a posting.
 
     title: of the labelled line, else of the first of 6 lines that is shaped like one: 2 to 8 words, most with a capital, up to
     a dash, without digits. place: of the labelled line up to other facts, at most 60 characters without long numbers, else
@@ -184,4 +215,4 @@ def posting_facts(docs: DataFrame) -> DataFrame:
     place = F.when((stated != "") & (F.char_length(stated) <= 60) & ~stated.rlike(r"\d{4,}"), stated)
     remote = F.when(F.col("text").rlike(r"(?i)\b(remote|work from home|wfh|fully remote|anywhere)\b"), "Remote")
     pay = F.nullif(single_spaced(F.regexp_extract("text", PAY, 0)), F.lit(""))
-    return docs.where("text is not null").select("doc_id", F.initcap(title).alias("title"), F.coalesce(place, remote).alias("place"), labelled(EMPLOYER_LINE).alias("employer"), pay.alias("pay"))
+    return docs.withColumns({"title": F.initcap(title), "place": F.coalesce(place, remote), "employer": labelled(EMPLOYER_LINE), "pay": pay})

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.rows import held
 from ..operators import advising as AD
 from ..operators import comparing as CP
 from ..operators import dates as DT
@@ -17,6 +18,7 @@ from ..operators import semantic as SM
 from ..operators import spans as SP
 from ..operators import terms as K
 from . import derived as D
+from . import features as FT
 from . import queries as Q
 
 QUERIES, ORACLE = {}, {}
@@ -100,8 +102,7 @@ periods as (select doc_id, k, least(a, b) as s, greatest(a, b) as e from ends wh
 @query(f"with {PERIODS} select doc_id, (row_number() over (partition by doc_id order by k))::int as n, s::varchar as start, e::varchar as \"end\" from periods", D.profiles)
 def profile_periods(docs):
     education = F.get(F.filter("sections", lambda s: s["name"] == "education"), F.lit(0))["text"]
-    scoped = docs.join(X.sections_of(docs).select("doc_id", education.alias("education")), "doc_id", "left")
-    rows = DT.periods(scoped, TODAY, "education").select("doc_id", F.posexplode_outer("periods").alias("n", "p")).where("p is not null")
+    rows = DT.periods(X.with_sections(docs).withColumn("education", education), TODAY, "education").select("doc_id", F.posexplode_outer("periods").alias("n", "p")).where("p is not null")
     return rows.select("doc_id", (F.col("n") + 1).alias("n"), F.col("p.start").cast("string").alias("start"), F.col("p.end").cast("string").alias("end"))
 
 
@@ -235,7 +236,7 @@ def requirement_blocks(docs):
 
 @query(f"with {POSTING_SKILLS} select * from right_skills", D.postings, D.dictionary)
 def posting_skills(docs, dictionary):
-    return SP.posting_skills(docs, dictionary)
+    return SP.posting_skills(docs, dictionary).drop("n")
 
 
 VERBS = rf"list_distinct(regexp_extract_all(lower(text), '\b(?:{'|'.join(SP.ACTIONS)})\b'))"
@@ -299,40 +300,46 @@ metrics as (select pair_id, matched, partial, missing, extra, round(q, 4) as rec
   round(case when matched + missing > 0 then least(100.0::double, 100 * matched::double / (matched + missing)) when extra > 0 then 100 else 0 end, 2) as score from rated)"""
 
 
-def _pair_skills(spark, sf_dir):
-    """The exact matches of all pairs."""
-    words = D.dictionary(spark, sf_dir)
-    return M.skill_matches(D.pairs(spark, sf_dir), SP.profile_skills(D.profiles(spark, sf_dir), words), SP.posting_skills(D.postings(spark, sf_dir), words).drop("kind"), fuzzy=None)
+def _rows(*parts: str, fuzzy: float | None = None):
+    """Rows of pairs with these parts; the feature tables of both sides are written once."""
 
+    def rows(spark, sf_dir):
+        words = D.dictionary(spark, sf_dir)
+        left = FT.written(FT.profile_features(D.profiles(spark, sf_dir), words, TODAY, parts))
+        right = FT.written(FT.posting_features(D.postings(spark, sf_dir), words, parts))
+        return FT.pair_rows(D.pairs(spark, sf_dir), left, right, parts, fuzzy)
 
-@query(f"with {PAIR_SKILLS} select * from matches", _pair_skills)
-def exact_skill_matches(matches):
-    return matches.select("pair_id", "skill", "status", "category")
+    return rows
 
 
-@query(f"with {PAIR_SKILLS} select * from metrics", D.pairs, _pair_skills)
-def skill_metrics(pairs, matches):
-    return M.skill_metrics(pairs, matches)
+@query(f"with {PAIR_SKILLS} select * from matches", _rows(FT.SKILLS))
+def exact_skill_matches(rows):
+    return M.matches_of(rows).select("pair_id", "skill", "status", "category")
 
 
-@query(f"with {PAIR_SKILLS} select pair_id, status, coalesce(category, 'other') as category, string_agg(skill, ', ' order by lower(skill), skill) as skills from matches where status <> 'extra' group by all", _pair_skills)
-def skills_by_category(matches):
-    return M.by_category(matches).withColumn("skills", F.array_join("skills", ", "))
+@query(f"with {PAIR_SKILLS} select * from metrics", _rows(FT.SKILLS))
+def skill_metrics(rows):
+    return rows.select("pair_id", "metrics.*")
+
+
+@query(f"with {PAIR_SKILLS} select pair_id, status, coalesce(category, 'other') as category, string_agg(skill, ', ' order by lower(skill), skill) as skills from matches where status <> 'extra' group by all", _rows(FT.SKILLS))
+def skills_by_category(rows):
+    return M.by_category(M.matches_of(rows)).withColumn("skills", F.array_join("skills", ", "))
 
 
 @query(
     f"""with {PAIR_SKILLS}, g as (select pair_id, m.skill, coalesce(m.category, 'other') as category, case r.kind when 'required' then 'high' when 'preferred' then 'low' else 'medium' end as importance, coalesce(a.n, 1)::bigint as mentions
   from matches m join pairs using (pair_id) left join right_skills r on r.doc_id = right_id and r.skill = m.skill left join all_skills a on a.doc_id = right_id and a.skill = m.skill where status = 'missing')
 select pair_id, (row_number() over (partition by pair_id order by list_position(['high', 'medium', 'low'], importance), mentions desc, skill))::int as rank, skill, category, importance, mentions from g""",
-    _pair_skills, D.pairs, D.postings, D.dictionary,
+    _rows(FT.SKILLS),
 )
-def skill_gaps(matches, pairs, postings, dictionary):
-    return M.skill_gaps(matches, pairs, SP.posting_skills(postings, dictionary), SP.skills(postings, dictionary))
+def skill_gaps(rows):
+    return M.skill_gaps(rows)
 
 
-@query(None, D.pairs, D.profiles, D.postings, D.dictionary)
-def fuzzy_skill_matches(pairs, profiles, postings, dictionary):
-    return M.skill_matches(pairs, SP.profile_skills(profiles, dictionary), SP.posting_skills(postings, dictionary).drop("kind"))
+@query(None, _rows(FT.SKILLS, fuzzy=85.0))
+def fuzzy_skill_matches(rows):
+    return M.matches_of(rows)
 
 
 TOP = lambda source: Q.ORACLE["tfidf_terms"].replace("from documents", f"from {source}")
@@ -350,31 +357,25 @@ ranked as (select *, row_number() over (partition by pair_id order by score desc
 covered as (select pair_id, count(*)::int as considered, (count(*) filter (found))::int as found, round((count(*) filter (found))::double / count(*), 6) as coverage from ranked where rank <= 25 group by pair_id)"""
 
 
-def _compared(spark, sf_dir):
-    left, right = D.profiles(spark, sf_dir), D.postings(spark, sf_dir)
-    best = lambda docs: K.top_terms(docs).select("doc_id", F.col("tok").alias("term"), "score")
-    return CP.compared(D.pairs(spark, sf_dir), left, right, best(left), best(right))
-
+@query(f"{COMPARED} select * from compared", _rows(FT.KEYWORDS))
+def compared_keywords(rows):
+    return CP.compared_rows(rows)
 
-@query(f"{COMPARED} select * from compared", _compared)
-def compared_keywords(compared):
-    return compared
 
-
-@query(f"{COMPARED} select * from covered", _compared)
-def compared_coverage(compared):
-    return CP.coverage_of(compared)
+@query(f"{COMPARED} select * from covered", _rows(FT.KEYWORDS))
+def compared_coverage(rows):
+    return CP.coverage_of(rows)
 
 
 @query(
     rf"""{COMPARED}, facts as ({ORACLE["posting_facts"]}), noise as (select doc_id, unnest(list_distinct(list_concat(list_filter([lower(trim(employer)), lower(trim(place))], lambda x: coalesce(x, '') <> ''),
-  list_filter(string_split_regex(lower(coalesce(employer, '')), '[^\w&]+'), lambda p: length(p) > 2), ['equal opportunity employer', 'about the role', 'benefits']))) as term from facts),
+  list_filter(string_split_regex(lower(coalesce(employer, '')), '[^\w&]+'), lambda p: length(p) > 2), {SC.SET_PHRASES}))) as term from facts),
 m as (select pair_id, term, round(importance + 1e-9, 4) as importance from ranked r where rank <= 25 and not found and not exists (select 1 from noise n where n.doc_id = r.doc_id and (n.term = r.term or list_contains(string_split(r.term, ' '), n.term))))
 select pair_id, (row_number() over (partition by pair_id order by importance desc, term))::int as rank, term, importance, case when importance >= 0.35 then 'high' when importance >= 0.15 then 'medium' else 'low' end as severity from m""",
-    _compared, D.postings,
+    _rows(FT.KEYWORDS, FT.FACTS),
 )
-def missing_keywords(compared, postings):
-    return SC.missing_keywords(compared, SC.noise_terms(SP.posting_facts(postings)))
+def missing_keywords(rows):
+    return SC.missing_keywords(rows)
 
 
 GIVEN_COSINE = f"""select pair_id, cosine from (with {TEXTS}, documents as (select pair_id * 2 as doc_id, text from pairs join profiles on left_id = doc_id union all select pair_id * 2 + 1, text from pairs join postings on right_id = doc_id), {Q.COSINE} select * from cosines)"""
@@ -385,22 +386,14 @@ def given_pair_cosine(pairs, left, right):
     return P.cosine_of(pairs, left, right)
 
 
-def _features(spark, sf_dir):
-    """A row of features for each pair. Where LSA would give the texts' similarity, which SQL can't, the cosine of terms stands for it."""
-    left, right, pairs, words = D.profiles(spark, sf_dir), D.postings(spark, sf_dir), D.pairs(spark, sf_dir), D.dictionary(spark, sf_dir)
-    compared = _compared(spark, sf_dir)
-    text = F.col("text")
-    own = left.select(
-        F.col("doc_id").alias("left_id"), F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\| (.* clerk)"), F.lit(1)))).alias("titles"), F.regexp_count(text, F.lit(T.QUANTITY)).alias("n_quantities"),
-    )
-    by_left = lambda df, *cols: df.select(F.col("doc_id").alias("left_id"), *cols)
-    by_right = lambda df, *cols: df.select(F.col("doc_id").alias("right_id"), *cols)
-    rows = pairs.join(own, "left_id").join(by_left(DT.years_of_experience(left, TODAY), "years"), "left_id").join(by_left(SP.action_verbs(left), F.size("verbs").alias("n_verbs")), "left_id")
-    rows = rows.join(by_left(DT.degrees(left), "degrees", "level"), "left_id").join(by_left(X.presence(left), F.array_contains("detected", "education").alias("has_education")), "left_id")
-    rows = rows.join(by_right(SP.posting_facts(right), "title"), "right_id").join(by_right(DT.asked_years(right), F.col("min_years").alias("required_years")), "right_id").join(by_right(DT.asked_degree(right), F.col("phrase").alias("degree_phrase")), "right_id")
-    rows = rows.join(P.cosine_of(pairs, left, right), "pair_id", "left").join(CP.coverage_of(compared).select("pair_id", "coverage"), "pair_id", "left")
-    rows = rows.join(M.skill_metrics(pairs, _pair_skills(spark, sf_dir)).select("pair_id", F.col("score").alias("skill_score")), "pair_id")
-    return rows.na.fill({"cosine": 0.0, "coverage": 0.0}).withColumn("tfidf_cosine", F.col("cosine")).withColumn("similarity", F.col("cosine")).withColumn("section_similarity", F.col("coverage"))
+def _scored(spark, sf_dir, fuzzy=None):
+    """A row for each pair with all its features. Where LSA would give the texts' similarity, which SQL can't, the cosine of terms stands for it."""
+    rows = _rows(FT.FACTS, FT.SKILLS, FT.KEYWORDS, FT.COSINE, fuzzy=fuzzy)(spark, sf_dir)
+    coverage = F.coalesce("cover.coverage", F.lit(0.0))
+    return rows.withColumns({
+        "coverage": coverage, "section_similarity": coverage, "tfidf_cosine": F.col("cosine"), "similarity": F.col("cosine"), "skill_score": F.col("metrics.score"), "required_years": F.col("min_years"),
+        "has_education": F.array_contains("detected", "education"),
+    })
 
 
 WORD_SET = lambda t: rf"list_filter(list_distinct(string_split_regex(trim(replace(lower({t}), '-', ' ')), '\s+')), lambda w: length(w) > 2)"
@@ -419,12 +412,12 @@ SCORES = rf"""{FEATURES}, parts as (select *, len(fields) > 0 and degrees <> ''
   case when required_years > 0 then least(100.0::double, 100 * coalesce(years, 0) / required_years) else least(100.0::double, 45 + 7 * coalesce(years, 0)) end as by_years,
   case when coalesce(title, '') = '' then case when len(titles) > 0 then 60 else 20 end when len({WORD_SET("title")}) = 0 then 50
     else 100 * coalesce(list_max(list_transform(titles, lambda t: len(list_intersect({WORD_SET("t")}, {WORD_SET("title")}))::double / len({WORD_SET("title")}))), 0) end::double as by_title, least(40, 4 * n_verbs + 4 * least(n_quantities, 10)) / 0.4::double as quality from ranked_feats),
-scores as (select pair_id, left_id, right_id, n_quantities, years, required_years, degree_phrase, level, degrees, have, asked, gap_asked, round(100 * (0.45::double * ({CALIBRATED("cosine", 0.2)}) + 0.55::double * coverage), 2) as keyword_match, round(100 * ({CALIBRATED("cosine", 0.15)}), 2) as semantic_similarity,
-  round(skill_score, 2) as skill_match, round(0.55::double * by_years + 0.2::double * by_title + 0.15::double * 100 * coverage + 0.1::double * quality, 2) as experience_relevance, {EDUCATION} as education_match from parts),
-overalls as (select *, round(least(100.0::double, keyword_match * 0.25::double + semantic_similarity * 0.3::double + skill_match * 0.25::double + experience_relevance * 0.1::double + education_match * 0.1::double), 1) as overall from scores)"""
+scores as (select pair_id, left_id, right_id, n_quantities, years, required_years, degree_phrase, level, degrees, have, asked, gap_asked, round(100 * (0.45::double * ({CALIBRATED("cosine", 0.2)}) + 0.55::double * coverage) + 1e-9, 2) as keyword_match, round(100 * ({CALIBRATED("cosine", 0.15)}) + 1e-9, 2) as semantic_similarity,
+  round(skill_score + 1e-9, 2) as skill_match, round(0.55::double * by_years + 0.2::double * by_title + 0.15::double * 100 * coverage + 0.1::double * quality + 1e-9, 2) as experience_relevance, {EDUCATION} as education_match from parts),
+overalls as (select *, round(least(100.0::double, keyword_match * 0.25::double + semantic_similarity * 0.3::double + skill_match * 0.25::double + experience_relevance * 0.1::double + education_match * 0.1::double) + 1e-9, 1) as overall from scores)"""
 
 
-@query(f"{SCORES} select pair_id, keyword_match, semantic_similarity, skill_match, experience_relevance, education_match, overall, case when overall >= 85 then 'A' when overall >= 70 then 'B' when overall >= 55 then 'C' when overall >= 40 then 'D' else 'F' end as grade from overalls", _features)
+@query(f"{SCORES} select pair_id, keyword_match, semantic_similarity, skill_match, experience_relevance, education_match, overall, case when overall >= 85 then 'A' when overall >= 70 then 'B' when overall >= 55 then 'C' when overall >= 40 then 'D' else 'F' end as grade from overalls", _scored)
 def weighted_scores(features):
     return SC.full_scores(features)
 
@@ -438,21 +431,24 @@ LABEL = lambda x: "map {" + ", ".join(f"'{k}': '" + v.replace("'", "''") + "'" f
   when years + 0.25 < required_years then 'About ' || printf('%.1f', years) || ' years of experience against ' || {NUMBER("required_years")} || ' asked for, ' || printf('%.1f', required_years - years) || ' short.' end end as experience_gap,
 case when coalesce(degree_phrase, '') <> '' then case when level is null and degrees = '' then 'A degree is asked for (' || substr(degree_phrase, 1, 120) || '), but none was found.'
   when gap_asked >= 0 and have < gap_asked then coalesce({LABEL("level")}, 'No degree') || ' is below ' || {LABEL(f"({DT.RANKS})[gap_asked + 1]")} || ', which is asked for.' end end as education_gap from scores""",
-    _features,
+    _scored,
 )
 def experience_and_education_gaps(features):
     return SC.gaps(features)
 
 
+def _with_sections(rows):
+    """Rows of _scored() with scored: an array of the left's sections and their scores. A section's similarity is the share of the
+    posting's content tokens that it has."""
+    words = lambda t: F.array_distinct(K.content_tokens(t))
+    rows = rows.withColumn("__rw", held(words(F.col("right_text"))))
+    similarity = lambda t: F.when(F.size("__rw") > 0, F.round(F.size(F.array_intersect(words(t), F.col("__rw"))) / F.size("__rw"), 6)).otherwise(0.0)
+    own = F.transform("sections", lambda s: F.struct(s["name"].alias("name"), similarity(s["text"]).alias("similarity"), (s["text"] != "").alias("present")))
+    return rows.withColumn("own_sections", held(own)).withColumn("education_score", SC.education_score(F.col("level"), F.col("degree_phrase"), F.col("degrees"), F.col("has_education"))).drop("__rw")
+
+
 def _section_rows(spark, sf_dir):
-    """Sections of each pair's profile; their similarity is the share of the posting's content tokens that the section has."""
-    left, right, features = D.profiles(spark, sf_dir), D.postings(spark, sf_dir), _features(spark, sf_dir)
-    words = lambda c: F.array_distinct(K.content_tokens(F.col(c)))
-    own = X.sections(left).select(F.col("doc_id").alias("left_id"), "name", words("text").alias("lw"), (F.col("text") != "").alias("present"))
-    rows = features.join(own, "left_id").join(right.select(F.col("doc_id").alias("right_id"), words("text").alias("rw")), "right_id")
-    similarity = F.when(F.size("rw") > 0, F.round(F.size(F.array_intersect("lw", "rw")) / F.size("rw"), 6)).otherwise(0.0)
-    education = SC.education_score(F.col("level"), F.col("degree_phrase"), F.col("degrees"), F.col("has_education"))
-    return rows.select("pair_id", "name", similarity.alias("similarity"), "present", "skill_score", "n_quantities", education.alias("education_score"))
+    return _with_sections(_scored(spark, sf_dir))
 
 
 CONTENT_SET = lambda t: rf"list_distinct(list_filter(regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}]+'), lambda t: t not in ({Q.STOPS}) and length(t) > 1))"
@@ -460,17 +456,12 @@ SECTION_SCORES = rf"""{SCORES}, secs as (select * from (with {SECTIONED} select
 pair_secs as (select sc.*, s.name, s.text <> '' as present, round(len(list_intersect({CONTENT_SET("s.text")}, {CONTENT_SET("r.text")}))::double / len({CONTENT_SET("r.text")}), 6) as similarity from scores sc join secs s on s.doc_id = left_id join postings r on r.doc_id = right_id),
 based as (select *, 100 * ({CALIBRATED("similarity", 0.15)}) as base from pair_secs where name not in ('contact', 'references')),
 sec_scores as (select pair_id, name, similarity, present, round(least(100.0::double, case when name = 'skills' then 0.4::double * base + 0.6::double * skill_match when name = 'experience' and n_quantities < 3 then 0.9::double * base
-  when name = 'education' then 0.5::double * base + 0.5::double * education_match when name = 'summary' and not present then 0 else base end), 1) as score from based)"""
+  when name = 'education' then 0.5::double * base + 0.5::double * education_match when name = 'summary' and not present then 0 else base end) + 1e-9, 1) as score from based)"""
 
 
 @query(f"{SECTION_SCORES} select * from sec_scores", _section_rows)
 def section_scores(rows):
-    return SC.section_scores(rows).select("pair_id", "name", "similarity", "present", "score")
-
-
-def _detected(spark, sf_dir):
-    names = X.presence(D.profiles(spark, sf_dir)).select(F.col("doc_id").alias("left_id"), F.col("detected").alias("names"))
-    return D.pairs(spark, sf_dir).join(names, "left_id").select("pair_id", "names")
+    return SC.section_scores(rows.select("pair_id", "skill_score", "n_quantities", "education_score", F.inline_outer("own_sections")).where("name is not null")).select("pair_id", "name", "similarity", "present", "score")
 
 
 @query(
@@ -478,19 +469,18 @@ def _detected(spark, sf_dir):
 weak as (select pair_id, unnest(list_filter({SC.EXPECTED}, lambda x: not list_contains(names, x))) as section, 0::double as score from here
   union all select pair_id, name, score from sec_scores where present and score < case when name in {tuple(SC.EXPECTED)} then 55 when name in {tuple(SC.OPTIONAL)} then 25 else 0 end)
 select pair_id, (row_number() over (partition by pair_id order by score, section))::int as rank, section, score from weak""",
-    _section_rows, _detected,
+    _section_rows,
 )
-def weak_sections(rows, detected):
-    return SC.weak_sections(SC.section_scores(rows), detected)
+def weak_sections(rows):
+    return rows.select("pair_id", F.inline_outer(SC.weak_of(rows))).where("section is not null")
 
 
 COUNT = lambda p: f"len(regexp_extract_all(text, '{p}'))"
 
 
 def _checked(spark, sf_dir):
-    docs = D.profiles(spark, sf_dir)
-    contacts = (F.regexp_count("text", F.lit(T.EMAIL)) + F.regexp_count("text", F.lit(T.PHONE))).alias("n_contacts")
-    return docs.join(X.presence(docs).select("doc_id", F.col("detected").alias("names")), "doc_id").select("doc_id", "text", "names", contacts, F.octet_length("text").alias("n_bytes"))
+    rows = FT.profile_features(D.profiles(spark, sf_dir), D.dictionary(spark, sf_dir), TODAY, (FT.FACTS,))
+    return rows.select("doc_id", "text", F.col("detected").alias("names"), "n_contacts", "n_bytes")
 
 
 @query(
@@ -499,7 +489,7 @@ e as (select doc_id, {COUNT(SC.EMOJI)} as emoji, (length(trim(text)) >= 50)::int
   ({COUNT(SC.COLUMN_GAP)} < 4)::int as single_column, 1 as page_count, ({WORDS("text")} between 250 and 1500)::int as word_count, (strlen(text) <= 1048576)::int as file_size, ({COUNT(SC.EMOJI)} = 0 and {COUNT("[^" + chr(92) + "x00-" + chr(92) + "x7F]")} <= 12)::int as clean_charset,
   ({COUNT(SC.BULLET)} >= 3)::int as bullet_points, ({COUNT(SC.DATE_LINE)} >= 1)::int as parseable_dates, 1 as keyword_density from n),
 s as (select *, {" + ".join(SC.CHECKS)} as passed, {" + ".join(f"{w} * {c}" for c, w in SC.CHECKS.items())} + (emoji > 0)::int * clean_charset as earned, {sum(SC.CHECKS.values())} + (emoji > 0)::int as total from e)
-select * exclude (emoji, earned, total), round(100.0::double * earned / total, 1) as score from s""",
+select * exclude (emoji, earned, total), round(100.0::double * earned / total + 1e-9, 1) as score from s""",
     _checked,
 )
 def profile_checks(rows):
@@ -533,27 +523,23 @@ def latent_section_similarity(pairs, left, right):
 
 
 def _advised(spark, sf_dir):
-    """All that recommendations rest on, for each pair."""
-    pairs, left, right, words = D.pairs(spark, sf_dir), D.profiles(spark, sf_dir), D.postings(spark, sf_dir), D.dictionary(spark, sf_dir)
-    features, matches, compared = _features(spark, sf_dir), _pair_skills(spark, sf_dir), _compared(spark, sf_dir)
-    missing = M.skill_gaps(matches, pairs, SP.posting_skills(right, words), SP.skills(right, words))
-    listed = lambda df, test, name: F.transform(F.array_sort(F.collect_list(F.when(test, F.struct("rank", name)))), lambda x: x[name])
-    by_kind = missing.groupBy("pair_id").agg(*[listed(missing, F.col("importance") == k, "skill").alias(n) for k, n in (("high", "required"), ("medium", "open"), ("low", "preferred"))])
-    terms = SC.missing_keywords(compared, SC.noise_terms(SP.posting_facts(right))).groupBy("pair_id").agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("severity") == k, F.struct("rank", "term")))), lambda x: x["term"]).alias(k) for k in ("high", "medium")])
-    extra = matches.groupBy("pair_id").agg(F.count_if(F.col("status") == "extra").alias("n_extra"), F.count_if(F.col("status") == "matched").alias("n_matched"), F.array_sort(F.collect_list(F.when(F.col("status") == "extra", F.col("skill")))).alias("extra"))
-    weak = SC.weak_sections(SC.section_scores(_section_rows(spark, sf_dir)), _detected(spark, sf_dir)).groupBy("pair_id").agg(F.collect_list(F.struct("section", "score")).alias("weak"))
-    checks = SC.document_checks(_checked(spark, sf_dir))
-    failed = F.filter(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(w == 3).alias("is_error"), F.col(n).alias("ok"), F.lit(w > 1).alias("told")) for n, w in SC.CHECKS.items()]), lambda x: (x["ok"] == 0) & x["told"])
-    failed = checks.select(F.col("doc_id").alias("left_id"), F.transform(failed, lambda x: F.struct(x["name"].alias("name"), x["is_error"].alias("is_error"))).alias("failed"))
-    own = left.select(F.col("doc_id").alias("left_id"), F.regexp_count("text", F.lit(r"\S+")).alias("n_words")).join(_names(left), "left_id")
-    rows = features.drop("keyword_match").join(SC.full_scores(features).drop("overall", "grade"), "pair_id").join(SC.gaps(features), "pair_id").join(by_kind, "pair_id", "left").join(terms, "pair_id", "left")
-    rows = rows.join(extra, "pair_id", "left").join(weak, "pair_id", "left").join(failed, "left_id").join(own, "left_id")
+    """All that recommendations rest on, in the row of each pair."""
+    rows = _with_sections(_scored(spark, sf_dir))
+    rows = rows.withColumns({"__gaps": held(M.gaps_of(F.col("matches"), F.col("rights"))), "__noise": SC.noise_of(F.col("employer"), F.col("place"))})
+    rows = rows.withColumn("__terms", held(SC.missing_of(F.col("compared"), F.col("__noise")))).withColumn("weak", held(SC.weak_of(rows)))
+    pick = lambda c, field, value, name: F.transform(F.filter(c, lambda x: x[field] == value), lambda x: x[name])
+    rows = rows.withColumns({n: pick("__gaps", "importance", k, "skill") for k, n in (("high", "required"), ("medium", "open"), ("low", "preferred"))})
+    rows = rows.withColumns({k: pick("__terms", "severity", k, "term") for k in ("high", "medium")} | {"extra": F.array_sort(pick("matches", "status", "extra", "skill"))})
+    checks = SC.checks_of({"text": F.col("left_text"), "n_contacts": F.col("n_contacts"), "n_bytes": F.col("n_bytes"), "names": F.col("detected")})
+    failed = F.filter(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(w == 3).alias("is_error"), checks[n].alias("ok"), F.lit(w > 1).alias("told")) for n, w in SC.CHECKS.items()]), lambda x: ~x["ok"] & x["told"])
     none = F.array().cast("array<string>")
-    return rows.withColumns({"partial": none, "certificates": none, "asked_certificates": none, "density_band": F.lit("optimal"), "scanned": F.lit(False)}).na.fill({"n_extra": 0, "n_matched": 0})
-
-
-def _names(left):
-    return X.presence(left).select(F.col("doc_id").alias("left_id"), F.array_contains("detected", "summary").alias("has_summary"))
+    experience, education = SC.gap_texts()
+    overall = SC.dimensions()
+    return rows.withColumns({
+        "weak": F.transform("weak", lambda w: F.struct(w["section"].alias("section"), w["score"].alias("score"))), "failed": F.transform(failed, lambda x: F.struct(x["name"].alias("name"), x["is_error"].alias("is_error"))),
+        "n_extra": F.col("metrics.extra"), "n_matched": F.col("metrics.matched"), "experience_gap": experience, "education_gap": education, "has_summary": F.array_contains("detected", "summary"),
+        "partial": none, "certificates": none, "asked_certificates": none, "density_band": F.lit("optimal"), "scanned": F.lit(False), **overall,
+    })
 
 
 @query(None, _advised)

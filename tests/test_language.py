@@ -68,7 +68,7 @@ def test_files(spark, tmp_path):
     read = files.read_files(spark, str(tmp_path), 200)
     assert {r["name"]: r["problem"] for r in files.checked(read, 200).collect()} == {"a.txt": None, "b.md": None, "c.pdf": None, "d.pdf": "signature", "f.exe": "kind", "g.txt": "signature", "h.txt": "size"}
     got = files.texts(read.where("name < 'c'"))
-    assert {tuple(r) for r in got.collect()} == {("a.txt", "né"), ("b.md", "né")}
+    assert {tuple(r) for r in got.collect()} == {("a.txt", "né", "plain_text", 1), ("b.md", "né", "plain_text", 1)}
     assert [d.count() for d in files.parted_by_length(got, 2)] == [2, 0]
     files.save_results(got, f"{tmp_path}/out", "json")
     assert spark.read.json(f"{tmp_path}/out").count() == 2
