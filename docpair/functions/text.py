@@ -46,11 +46,18 @@ def cleaned(text: Column) -> Column:
     return collapsed(F.regexp_replace(repaired(plain(text)), r"[^\p{L}\p{N}\x20\x09-\x0D.,;:!?'\"()@%$+#/&_-]", " "))
 
 
-def titled(text: Column) -> Column:
-    """Words with a first capital but for small ones behind the first; words with capitals inside stay as they are; ß has no capital."""
+def titled(text: Column, acronyms: dict[str, str] | None = None) -> Column:
+    """Words with a first capital but for small ones behind the first; words with capitals inside stay as they are; ß has no capital.
+
+    acronyms maps lower-case words to how they are written; they go before all other rules.
+    """
     words = F.split(text, " ")
     big = lambda w: F.when(w.startswith("ß"), F.lower(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 30))))
-    return F.array_join(F.transform(words, lambda w, i: F.when(w.rlike(r"^.+\p{Lu}"), w).when((i > 0) & F.lower(w).isin(SMALL_WORDS), F.lower(w)).otherwise(big(w))), " ")
+    usual = lambda w, i: F.when(w.rlike(r"^.+\p{Lu}"), w).when((i > 0) & F.lower(w).isin(SMALL_WORDS), F.lower(w)).otherwise(big(w))
+    if not acronyms:
+        return F.array_join(F.transform(words, usual), " ")
+    known = F.create_map(*[F.lit(x) for kv in acronyms.items() for x in kv])
+    return F.array_join(F.transform(words, lambda w, i: F.coalesce(F.try_element_at(known, F.lower(w)), usual(w, i))), " ")
 
 
 def lemma(word: Column) -> Column:

@@ -76,9 +76,12 @@ def compared_rows(rows: DataFrame) -> DataFrame:
     return rows.select("pair_id", F.col("right_id").alias("doc_id"), F.inline_outer("compared")).where("term is not null")
 
 
-def covered(compared: Column, k: int = 25) -> Column:
-    """A struct of considered, found, coverage (null without keywords): of the k best keywords those that are found."""
+def covered(compared: Column, k: int = 25, noise: Column | None = None) -> Column:
+    """A struct of considered, found, coverage (null without keywords): of the k best keywords those that are found. Terms that are in
+    noise (an array), or have a word that is, aren't considered."""
     best = F.slice(compared, 1, k)
+    if noise is not None:
+        best = F.filter(best, lambda x: ~F.arrays_overlap(F.concat(F.array(x["term"]), F.split(x["term"], " ")), noise))
     found = F.size(F.filter(best, lambda x: x["found"]))
     return F.struct(F.size(best).alias("considered"), found.alias("found"), F.when(F.size(best) > 0, F.round(found / F.size(best), 6)).alias("coverage"))
 

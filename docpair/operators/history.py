@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from datetime import date, timedelta
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import grade
@@ -19,6 +21,26 @@ def page(history: DataFrame, number: int, size: int) -> DataFrame:
     return history.orderBy(F.col("created_at").desc(), "id").offset((number - 1) * size).limit(size)
 
 
+def keyset_page(history: DataFrame, size: int, after: tuple | None = None) -> DataFrame:
+    """One page behind a cursor, newest first, ties by id: the rows of the page with n, pages (of all rows), next_at and next_id.
+
+    after is the (created_at, id) of the last row of the page before, which next_at and next_id give; None for the first page.
+    The rows before the cursor are filtered, not sorted, so a page costs the same wherever it is. size is held within 1 and
+    100. The next cursor is null on a page that isn't full; a page past the end has no rows.
+    """
+    size = min(100, max(1, size))
+    order = [F.col("created_at").desc(), F.col("id")]
+    behind = history
+    if after is not None:
+        at, id_ = F.lit(after[0]).cast(dict(history.dtypes)["created_at"]), F.lit(after[1])
+        behind = history.where((F.col("created_at") < at) | ((F.col("created_at") == at) & (F.col("id") > id_)))
+    rows = behind.orderBy(*order).limit(size)
+    last = rows.agg(F.count(F.lit(1)).alias("__rows"), F.max_by(F.struct("created_at", "id"), F.struct(-F.unix_micros(F.col("created_at").cast("timestamp")), "id")).alias("__last"))
+    whole = history.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(last))  # one row each
+    whole = whole.select("n", F.ceil(F.col("n") / size).cast("long").alias("pages"), F.when(F.col("__rows") == size, F.col("__last")).alias("__next"))
+    return rows.join(F.broadcast(whole)).select(*history.columns, "n", "pages", F.col("__next.created_at").alias("next_at"), F.col("__next.id").alias("next_id"))
+
+
 def retained(history: DataFrame, days: int) -> DataFrame:
     """Rows not older than so many days before the newest row; all if days is 0 or less."""
     if days <= 0:
@@ -105,3 +127,43 @@ def without_expired(history: DataFrame, days: int) -> tuple[DataFrame, DataFrame
     newest = history.agg(F.max("created_at").alias("__newest"))
     marked = history.join(F.broadcast(newest)).withColumn("__old", F.col("created_at") < F.col("__newest") - F.expr(f"interval {days} days"))
     return marked.where("not __old").drop("__newest", "__old"), marked.where("__old").drop("__newest", "__old")
+
+
+def saved(batch: DataFrame, path: str, batch_id: int) -> None:
+    """Writes a batch of history as partitions by day and batch; a batch that is written again replaces itself, so a rerun leaves equal rows.
+
+    For foreachBatch of a stream, and for jobs that may be repeated. Only the batch's own partitions are replaced; one
+    that had rows on another day before must first be taken out by without_batch().
+    """
+    rows = batch.withColumns({"day": F.to_date("created_at"), "batch": F.lit(batch_id).cast("long")})
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(path)
+
+
+def _partitions(spark: SparkSession, path: str, depth: int) -> list:
+    """The folders of partitions, as Hadoop paths."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*" + "/*" * (depth - 1))
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place) or []
+    return [f.getPath() for f in found if f.isDirectory()]
+
+
+def _removed(spark: SparkSession, paths: list) -> int:
+    for p in paths:
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return len(paths)
+
+
+def without_batch(spark: SparkSession, path: str, batch_id: int) -> int:
+    """Deletes a batch's partitions; how many there were."""
+    return _removed(spark, [p for p in _partitions(spark, path, 2) if p.getName() == f"batch={batch_id}"])
+
+
+def purged(spark: SparkSession, path: str, days: int, today: str) -> int:
+    """Deletes whole days that are more than so many days before today, without reading a row; how many days went. None if days is 0 or less.
+
+    It may run at any time and again: a day that is gone stays gone.
+    """
+    if days <= 0:
+        return 0
+    limit = date.fromisoformat(today) - timedelta(days=days)
+    old = lambda name: name.startswith("day=") and name != "day=__HIVE_DEFAULT_PARTITION__" and date.fromisoformat(name[4:]) < limit
+    return _removed(spark, [p for p in _partitions(spark, path, 1) if old(p.getName())])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rows import let
 from ..functions.text import EMAIL, TOKEN, URL, lemma, tokens
 from .terms import STOP_WORDS
 
@@ -104,28 +105,42 @@ def longest_matches(docs: DataFrame, dictionary: DataFrame, sizes: tuple[int, ..
     return lists.select("doc_id", F.inline_outer(kept)).drop("less")
 
 
+#: Characters of a piece of text that a step looks into; a step's work is bounded by it, not by the text.
+REACH = 1 << 15
+
+
 def chunk_arrays(text: Column, most: int = 512, overlap: int = 64) -> Column:
     """Pieces of a text (start, chunk) of at most so many characters; each begins `overlap` characters before the end of the one before.
 
     A piece ends behind the last full stop before a blank, or the last newline, of its second half; else at the limit. The
-    overlap must be less than half of `most`, so that each piece gets further. Null and empty texts have none.
+    overlap must be less than half of `most`, so that each piece gets further. Null and empty texts have none. The text is
+    cut into stretches of REACH characters first, and a piece is taken from the stretch where it begins and the next.
     """
     if not 0 <= overlap < most // 2:
         raise ValueError("overlap must be less than half of a piece")
+    reach = max(REACH, most)
     size = F.char_length(text)
     none = F.array().cast("array<struct<start:int,chunk:string>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-
-    def step(s: Column, _: Column) -> Column:
-        window = F.substring(text, s["at"] + 1, F.lit(most))
-        marked = F.char_length(F.regexp_extract(window, r"(?s)^.*(?:\. |\n)", 0)) - F.regexp_extract(window, r"(?s)^.*(?:\. |\n)", 0).endswith(" ").cast("int")
-        taken = F.when(s["at"] + most >= size, size - s["at"]).when(marked > most // 2, marked).otherwise(most)
-        after = s["at"] + taken
-        piece = F.struct(s["at"].alias("start"), F.substring(text, s["at"] + 1, taken).alias("chunk"))
-        return F.when(s["at"] >= size, s).otherwise(F.struct(F.when(after >= size, size).otherwise(after - overlap).cast("int").alias("at"), F.concat(s["out"], F.array(piece)).alias("out")))
+    begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
+
+    def step(stretches: Column, s: Column) -> Column:
+        k = (s["at"] / reach).cast("int")
+        near = F.concat(F.get(stretches, k), F.coalesce(F.get(stretches, k + 1), F.lit("")))
+        return let(F.substring(near, s["at"] % reach + 1, F.lit(most)), lambda window: taken(window, s))
+
+    def taken(window: Column, s: Column) -> Column:
+        tail = F.regexp_extract(window, r"(?s)^.*(?:\. |\n)", 0)
+        marked = let(tail, lambda t: F.char_length(t) - t.endswith(" ").cast("int"))
+        length = let(marked, lambda m: F.when(s["at"] + most >= size, size - s["at"]).when(m > most // 2, m).otherwise(most))
+        return let(length, lambda n: F.struct(
+            F.when(s["at"] + n >= size, size).otherwise(s["at"] + n - overlap).cast("int").alias("at"),
+            F.concat(s["out"], F.array(F.struct(s["at"].alias("start"), F.substring(window, F.lit(1), n).alias("chunk")))).alias("out"),
+        ))
 
     steps = F.sequence(F.lit(1), (size / (most // 2 - overlap)).cast("int") + 1)
-    return F.when(size > 0, F.aggregate(steps, start, step, lambda s: s["out"]))
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{reach}}}"), F.lit(0))
+    folded = let(cut, lambda stretches: F.aggregate(steps, begin, lambda s, _: F.when(s["at"] >= size, s).otherwise(step(stretches, s)), lambda s: s["out"]))
+    return F.when(size > 0, folded)
 
 
 def chunks(docs: DataFrame, most: int = 512, overlap: int = 64) -> DataFrame:

@@ -6,6 +6,8 @@ join on runs of tokens, so neither side is collected, and Spark broadcasts the d
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -186,11 +188,45 @@ def mentions(docs: DataFrame, gazetteer: DataFrame, dictionary: DataFrame | None
     return kept.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first", "canonical"))).alias("x")).select("doc_id", F.slice(F.transform("x", lambda n: n["canonical"]), 1, most).alias("names"))
 
 
+def first_valid(candidates: list[tuple[Column, Callable[[Column], Column]]]) -> Column:
+    """Of (candidates, test) in order the first candidate that passes its test; candidates are arrays of strings, null where there are none."""
+    return F.coalesce(*[F.get(F.filter(listed, test), F.lit(0)) for listed, test in candidates])
+
+
+def person_of(text: Column, lines: int = 8) -> Column:
+    """A person's name: of a line labelled as a name, else of the first lines one that is shaped like a name, else made of the mail address.
+
+    A name has 2 to 4 words that begin with a capital, without digits, @ and words of titles. The part of an address
+    before the @ counts if it is two or three words of letters with dots or lines between.
+    """
+    bare = lambda x: F.regexp_replace(x, r"^[ \-:|•]+|[ \-:|•]+$", "")
+    title = lambda x: F.arrays_overlap(F.split(F.lower(x), r"\s+"), F.array(*map(F.lit, TITLE_WORDS)))
+    shaped = lambda x: (F.char_length(x) <= 60) & x.rlike(r"^\p{Lu}[\p{L}'’.\-]*(?:\s+\p{Lu}[\p{L}'’.\-]*){1,3}$") & ~title(x)
+    labelled = F.transform(F.regexp_extract_all(text, F.lit(r"(?im)^\s*(?:full\s+)?name\s*[:\-]\s*(.+)$"), F.lit(1)), bare)
+    first = F.transform(F.slice(F.split(text, "\n"), 1, lines), bare)
+    mail = F.transform(F.regexp_extract_all(text, F.lit(r"\b([A-Za-z]+(?:[._-][A-Za-z]+){1,2})@[A-Za-z0-9]"), F.lit(1)), lambda x: F.regexp_replace(x, "[._-]", " "))
+    return F.initcap(first_valid([(labelled, shaped), (first, shaped), (mail, lambda x: ~title(x))]))
+
+
 def person(docs: DataFrame, lines: int = 8) -> DataFrame:
-    """doc_id, person: of the first lines the first with 2 to 4 words that all begin with a capital, without digits, @ and words of titles."""
-    trimmed = F.transform(F.slice(F.split("text", "\n"), 1, lines), lambda x: F.regexp_replace(x, r"^[ \-:|•]+|[ \-:|•]+$", ""))
-    named = lambda x: (F.char_length(x) <= 60) & x.rlike(r"^[A-Z][A-Za-z'’.\-]*(?:\s+[A-Z][A-Za-z'’.\-]*){1,3}$") & ~F.arrays_overlap(F.split(F.lower(x), r"\s+"), F.array(*map(F.lit, TITLE_WORDS)))
-    return docs.where("text is not null").select("doc_id", F.initcap(F.get(F.filter(trimmed, named), F.lit(0))).alias("person"))
+    """doc_id, person of person_of(), without null texts."""
+    return docs.where("text is not null").select("doc_id", person_of(F.col("text"), lines).alias("person"))
+
+
+#: Wording before or behind an employer's name, where no line states it; the name is the group.
+EMPLOYER_WORDS = [r"\b[Aa]bout ((?:\p{Lu}[\p{L}\p{N}&.'-]*\s?){1,4})", r"\b((?:\p{Lu}[\p{L}\p{N}&.'-]*\s){1,4})(?:is|are) (?:looking|hiring|seeking)\b", r"\b[Jj]oin ((?:\p{Lu}[\p{L}\p{N}&.'-]*\s?){1,4})"]
+#: Endings of companies' names.
+COMPANY = r"\b((?:\p{Lu}[\p{L}\p{N}&'-]*\s){1,4}(?:AG|Corp|GmbH|Inc|LLC|Ltd|PLC)\b\.?)"
+#: Words that are no employer, alone.
+NO_EMPLOYER = ["a", "our", "role", "team", "the", "this", "us", "we", "you"]
+
+
+def employer_of(text: Column) -> Column:
+    """An employer: of a labelled line, else by wording, else a name with a company's ending. Names have 2 to 60 characters, without long numbers, and aren't a pronoun."""
+    bare = lambda x: F.regexp_replace(single_spaced(x), r"^[ ,:.\-–—|]+|[ ,:\-–—|]+$", "")
+    found = lambda p: F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), bare)
+    valid = lambda x: F.char_length(x).between(2, 60) & ~x.rlike(r"\d{4,}|@|http") & ~F.lower(x).isin(NO_EMPLOYER)
+    return first_valid([(found(p), valid) for p in (EMPLOYER_LINE, *EMPLOYER_WORDS, COMPANY)])
 
 
 def posting_facts(docs: DataFrame) -> DataFrame:
@@ -201,9 +237,9 @@ def posting_facts(docs: DataFrame) -> DataFrame:
 def with_posting_facts(docs: DataFrame) -> DataFrame:
     """docs with title, place, employer and pay of a posting.
 
-    title: of the labelled line, else of the first of 6 lines that is shaped like one: 2 to 8 words, most with a capital, up to
+    employer: that of employer_of(). title: of the labelled line, else of the first of 6 lines that is shaped like one: 2 to 8 words, most with a capital, up to
     a dash, without digits. place: of the labelled line up to other facts, at most 60 characters without long numbers, else
-    Remote if the text says so. employer: of the labelled line. pay: the first sum of money with what belongs to it.
+    Remote if the text says so. pay: the first sum of money with what belongs to it.
     """
     labelled = lambda p: F.nullif(F.trim(F.regexp_extract("text", p, 1)), F.lit(""))
     heads = F.transform(F.filter(F.slice(F.split("text", "\n"), 1, 6), lambda x: F.trim(x) != ""), lambda x: F.trim(F.regexp_extract(F.trim(x), r"^(.*?)(?:—|–|\|| - | :: | at |·|$)", 1)))
@@ -215,4 +251,4 @@ def with_posting_facts(docs: DataFrame) -> DataFrame:
     place = F.when((stated != "") & (F.char_length(stated) <= 60) & ~stated.rlike(r"\d{4,}"), stated)
     remote = F.when(F.col("text").rlike(r"(?i)\b(remote|work from home|wfh|fully remote|anywhere)\b"), "Remote")
     pay = F.nullif(single_spaced(F.regexp_extract("text", PAY, 0)), F.lit(""))
-    return docs.withColumns({"title": F.initcap(title), "place": F.coalesce(place, remote), "employer": labelled(EMPLOYER_LINE), "pay": pay})
+    return docs.withColumns({"title": F.initcap(title), "place": F.coalesce(place, remote), "employer": employer_of(F.col("text")), "pay": pay})

@@ -2,7 +2,7 @@ import pytest
 from compare import assert_same
 from conftest import SF
 
-from docpair.plans import analysis
+from docpair.plans import analysis, texts
 from docpair.plans.queries import ORACLE, QUERIES
 
 
@@ -16,6 +16,11 @@ def test_analysis_matches_sql(spark, name):
     assert_same(spark, SF, analysis.QUERIES[name], analysis.ORACLE[name])
 
 
+@pytest.mark.parametrize("name", texts.ORACLE)
+def test_texts_match_sql(spark, name):
+    assert_same(spark, SF, texts.QUERIES[name], texts.ORACLE[name])
+
+
 def test_entry(spark):
     import __spark_entry__
 
