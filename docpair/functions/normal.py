@@ -65,26 +65,31 @@ def tables() -> list[tuple[str, str]]:
     return out
 
 
+def ranges(characters: str) -> str:
+    """The inside of a character class, as ranges of code points."""
+    points = sorted(map(ord, characters))
+    starts = [p for k, p in enumerate(points) if k == 0 or points[k - 1] != p - 1]
+    ends = [p for k, p in enumerate(points) if k == len(points) - 1 or points[k + 1] != p + 1]
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends, strict=True))
+
+
 def compatible(text: Column) -> Column:
     """A text's characters in their plain forms. Where at least MOSTLY of the characters are ASCII as written (accents are not),
     those whose plain form isn't are dropped. Null stays null.
 
-    Only characters beyond ASCII are looked at one by one: translate() gives the first character of a form, and, for those
-    whose forms have more, the others. The tables are made by rule, from the character database.
+    translate() handles runs of characters whose form has one character or none. Those whose forms have more, such as
+    ligatures and syllables, are looked at one by one: table after table, or, for the few of more than four, in a map. All
+    tables are made by rule, from the character database.
     """
     first, *more = tables()
-    several = more[0][0]
-    rest = lambda c: F.concat(*[F.when(F.translate(c, m, r) != c, F.translate(c, m, r)).otherwise("") for m, r in more[:3]])
-    # forms of more than four characters are few; each character has its own
-    long_ = {c: plain_form(c) for c in (more[3][0] if len(more) > 3 else "")}
-    whole = F.create_map(*[F.lit(x) for kv in long_.items() for x in kv]) if long_ else None
-
-    def one(c: Column) -> Column:
-        short = F.when(F.contains(F.lit(several), c), F.concat(F.translate(c, *first), rest(c))).otherwise(F.translate(c, *first))
-        return F.when(F.contains(F.lit("".join(long_)), c), F.try_element_at(whole, c)).otherwise(short) if long_ else short
-
-    pieces = F.regexp_extract_all(text, F.lit(r"[\x00-\x7F]+|[^\x00-\x7F]"), F.lit(0))
-    formed = F.when(text.rlike(r"[^\x00-\x7F]"), F.array_join(F.transform(pieces, lambda p: F.when(F.ascii(p) < 128, p).otherwise(one(p))), "")).otherwise(text)
+    several = ranges(more[0][0])
+    long_ = {c: plain_form(c) for c in more[3][0]}
+    whole = F.create_map(*[F.lit(x) for kv in long_.items() for x in kv])
+    next_ = lambda c, table: let(F.translate(c, *table), lambda x: F.when(x != c, x).otherwise(""))
+    one = lambda c: F.coalesce(F.try_element_at(whole, c), F.concat(F.translate(c, *first), *[next_(c, t) for t in more[:3]]))
+    pieces = F.regexp_extract_all(text, F.lit(f"[{several}]|[^{several}]+"), F.lit(0))
+    parted = F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(f"^[{several}]"), one(p)).otherwise(F.translate(p, *first))), "")
+    formed = F.when(text.rlike(f"[{several}]"), parted).when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, *first)).otherwise(text)
     signs = ascii_signs()
     beyond = F.regexp_count(F.translate(text, signs, "a" * len(signs)), F.lit(r"[^\x00-\x7F]"))
     mostly = beyond <= (1 - MOSTLY) * F.char_length(text) + 1e-9

@@ -148,7 +148,7 @@ def with_relations(tagged: DataFrame) -> DataFrame:
     rows = rows.withColumns({
         "__noun": F.min(F.when(tag.isin("NOUN", "PROPN"), pos)).over(in_order.rowsBetween(1, 3)),
         "__open": F.nullif(F.last(event, ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1)),
-        "__subject": F.min(F.when(ahead & tag.isin(NOMINAL), pos)).over(sentence),
+        "__subject": F.min(F.when(ahead & tag.isin(NOMINAL) & ~low.isin("not", "n't"), pos)).over(sentence),
     })
     r, o = F.col("__root"), F.col("__open")
     nominal, noun, modifier = tag.isin(NOMINAL), tag.isin("NOUN", "PROPN"), tag.isin("DET", "ADJ", "NUM")

@@ -123,12 +123,12 @@ def chunk_arrays(text: Column, most: int = 512, overlap: int = 64) -> Column:
     none = F.array().cast("array<struct<start:int,chunk:string>>")
     begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
-    def step(stretches: Column, s: Column) -> Column:
+    def step(whole: Column, s: Column) -> Column:
         k = (s["at"] / reach).cast("int")
-        near = F.concat(F.get(stretches, k), F.coalesce(F.get(stretches, k + 1), F.lit("")))
-        return let(F.substring(near, s["at"] % reach + 1, F.lit(most)), lambda window: taken(window, s))
+        near = F.concat(F.get(whole["stretches"], k), F.coalesce(F.get(whole["stretches"], k + 1), F.lit("")))
+        return let(F.substring(near, s["at"] % reach + 1, F.lit(most)), lambda window: taken(window, s, whole["size"]))
 
-    def taken(window: Column, s: Column) -> Column:
+    def taken(window: Column, s: Column, size: Column) -> Column:
         tail = F.regexp_extract(window, r"(?s)^.*(?:\. |\n)", 0)
         marked = let(tail, lambda t: F.char_length(t) - t.endswith(" ").cast("int"))
         length = let(marked, lambda m: F.when(s["at"] + most >= size, size - s["at"]).when(m > most // 2, m).otherwise(most))
@@ -138,8 +138,8 @@ def chunk_arrays(text: Column, most: int = 512, overlap: int = 64) -> Column:
         ))
 
     steps = F.sequence(F.lit(1), (size / (most // 2 - overlap)).cast("int") + 1)
-    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{reach}}}"), F.lit(0))
-    folded = let(cut, lambda stretches: F.aggregate(steps, begin, lambda s, _: F.when(s["at"] >= size, s).otherwise(step(stretches, s)), lambda s: s["out"]))
+    cut = F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{reach}}}"), F.lit(0)).alias("stretches"), size.alias("size"))  # made once, not at each step
+    folded = let(cut, lambda whole: F.aggregate(steps, begin, lambda s, _: F.when(s["at"] >= whole["size"], s).otherwise(step(whole, s)), lambda s: s["out"]))
     return F.when(size > 0, folded)
 
 
