@@ -147,14 +147,14 @@ o as (select *, 3 * source_size / weight as ratio, sum(source_size) over () as t
 v as (select (total - 3 * size_before)::double as num, (weights - weight_before)::double as den from o
   where ratio * (weights - weight_before) >= total - 3 * size_before order by ratio, source limit 1),
 g as (select source, source_size, least(source_size * 3.0::double, weight * num / den) as target from w, v),
-r as (select d.*, g.source_size, g.target, case when g.source_size > 0 then least(g.target / g.source_size, 3.0::double) else 0 end as rate,
-  ('0x' || substr(md5('mix-2:' || coalesce(d.doc_id::varchar, '')), 1, 13))::bigint as place from d join g on d.source is not distinct from g.source),
-p as (select *, floor(rate)::bigint as whole, floor((rate - floor(rate)) * 4503599627370496)::bigint as part from r),
-k as (select source, turn, abs(sum(size * (whole + (((place + turn * 70368744177664) % 4503599627370496) < part)::bigint))::double - any_value(target)) as off
-  from p, (select unnest(range(64)) as turn) group by source, turn),
-b as (select source, arg_min(turn, (off, turn)) as turn from k group by source)
-select doc_id, size, source_size, target, (size * (whole + (((place + turn * 70368744177664) % 4503599627370496) < part)::bigint))::bigint as taken
-from p join b on p.source is not distinct from b.source""",
+r as (select d.*, g.source_size, g.target, case when g.source_size > 0 then least(g.target / g.source_size, 3.0::double) else 0 end as rate, length(bin(size)) * 8 + (size >> greatest(length(bin(size)) - 3, 0)) as b,
+  ('0x' || substr(md5('mix-3:' || coalesce(d.doc_id::varchar, '')), 1, 13))::bigint as place, ('0x' || substr(md5('mix-3:source:' || coalesce(d.source, '')), 1, 13))::bigint as start from d join g on g.source is not distinct from d.source),
+p as (select *, floor(rate)::bigint as whole, floor((rate - floor(rate)) * 4503599627370496)::hugeint as part from r),
+c as (select source, b, any_value(part) as part, any_value(start) as start, count(*)::hugeint as n, sum(count(*)) over (partition by source order by b)::hugeint as upto from p group by source, b),
+k as (select source, b, (part * upto + start) // 4503599627370496 - (part * (upto - n) + start) // 4503599627370496 as k from c),
+o2 as (select *, row_number() over (partition by source, b order by place) as nth from p),
+e as (select k.source, k.b, place as cutoff from k join o2 on k.source is not distinct from o2.source and k.b = o2.b and nth = k)
+select doc_id, size, source_size, target, (size * (whole + coalesce(place <= cutoff, false)::bigint))::bigint as taken from p left join e on e.source is not distinct from p.source and e.b = p.b""",
     "op11_vector_codes": _codes_sql(),
     "op13_divergence": r"""
 with d as (select row_number() over () as doc, coalesce(lang, '') as lang, coalesce(source, '') as source,

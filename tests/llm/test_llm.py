@@ -227,24 +227,49 @@ def test_mixing(spark, odd):
     assert lone.groupby(lone["source"].fillna("~")).target.first().tolist() == [2.0, 4.0, 6.0]
 
 
-def test_mixing_draws_each_document_by_its_own_hash(spark, monkeypatch):
+def test_mixing_balances_draws_by_size(spark, monkeypatch):
     rng = random.Random(6)
     docs = docs_of(spark, [" ".join(["w"] * rng.randint(1, 300)) for _ in range(400)], [f"s{rng.choice([0, 0, 0, 1, 2])}" for _ in range(400)])
     plan = mixing.copies_by_document(docs).toPandas().sort_values("doc_id")
     near = plan.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
-    assert ((near.taken - near.target).abs() < 0.01 * near.target).all()
-    place = [int(hashlib.md5(f"mix-2:{i}".encode()).hexdigest()[:13], 16) for i in plan["doc_id"]]
-    for name, group in plan.assign(place=place).groupby("source"):
+    assert ((near.taken - near.target).abs() < 0.02 * near.target).all()
+    hashed = lambda key: int(hashlib.md5(f"mix-3:{key}".encode()).hexdigest()[:13], 16)
+    for name, group in plan.groupby("source"):
         rate = min(group.target.iloc[0] / group.source_size.iloc[0], 3.0)
         whole, part = int(rate), int((rate - int(rate)) * 2**52)
-        taken = [[s * (whole + ((p + k * 2**46) % 2**52 < part)) for s, p in zip(group["size"], group.place, strict=True)] for k in range(64)]
-        best = min(range(64), key=lambda k: (abs(sum(taken[k]) - group.target.iloc[0]), k))
-        assert group.taken.tolist() == taken[best], name
-    assert set(plan.copies) <= {int(r) + k for r in (plan.target / plan.source_size) for k in (0, 1)}
+        bins: dict = {}
+        for doc, size in zip(group.doc_id, group["size"], strict=True):
+            bins.setdefault((int(size).bit_length(), int(size) >> max(int(size).bit_length() - 3, 0)), []).append((hashed(doc), doc))
+        at, more = hashed(f"source:{name}"), set()
+        for _, found in sorted(bins.items()):
+            k = (at + part * len(found)) // 2**52 - at // 2**52
+            at += part * len(found)
+            more |= {doc for _, doc in sorted(found)[:k]}
+        assert [whole + (d in more) for d in group.doc_id] == group.copies.tolist(), name
     monkeypatch.setattr(mixing, "MOST_BROADCAST", 0)
     assert mixing.copies_by_document(docs).toPandas().sort_values("doc_id").taken.tolist() == plan.taken.tolist()
 
 
+def test_mixing_gives_each_document_the_stated_probability(spark):
+    """300 sources of one document each: the share of copies is near the rate's fraction, whatever its side of a half."""
+    docs = docs_of(spark, ["a b c d e f g h i"] * 300, [f"s{i:03}" for i in range(300)])
+    plan = mixing.copies_by_document(docs, (4, 10, 13)).toPandas()
+    for rate, group in plan.groupby((plan.target / plan.source_size).round(3)):
+        share = (group.copies - int(rate)).mean()
+        assert len(group) == 100 and abs(share - rate % 1) < 0.15, (rate, share)
+
+
+def test_mixing_odd_tables(spark):
+    rows = [(1, None, None, 5), (1, None, None, 5), (None, "a b", "s", 1), (None, "", "s", 2), (4, "word " * 40_000, "long", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int").repartition(2)
+    mixed = mixing.mix_sources(docs)
+    assert mixed.columns == docs.columns and mixed.where("source is null").count() == 0
+    plan = mixing.copies_by_document(docs)
+    assert plan.count() == 5 and mixed.count() == plan.agg(F.sum("copies")).first()[0]
+    none = spark.createDataFrame([(1, None, "s"), (2, " ", None)], "doc_id long, text string, source string")
+    assert mixing.copies_by_document(none).agg(F.sum("copies")).first()[0] == 0 and mixing.mix_sources(none).count() == 0
+
+
 def brute_strings(texts, n=suffix_dedup.LENGTH):
     seen, out = set(), {}
     for i, t in enumerate(texts):
