@@ -8,7 +8,7 @@ n hashes, a pair is dropped once the posterior probability that its similarity r
 Pairs within a bucket are never all emitted. First every member meets its bucket's leader, the member that shares most
 buckets, so a group around one text is joined by as many pairs as it has members. In a bucket that still holds several
 components, members outside of its largest component are guests: they visit the blocks of all its members, while pairs
-within the largest component are settled and never meet. A task holds the short signatures and the sets (32 bits a shingle) of one block of
+within the largest component are settled and never meet. A task holds the signatures and the sets (32 bits a shingle) of one block of
 guests and one of members, and emits a link for each two components it joins. These links are verified on full sets; if
 one of them fails, which takes colliding hashes, the blocks meet again with 64 bits a shingle, as full sets have.
 """
@@ -95,25 +95,24 @@ def _survive(left: np.ndarray, right: np.ndarray, least: list[int]) -> np.ndarra
 
 
 def _packed(bits: int):
-    """Adds to nodes with texts: short (the low 16 bits of each hash of the signature) and words (sorted, the high bits of each shingle)."""
+    """Adds words (sorted, the high bits of each shingle) to nodes with texts and signatures."""
     kind = np.uint32 if bits == 32 else np.uint64
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _WordHashes()
         for pdf in batches:
             words = [(shingle_set(t, hashes) >> np.uint64(64 - bits)).astype(kind).tobytes() for t in pdf["t"]]
-            short = [np.frombuffer(x, np.uint32).astype(np.uint16).tobytes() for x in pdf["signature"]]
-            yield pd.DataFrame({"node": pdf["node"], "short": short, "words": words})
+            yield pd.DataFrame({"node": pdf["node"], "signature": pdf["signature"], "words": words})
 
     return work
 
 
-def _signatures(column: pd.Series, kind: type = np.uint32) -> np.ndarray:
-    return np.frombuffer(b"".join(map(bytes, column)), kind).reshape(-1, HASHES)
+def _signatures(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(map(bytes, column)), np.uint32).reshape(-1, HASHES)
 
 
 def _matches(one: np.ndarray, others: np.ndarray, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Which of others pass every batch against one signature, and their matches. Short signatures match too often, never too seldom."""
+    """Which of others pass every batch against one signature, and their matches."""
     alive, matches = np.arange(len(others)), np.zeros(len(others), np.int64)
     for k, enough in enumerate(least):
         s = slice(k * BATCH, (k + 1) * BATCH)
@@ -139,23 +138,23 @@ def _meeting(percent: int, least: list[int], bits: int):
 def links_of_blocks(pdf: pd.DataFrame, percent: int, least: list[int], bits: int) -> list[tuple[bytes, bytes]]:
     """Links between guests and members of one bucket that join different components.
 
-    pdf: node, component, short, words; band; visits (a row of a guest) and guest (whether a member's row is of a guest, too).
+    pdf: node, component, signature, words; band; visits (a row of a guest) and guest (whether a member's row is of a guest, too).
     A link is found by its estimate first and then by its sets; components are joined here as links are found.
     """
     names = pdf["node"].map(bytes).to_numpy()
     parts = pd.factorize(pdf["component"].map(bytes))[0]
-    short = _signatures(pdf["short"], np.uint16)
+    signatures = _signatures(pdf["signature"])
     words = [np.frombuffer(w, np.uint32 if bits == 32 else np.uint64) for w in pdf["words"]]
     sizes = np.array([len(w) for w in words])
     visits, guest = pdf["visits"].to_numpy(bool), pdf["guest"].to_numpy(bool)
-    before = short[:, : ROWS * int(pdf["band"].iloc[0])].reshape(len(pdf), -1, ROWS)
+    before = signatures[:, : ROWS * int(pdf["band"].iloc[0])].reshape(len(pdf), -1, ROWS)
     home, found, root = np.flatnonzero(~visits), [], np.arange(len(pdf))
     for at in np.flatnonzero(visits):
         fit = home[root[parts[home]] != root[parts[at]]]
         fit = fit[100 * np.minimum(sizes[fit], sizes[at]) >= percent * np.maximum(sizes[fit], sizes[at])]
         fit = fit[~guest[fit] | (names[fit] > names[at])]  # two guests meet once
         fit = fit[~(before[fit] == before[at]).all(2).any(1)]  # those of an earlier bucket meet there
-        some, matches = _matches(short[at], short[fit], least)
+        some, matches = _matches(signatures[at], signatures[fit], least)
         fit = fit[some[np.argsort(-matches, kind="stable")]]
         while len(fit):
             now, fit = fit[:TURN], fit[TURN:]
@@ -290,7 +289,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-4, id_c
     dealt = dealt.withColumn("group", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(groups)))
     left_over = rest.select("node").distinct()
     for bits in (32, 64):
-        packed = texts.join(left_over, "node").join(nodes.select("node", "signature"), "node").mapInPandas(_packed(bits), "node binary, short binary, words binary")
+        packed = texts.join(left_over, "node").join(nodes.select("node", "signature"), "node").mapInPandas(_packed(bits), "node binary, signature binary, words binary")
 
         second = cut(dealt.join(packed, "node").groupBy("group").applyInPandas(_meeting(percent, least, bits), "a binary, b binary").distinct())
         more = _verified(second, nodes, texts, percent, None)
