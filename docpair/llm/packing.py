@@ -7,12 +7,15 @@ partition hands over its open windows, at most OPEN of them whatever its size. T
 over partitions and cut at multiples of the window, without a task that sees them all. What is left of that, less than one
 window in all, is cut into powers of two, which need no padding.
 
-Ids come from the tokenizers library. Its word pattern and its normalizing never look across ASCII blanks, so texts are cut
-there; each task keeps the ids of up to twice CACHED pieces it has met last, and hands the library only pieces that are new.
+Ids come from the tokenizers library. A text is cut at places where its word pattern and its normalizing cut in any case:
+ASCII texts into the pattern's words, others at blanks and before signs that end a word. Each task keeps the ids of up to
+twice CACHED pieces it has met last, and hands the library only pieces that are new.
 """
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,42 +32,57 @@ SPAN = 1 << 20
 PER_PARTITION, MERGED = 1 << 33, 1 << 60
 
 
-class Encoder:
-    """The ids of texts under a tokenizers JSON file whose pre-tokenizer drops ASCII blanks, as little-endian unsigned 32-bit integers."""
+#: The words of the vocabulary's pattern where a text is ASCII and in lower case.
+ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII).findall
+#: ASCII signs between a letter and a blank are words of their own.
+ENDING = re.compile(r"([A-Za-z])([!-/:-@\[-`{-~]+)(?=[ \n]|$)")
+
+
+class Encoder(dict):
+    """The ids of texts under a tokenizers JSON file whose words end at ASCII blanks, as little-endian unsigned 32-bit integers.
+
+    As a dictionary, it holds the ids of pieces; those met since the last CACHED others are kept, and once more found again.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__({"": b""})
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.recent: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        """Gives every word an entry in recent."""
-        recent, older = self.recent, self.older
-        new = []
-        for word in set(words).difference(recent):
-            ids = older.get(word)
-            if ids is None:
-                new.append(word)
+        self.model, self.older = self.library.model, {}
+        self.marked = [t.content for t in self.library.get_added_tokens_decoder().values()]
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            if piece.isascii() and piece.isprintable() and ASCII_WORDS(piece.lower()) == [piece]:  # a word that nothing normalizes
+                ids = array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
             else:
-                recent[word] = ids
-        for word, got in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            recent[word] = np.array(got.ids, "<u4").tobytes()
+                ids = array("I", self.library.encode(piece, add_special_tokens=False).ids).tobytes()
+        if len(piece) <= 64:
+            if len(self) >= CACHED:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+    def pieces(self, text: str) -> list[str]:
+        if any(mark in text for mark in self.marked):  # a special token is one word, whatever its signs
+            return text.replace("\n", " ").split(" ")
+        if text.isascii():
+            return ASCII_WORDS(text.lower())
+        return ENDING.sub(r"\1 \2", text).replace("\n", " ").split(" ")
 
     def encode(self, text: str) -> bytes:
-        parts, at, n = [], 0, len(text)
-        text = text.replace("\n", " ")
+        ids, n = self.__getitem__, len(text)
+        if n <= SPAN:
+            return b"".join(map(ids, self.pieces(text)))
+        parts, at = [], 0
         while at < n:
-            to = text.find(" ", at + SPAN) if n - at > SPAN else -1
-            words = text[at : n if to < 0 else to].split(" ")
-            self._learn(words)
-            parts.append(b"".join(map(self.recent.__getitem__, words)))
-            if len(self.recent) >= CACHED:
-                self.older = {w: x for w, x in self.recent.items() if len(w) <= 64}
-                self.recent = {"": b""}
+            to = text.find(" ", at + SPAN)
+            parts.append(b"".join(map(ids, self.pieces(text[at : n if to < 0 else to]))))
             at = n if to < 0 else to
         return b"".join(parts)
 
