@@ -19,9 +19,11 @@ SIGNS = {
 }
 #: From this share of ASCII characters on, other characters are dropped.
 MOSTLY = 0.95
+#: Last labels of addresses without a scheme.
+LAST_LABELS = ["com", "io", "dev", "me", "ai", "xyz", "tech", "org", "net", "co"]
 #: An address on the web with its scheme or www; one without, by its last label; a telephone number of 8 to 15 digits.
 ADDRESS = r"(?i)\b(?:https?://|www\.)[^\s<>\"{}|^`\\]+"
-DOMAIN = r"(?i)\b[a-z0-9][a-z0-9-]{1,40}\.(?:ai|co|com|dev|io|me|net|org|tech|xyz)\b(?:/[\w./?%&=+#~-]*)?"
+DOMAIN = rf"(?i)\b[a-z0-9][a-z0-9-]{{1,40}}\.(?:{'|'.join(LAST_LABELS)})\b(?:/[\w./?%&=+#~-]*)?"
 NUMBER = r"[+]?[(]?\b[0-9](?:[ .()-]{0,2}[0-9]){7,14}\b"
 #: What is neither a letter, digit, blank nor usual sign.
 NOISE = r"[^\p{L}\p{M}\p{N}_\s.,;:!?'\"()\[\]/&+@#%–—-]"
