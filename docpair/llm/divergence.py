@@ -3,7 +3,8 @@
 Documents become exact sparse vectors by CountVectorizer, with a minimum of documents and the largest integer as the size
 of the vocabulary, so that nothing is cut off. A term is counted with its language before it, so one fit gives each
 language a vocabulary of its own. As a fit passes its vocabulary through the driver, terms are dealt into slices by hash,
-so many that a slice holds about SLICE terms at most, whatever the input; each slice has a fit of its own.
+so many that a slice holds about SLICE terms at most, whatever the input; each slice has a fit of its own. The lists of
+terms are dealt and written by slice, so all fits together read them once.
 
 Vectors are summed by group (language and source) as sparse entries, with partial sums first. Pairs of groups are evaluated
 in cells: a block of a language's terms against all its groups, where only entries that are not 0 are looked at, and the
@@ -13,60 +14,89 @@ rest of a pair follows from how many there are. Each cell returns one sum for ea
 from __future__ import annotations
 
 import uuid
+import zlib
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .line_dedup import LOWER, UPPER
-from .shared import cut, discarded, shared_folder, stored
-
-#: A term, as a regular expression that Java, DuckDB and Python read alike: letters A-Z, a-z and all that is not ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-#: Distinct terms of a slice, about; entries of a cell, about; groups of a strip of a cell.
-SLICE, CELL, STRIP = 1_500_000, 65_536, 512
+from .shared import bounded_batches, cut, discarded, shared_folder, stored
+
+#: A term, as a regular expression that Java, DuckDB and Python read alike: letters A-Z, a-z and all that is not ASCII; and what parts terms.
+TERM, BETWEEN = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Distinct terms of a slice, about (rare ones, which a fit drops before the driver sees them, included); entries of a cell, about; groups of a strip of a cell.
+SLICE, CELL, STRIP = 3_000_000, 65_536, 512
+#: Of the terms, one in so many by hash is counted to tell how many there are.
+ONE_IN = 64
 LARGEST = 2**31 - 1
 SCALE = 1_000_000_000
 #: Between a language and a term; no term holds it.
 MARK = "\x00"
 
 
-def term_lists(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """lang, source, terms (array): null values are empty texts; each term has its language and MARK before it."""
+def group_of(lang: Column, source: Column, salt: int) -> Column:
+    """A number for a group; audit() takes a salt with which no two groups share one."""
+    return F.xxhash64(lang, source, F.lit(salt))
+
+
+def term_lists(docs: DataFrame, salt: int = 0, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """group, terms (array): null values are empty texts; each term has its language and MARK before it."""
     lang, source, text = (F.coalesce(F.col(c), F.lit("")) for c in (lang_col, source_col, text_col))
     lower = F.when(F.char_length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
     before = F.concat(lang, F.lit(MARK))
-    return docs.select(lang.alias("lang"), source.alias("source"), F.transform(F.regexp_extract_all(lower, F.lit(TERM), F.lit(0)), lambda t: F.concat(before, t)).alias("terms"))
+    parts = F.array_remove(F.split(lower, BETWEEN), "")
+    return docs.select(group_of(lang, source, salt).alias("group"), F.transform(parts, lambda t: F.concat(before, t)).alias("terms"))
 
 
 def _slices(lists: DataFrame) -> int:
-    distinct = lists.select(F.explode("terms").alias("term")).agg(F.approx_count_distinct("term", 0.02)).first()[0]
-    return 1 + distinct // SLICE
+    some = lists.select(F.explode("terms").alias("term")).where(F.pmod(F.xxhash64("term"), F.lit(ONE_IN)) == 0)
+    return 1 + some.agg(F.countDistinct("term")).first()[0] * ONE_IN // SLICE
+
+
+def _dealt(lists: DataFrame, slices: int) -> DataFrame:
+    """Each list's terms by slice: slice, group, terms (a slice that has none of a list's terms gets no row)."""
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = batch.column("terms").flatten().dictionary_encode()
+            of_term = np.array([zlib.crc32(t.encode()) % slices for t in terms.dictionary.to_pylist()], np.int64)
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column("terms")).to_numpy(zero_copy_only=False))
+            place = row * slices + (of_term[terms.indices.to_numpy()] if len(terms) else 0)
+            order = np.argsort(place, kind="stable")
+            kept, first = np.unique(place[order], return_index=True)
+            lists_ = pa.ListArray.from_arrays(np.append(first, len(order)).astype(np.int32), terms.take(pa.array(order)).cast(pa.string()))
+            rows = pa.array(kept // slices)
+            yield pa.RecordBatch.from_arrays([pa.array((kept % slices).astype(np.int32)), batch.column("group").take(rows), lists_], ["slice", "group", "terms"])
 
-def _fitted(lists: DataFrame, min_docs: int, slice_: int, slices: int, path: str) -> tuple[DataFrame, DataFrame]:
-    """One slice's vectors (lang, source, vector) and its vocabulary (index, lang, term)."""
+    bounded_batches(lists.sparkSession)
+    return lists.mapInArrow(deal, "slice int, group long, terms array<string>")
+
+
+def _fitted(lists: DataFrame, min_docs: int, path: str) -> tuple[DataFrame, DataFrame]:
+    """One slice's vectors (group, vector) and its vocabulary (index, lang, term)."""
     spark = lists.sparkSession
-    if slices > 1:
-        lists = lists.withColumn("terms", F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(slices)) == slice_))
     # a fit needs some term, so MARK alone, which is no term, comes in enough documents of its own
-    filler = spark.range(min_docs).select(F.lit("").alias("lang"), F.lit("").alias("source"), F.array(F.lit(MARK)).alias("terms"))
+    filler = spark.range(min_docs).select(F.lit(0).cast("long").alias("group"), F.array(F.lit(MARK)).alias("terms"))
     model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=LARGEST).fit(lists.unionByName(filler))
     model.write().save(path)
     words = spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("index", "word")).where(F.col("word") != MARK)
     term = F.substring_index("word", MARK, -1)
     words = words.select("index", F.expr(f"substring(word, 1, char_length(word) - char_length(substring_index(word, '\\u0000', -1)) - {len(MARK)})").alias("lang"), term.alias("term"))
-    return model.transform(lists).select("lang", "source", "vector"), words
+    return model.transform(lists).select("group", "vector"), words
 
 
 def group_sums(vectors: DataFrame) -> DataFrame:
-    """lang, source, index, n: vectors summed by group, entries that are not 0 only."""
+    """group, index, n: vectors summed by group, entries that are not 0 only."""
     sparse = F.unwrap_udt("vector")
     entry = F.explode(F.arrays_zip(sparse["indices"].alias("index"), sparse["values"].alias("n")))
-    return vectors.select("lang", "source", entry.alias("e")).groupBy("lang", "source", F.col("e.index").alias("index")).agg(F.sum(F.col("e.n").cast("long")).alias("n"))
+    return vectors.select("group", entry.alias("e")).groupBy("group", F.col("e.index").alias("index")).agg(F.sum(F.col("e.n").cast("long")).alias("n"))
 
 
 def smoothed(n: str, whole: str) -> Column:
@@ -144,12 +174,20 @@ def audit(docs: DataFrame, min_docs: int = 3, most_terms: int = 200, lang_col: s
     read whole. Other columns play no part. An empty table gives no rows. Sums are 64-bit integers and hold for counts below 9e13.
     """
     spark = docs.sparkSession
-    lists, lists_path = stored(term_lists(docs, lang_col, source_col, text_col))
+    names = cut(docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(n) for n, c in (("lang", lang_col), ("source", source_col))]).distinct())
+    salt, n_groups = 0, names.count()
+    while names.select(group_of(F.col("lang"), F.col("source"), salt)).distinct().count() < n_groups:
+        salt += 1
+    lists, lists_path = stored(term_lists(docs, salt, lang_col, source_col, text_col))
     slices = _slices(lists)
     folder = f"{shared_folder(spark)}/vocabulary-{uuid.uuid4().hex}"
     tables, paths = [], [lists_path]
+    if slices > 1:
+        paths.append(f"{folder}/lists")
+        _dealt(lists, slices).write.partitionBy("slice").parquet(paths[-1])
     for k in range(slices):
-        vectors, words = _fitted(lists, min_docs, k, slices, f"{folder}/{k}")
+        mine = lists if slices == 1 else spark.read.schema("group long, terms array<string>, slice int").parquet(paths[1]).where(F.col("slice") == k).drop("slice")
+        vectors, words = _fitted(mine, min_docs, f"{folder}/{k}")
         sums, path = stored(group_sums(vectors))
         term_id = F.lit(k << 32) + F.col("index")
         tables.append((sums.withColumn("term_id", term_id).drop("index"), words.withColumn("term_id", term_id).drop("index")))
@@ -157,11 +195,12 @@ def audit(docs: DataFrame, min_docs: int = 3, most_terms: int = 200, lang_col: s
     sums, words = (reduce(DataFrame.unionByName, x) for x in zip(*tables, strict=True))
 
     sizes = words.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
-    groups = lists.select("lang", "source").distinct().join(sums.groupBy("lang", "source").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("held")), ["lang", "source"], "left")
+    held = sums.groupBy("group").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("held"))
+    groups = names.withColumn("group", group_of(F.col("lang"), F.col("source"), salt)).join(held, "group", "left")
     groups = groups.join(sizes, "lang", "left").na.fill(0, ["n", "held", "v"])
     groups = groups.withColumn("whole", F.col("n") + F.col("v")).withColumn("lang_whole", F.sum("n").over(Window.partitionBy("lang")) + F.col("v"))
     groups = cut(groups.withColumn("none", F.when(F.col("v") > 0, smoothed("0", "greatest(whole, 1)")).otherwise(F.lit(1).cast("long"))))
-    held = sums.withColumn("lang_n", F.sum("n").over(Window.partitionBy("term_id"))).join(groups.select("lang", "source", "whole", "lang_whole"), ["lang", "source"])
+    held = sums.withColumn("lang_n", F.sum("n").over(Window.partitionBy("term_id"))).join(groups.select("group", "lang", "source", "whole", "lang_whole"), "group")
     held = held.select("lang", "source", "term_id", smoothed("n", "whole").alias("p"), smoothed("lang_n", "lang_whole").alias("q"))
     held, _ = stored(held)
     pairs, _ = stored(_pairs(held, groups))
