@@ -258,7 +258,7 @@ def cleaned_text(docs):
 select doc_id, md5(array_to_string(list_transform(ls, lambda ws: array_to_string(list_transform(ws, lambda w, i: case when regexp_matches(w, '^.+\p{Lu}') then w when i > 1 and lower(w) in ('a', 'an', 'and', 'at', 'by', 'for', 'in', 'of', 'on', 'or', 'the', 'to', 'with') then lower(w)
   when w[1:1] = 'ß' then lower(w) else upper(w[1:1]) || lower(w[2:]) end), ' ')), chr(10))) as title_md5 from f""")
 def titles(docs):
-    return docs.select("doc_id", F.md5(F.array_join(F.transform(F.split("text", "\n"), T.titled), "\n")).alias("title_md5"))
+    return docs.select("doc_id", F.md5(F.array_join(F.transform(F.split("text", "\n"), lambda line: T.titled(line)), "\n")).alias("title_md5"))
 
 
 @query(r"select doc_id, len(regexp_extract_all(text, '[$€£] ?[0-9][0-9.,]*|[0-9]+(?:\.[0-9]+)? ?%|[0-9]+[+]? (?:years|months|days|users|times)'))::bigint as n from documents")
