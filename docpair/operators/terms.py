@@ -43,11 +43,11 @@ def gram_rows(docs: DataFrame, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
 def bigram_counts(docs: DataFrame) -> DataFrame:
     """doc_id, n_bigrams, n_distinct: pairs of adjacent content tokens; documents with fewer than two such tokens are left out.
 
-    A pair is the struct of a token and the next, so no run is built. The filter stands behind a generator, which keeps
+    A pair is a token and the next, as one string: strings are told apart by hash, structs aren't. The filter stands behind a generator, which keeps
     Spark from copying the tokeniser into it.
     """
     listed = docs.select("doc_id", F.explode_outer(F.array(content_tokens(F.col("text")))).alias("ts"))
-    pairs = F.arrays_zip(F.slice("ts", F.lit(1), F.size("ts") - 1).alias("a"), F.slice("ts", 2, 1 << 30).alias("b"))
+    pairs = F.zip_with(F.slice("ts", F.lit(1), F.size("ts") - 1), F.slice("ts", 2, 1 << 30), lambda a, b: F.concat(a, F.lit(" "), b))
     counted = listed.where(F.size("ts") >= 2)
     return counted.select("doc_id", (F.size("ts") - 1).cast("long").alias("n_bigrams"), F.size(F.array_distinct(pairs)).cast("long").alias("n_distinct"))
 
