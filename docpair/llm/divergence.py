@@ -26,14 +26,15 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .line_dedup import LOWER, UPPER
 from .shared import bounded_batches, cut, discarded, shared_folder, stored
 
-#: A term, as a regular expression that Java, DuckDB and Python read alike: letters A-Z, a-z and all that is not ASCII; and what parts terms.
-TERM, BETWEEN = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: A term, as a regular expression that Java, DuckDB and Python read alike: letters A-Z, a-z and all that is not ASCII.
+TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: By byte: A-Z become a-z, and ASCII that parts terms a blank.
+PLAIN = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256)).lower()
 #: Distinct terms of a slice, about (rare ones, which a fit drops before the driver sees them, included); entries of a cell, about; groups of a strip of a cell.
 SLICE, CELL, STRIP = 3_000_000, 65_536, 512
-#: Of the terms, one in so many by hash is counted to tell how many there are.
+#: Of the terms, one in so many by hash is kept apart and counted to tell how many there are.
 ONE_IN = 64
 LARGEST = 2**31 - 1
 SCALE = 1_000_000_000
@@ -47,17 +48,36 @@ def group_of(lang: Column, source: Column, salt: int) -> Column:
 
 
 def term_lists(docs: DataFrame, salt: int = 0, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """group, terms (array): null values are empty texts; each term has its language and MARK before it."""
+    """group, terms (array), some (array): null values are empty texts; each term has its language and MARK before it.
+
+    some holds one in ONE_IN of the distinct terms of a batch of rows, told by hash, in the batch's first row.
+    """
     lang, source, text = (F.coalesce(F.col(c), F.lit("")) for c in (lang_col, source_col, text_col))
-    lower = F.when(F.char_length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-    before = F.concat(lang, F.lit(MARK))
-    parts = F.array_remove(F.split(lower, BETWEEN), "")
-    return docs.select(group_of(lang, source, salt).alias("group"), F.transform(parts, lambda t: F.concat(before, t)).alias("terms"))
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column("text")
+            _, offsets, data = text.buffers()  # all that parts terms is ASCII, so bytes can be looked at one by one
+            text = pa.StringArray.from_buffers(len(text), offsets, pa.py_buffer((data.to_pybytes() if data else b"").translate(PLAIN)), offset=text.offset)
+            parts = pc.ascii_split_whitespace(text)
+            words = parts.flatten()
+            full = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(parts).to_numpy(zero_copy_only=False))[full]
+            terms = pc.binary_join_element_wise(batch.column("before").take(pa.array(row)), words.filter(pa.array(full)), "").cast(pa.string())
+            ends = np.append(0, np.cumsum(np.bincount(row, minlength=batch.num_rows)))
+            distinct = terms.unique()
+            chosen = distinct.filter(pa.array(pd.util.hash_array(distinct.to_numpy(zero_copy_only=False), categorize=False) % ONE_IN == 0))
+            first = np.append(0, np.full(batch.num_rows, len(chosen)))
+            lists = [pa.ListArray.from_arrays(at.astype(np.int32), held) for at, held in ((ends, terms), (first, chosen))]
+            yield pa.RecordBatch.from_arrays([batch.column("group"), *lists], ["group", "terms", "some"])
+
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(group_of(lang, source, salt).alias("group"), F.concat(lang, F.lit(MARK)).alias("before"), text.alias("text"))
+    return rows.mapInArrow(taken, "group long, terms array<string>, some array<string>")
 
 
 def _slices(lists: DataFrame) -> int:
-    some = lists.select(F.explode("terms").alias("term")).where(F.pmod(F.xxhash64("term"), F.lit(ONE_IN)) == 0)
-    return 1 + some.agg(F.countDistinct("term")).first()[0] * ONE_IN // SLICE
+    return 1 + lists.select(F.explode("some").alias("term")).agg(F.countDistinct("term")).first()[0] * ONE_IN // SLICE
 
 
 def _dealt(lists: DataFrame, slices: int) -> DataFrame:
@@ -179,7 +199,7 @@ def audit(docs: DataFrame, min_docs: int = 3, most_terms: int = 200, lang_col: s
     while names.select(group_of(F.col("lang"), F.col("source"), salt)).distinct().count() < n_groups:
         salt += 1
     lists, lists_path = stored(term_lists(docs, salt, lang_col, source_col, text_col))
-    slices = _slices(lists)
+    slices, lists = _slices(lists), lists.drop("some")
     folder = f"{shared_folder(spark)}/vocabulary-{uuid.uuid4().hex}"
     tables, paths = [], [lists_path]
     if slices > 1:
