@@ -23,3 +23,32 @@ def test_a_line_of_a_posting_is_made_bare_once(spark):
 def test_tied_intervals_stay_in_one_island(spark):
     rows = spark.createDataFrame([(1, s, s + 60) for s in (0, 0, 30, 100, 100, 100) for _ in range(3)], "k int, s int, e int")
     assert {tuple(r) for r in history.merged_intervals(rows, "k", "s", "e").collect()} == {(1, 0, 90, 9), (1, 100, 160, 9)}
+
+
+def test_terms_and_phrases_are_counted_in_their_rows(spark):
+    from docpair.operators import pairs, ranking, signals, terms
+
+    docs = spark.createDataFrame([(0, "red fox red fox a1 1b x1y"), (1, "red fox and blue"), (2, None), (3, "")], "doc_id long, text string")
+    for df in (terms.top_terms(docs), signals.key_phrases(docs), ranking.graph_ranks(docs)):
+        df.collect()
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {(r["doc_id"], r["rank"], r["tok"], r["tf"]) for r in terms.top_terms(docs, 3).collect()} == {(0, 1, "fox", 2), (0, 2, "red", 2), (0, 3, "red fox", 2), (1, 1, "blue", 1), (1, 2, "fox", 1), (1, 3, "fox blue", 1)}
+    assert "tok" not in pairs.tfidf_cosine(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_in_python_are_those_of_expressions(spark):
+    from docpair.functions import counts
+
+    words = ["a1", "1b", "12", "é", "x1y", "A12b", "b" * 49, "b" * 48, "two words", "1 2", "中", "²", "٣", "ⅷ", "1 b"]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", T.valid_term(F.col("w")).alias("v")).collect()
+    assert [(r["w"], r["v"]) for r in got] == [(w, counts.is_term(w)) for w in words]
+
+
+def test_a_long_word_takes_its_room_once(spark):
+    from docpair.functions import counts
+
+    # as an array of equal widths, the words of this text took 4 bytes for each letter of the longest word, each time
+    text = " ".join(["x" * 20_000, *(f"w{i % 500}" for i in range(5_000))])
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    ranks = counts.walked(F.col("text"), 3, 0.85, 50, 1e-7)
+    assert docs.select(F.size(ranks)).first()[0] == 501
