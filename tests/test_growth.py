@@ -52,3 +52,11 @@ def test_a_long_word_takes_its_room_once(spark):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     ranks = counts.walked(F.col("text"), 3, 0.85, 50, 1e-7)
     assert docs.select(F.size(ranks)).first()[0] == 501
+
+
+def test_hits_of_a_document_meet_once(spark):
+    words = spark.createDataFrame([(w, w, "c", "any") for w in ("red bolt", "bolt", "blue rod", "rod holder big")], "surface string, canonical string, category string, policy string")
+    docs = spark.createDataFrame([(1, "red bolt blue rod holder big bolts"), (2, "a rod")], "doc_id long, text string")
+    kept = spans.greedy(spans.hits(docs, words))
+    assert {(r["doc_id"], r["first"], r["surface"]) for r in kept.collect()} == {(1, 0, "red bolt"), (1, 3, "rod holder big"), (1, 6, "bolt")}
+    assert "Window" not in kept._jdf.queryExecution().executedPlan().toString()
