@@ -60,3 +60,22 @@ def test_hits_of_a_document_meet_once(spark):
     kept = spans.greedy(spans.hits(docs, words))
     assert {(r["doc_id"], r["first"], r["surface"]) for r in kept.collect()} == {(1, 0, "red bolt"), (1, 3, "rod holder big"), (1, 6, "bolt")}
     assert "Window" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_lines_that_may_head_are_looked_at(spark):
+    from docpair.operators import sections
+
+    known = sections.aliases()
+    lines = ["Work Experience", "1EXPERIENCE:", "tools|technologies", "• about me", "red bolts", "", "experienced clerk", "é-skills"]
+    rows = spark.createDataFrame([(x,) for x in lines], "x string").select("x", sections._may_head(F.col("x"), known).alias("may")).collect()
+    assert [r["x"] for r in rows if r["may"]] == ["Work Experience", "1EXPERIENCE:", "tools|technologies", "• about me", "é-skills"]
+    # a name of a heading without letters a-z leaves all lines in
+    assert spark.range(1).select(sections._may_head(F.lit("red bolts"), [("опыт", "experience")])).first()[0] is True
+
+
+def test_studies_are_told_as_before(spark):
+    from docpair.operators import dates
+
+    texts = ["B.Sc. 1990", "xba 1990", "an MBA, 1990", "M. S. C", "class of 1990", "thegraduate", "post-graduate", "Ph. D.", "red 1990", "honours", "specialization in bolts", "b tech"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(F.col("t").rlike(dates.STUDIES).alias("a"), F.col("t").rlike(dates.STUDIES_AT).alias("b")).collect()
+    assert [r["a"] for r in rows] == [r["b"] for r in rows] and {r["a"] for r in rows} == {True, False}
