@@ -79,3 +79,44 @@ def test_studies_are_told_as_before(spark):
     texts = ["B.Sc. 1990", "xba 1990", "an MBA, 1990", "M. S. C", "class of 1990", "thegraduate", "post-graduate", "Ph. D.", "red 1990", "honours", "specialization in bolts", "b tech"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(F.col("t").rlike(dates.STUDIES).alias("a"), F.col("t").rlike(dates.STUDIES_AT).alias("b")).collect()
     assert [r["a"] for r in rows] == [r["b"] for r in rows] and {r["a"] for r in rows} == {True, False}
+
+
+SKILL_WORDS = [(w, w.lower(), c, "any") for w, c in (("red bolt", "x"), ("Bolt", "y"), ("blue rod", None), ("rod", "z"))]
+
+
+def test_skills_are_counted_in_a_documents_row(spark):
+    words = spark.createDataFrame(SKILL_WORDS, "surface string, canonical string, category string, policy string")
+    docs = spark.createDataFrame([(1, "red bolt\nRequirements:\nbolt and blue rod\nNice to have:\nrod, bolts, blue rods"), (2, "nothing"), (3, None)], "doc_id long, text string")
+    found = spans.posting_skills(docs, words)
+    assert {tuple(r) for r in found.collect()} == {(1, "red bolt", "x", 1, "required"), (1, "bolt", "y", 2, "required"), (1, "blue rod", None, 2, "required"), (1, "rod", "z", 1, "preferred")}
+    of = spans.profile_skills(spark.createDataFrame([(1, "Ann\nSkills\nrod rod\nEducation\nbolt"), (2, "Skills\nnone\nAwards\nred bolt"), (3, None)], "doc_id long, text string"), words)
+    assert {tuple(r) for r in of.collect()} == {(1, "rod", "z", 2), (2, "red bolt", "x", 1)}
+    for df in (found, of):
+        # one key a document, nothing sorted to be counted
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "skill" not in "".join(x for x in plan.split("\n") if "Aggregate [" in x)
+
+
+def test_skills_of_a_row_have_each_key_once(spark):
+    from docpair.operators import matching
+
+    rows = spark.createDataFrame([([("Rod", "b"), ("rod", None), ("Bolt", "a")],), ([],), (None,)], "x array<struct<skill:string,category:string>>")
+    lists = [r[0] and [tuple(s) for s in r[0]] for r in rows.select(matching.skills_in_row(F.col("x"))).collect()]
+    assert lists == [[("bolt", "Bolt", "a"), ("rod", "Rod", "b")], [], None]
+
+
+def test_what_rests_on_one_document_is_made_once_for_it(spark):
+    from docpair.operators import comparing
+    from docpair.plans import features
+
+    words = spark.createDataFrame(SKILL_WORDS, "surface string, canonical string, category string, policy string")
+    docs = spark.createDataFrame([(1, "Red bolts, red rods.\nSkills\nbolts"), (2, "Blue rod")], "doc_id long, text string")
+    left = features.profile_features(docs, words, "2002-01-01", (features.KEYWORDS,))
+    assert "sections" not in left.columns
+    assert {r["doc_id"]: r["left_words"] for r in left.collect()} == {1: " red bolts red rods skills bolts ", 2: " blue rod "}
+    pairs = spark.createDataFrame([(1, 1, 2)], "pair_id long, left_id long, right_id long")
+    rows = features.pair_rows(pairs, left, features.posting_features(docs, words, (features.KEYWORDS,)), (features.KEYWORDS,))
+    made = {(r["term"], r["found"]) for r in comparing.compared_rows(rows).collect()}
+    assert made == {("blue", False), ("rod", True), ("blue rod", False)}
+    both = features.profile_features(docs, words, "2002-01-01", (features.FACTS, features.SECTION_WORDS)).where("doc_id = 1").first()
+    assert dict(zip((s["name"] for s in both["sections"]), both["section_words"], strict=True)) == {"contact": ["red", "bolts", "rods"], "skills": ["bolts"]}
