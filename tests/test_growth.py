@@ -120,3 +120,22 @@ def test_what_rests_on_one_document_is_made_once_for_it(spark):
     assert made == {("blue", False), ("rod", True), ("blue rod", False)}
     both = features.profile_features(docs, words, "2002-01-01", (features.FACTS, features.SECTION_WORDS)).where("doc_id = 1").first()
     assert dict(zip((s["name"] for s in both["sections"]), both["section_words"], strict=True)) == {"contact": ["red", "bolts", "rods"], "skills": ["bolts"]}
+
+
+def test_a_block_of_vectors_meets_each_other_once(spark):
+    import numpy as np
+    from docpair.operators import similarity
+
+    x = np.random.default_rng(5).normal(size=(300, 4))
+    x[200:] = x[:100]  # ties, which go to the smaller id
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    blocks, n = similarity._blocks(df, "vec_id", "embedding", 60)
+    assert n == 5 and similarity._blocks(df, "vec_id", "embedding", None)[1] == 1
+    met = similarity._met(blocks, n, lambda a, b: similarity.pd.DataFrame({"left_id": a["block"], "right_id": b["block"], "cosine": [0.0]}) if len(a) and len(b) else similarity.pd.DataFrame({"left_id": [], "right_id": [], "cosine": []}))
+    assert sorted((r[0], r[1]) for r in met.collect()) == [(i, j) for i in range(5) for j in range(i, 5)]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    scores = np.round(unit @ unit.T, 9)
+    np.fill_diagonal(scores, -2)
+    want = {(i, r + 1, int(j)) for i in range(300) for r, j in enumerate(np.lexsort((np.arange(300), -scores[i]))[:4])}
+    for rows in (None, 60):
+        assert {(r["left_id"], r["rank"], r["right_id"]) for r in similarity.nearest(df, 4, block_rows=rows).collect()} == want
