@@ -1,14 +1,22 @@
 """Words in sentences: classes with context, lemmas by class, and the relation of each word to its sentence's root.
 
-A row is a word; a sentence is the unit of all windows, so long documents spread over tasks. The lexicon and the irregular
-forms are tables (word, tag) and (form, lemma), joined; whoever has better ones passes them.
+There are two forms. With a row for each sentence and its words as an array (sentence_rows), all is made in that row: no word is
+shuffled or sorted, and lexicon and forms are lists. With a row for each word, lexicon and forms are tables
+(word, tag) and (form, lemma) of any size, joined, and a sentence is the unit of all windows.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.counts import bounded_batches
 from ..functions.rows import held
 from ..functions.text import sentences
 
@@ -42,24 +50,28 @@ IRREGULAR = {
     "show": ["shown"], "take": ["taken", "took"], "use": ["used", "using"], "woman": ["women"], "write": ["written", "wrote"],
 }
 NOMINAL = ["NOUN", "PROPN", "PRON"]
+#: Words whose facts a task keeps.
+REMEMBERED = 1 << 17
+
+
+def _first(lists: dict[str, list[str]]) -> dict[str, str]:
+    """The first name under which each entry is listed."""
+    known: dict[str, str] = {}
+    for name, entries in lists.items():
+        for entry in entries:
+            known.setdefault(entry, name)
+    return known
 
 
 def lexicon(spark: SparkSession, classes: dict[str, list[str]] | None = None) -> DataFrame:
     """word, tag. A word of several classes has the first."""
-    known: dict[str, str] = {}
-    for tag, words in (classes or LEXICON).items():
-        for word in words:
-            known.setdefault(word.lower(), tag)
+    known = _first({tag: [w.lower() for w in words] for tag, words in (classes or LEXICON).items()})
     return spark.createDataFrame(list(known.items()), "word string, tag string")
 
 
 def irregular(spark: SparkSession, forms: dict[str, list[str]] | None = None) -> DataFrame:
     """form, lemma; a form of several lemmas has the first."""
-    known: dict[str, str] = {}
-    for lemma, listed in (forms or IRREGULAR).items():
-        for form in listed:
-            known.setdefault(form, lemma)
-    return spark.createDataFrame(list(known.items()), "form string, lemma string")
+    return spark.createDataFrame(list(_first(forms or IRREGULAR).items()), "form string, lemma string")
 
 
 def words(docs: DataFrame) -> DataFrame:
@@ -71,7 +83,11 @@ def words(docs: DataFrame) -> DataFrame:
 def by_ending(low: Column) -> Column:
     """The class that a word's longest known ending shows, or null."""
     rules = sorted(((e, n, tag) for tag, endings in ENDINGS.items() for e, n in endings), key=lambda r: (-len(r[0]), r[0]))
-    return F.coalesce(*[F.when(low.endswith(e) & (F.char_length(low) >= len(e) + n), tag) for e, n, tag in rules])
+    first, *more = [(low.endswith(e) & (F.char_length(low) >= len(e) + n), tag) for e, n, tag in rules]
+    out = F.when(*first)
+    for rule in more:
+        out = out.when(*rule)
+    return out
 
 
 def by_shape(word: Column, low: Column, pos: Column) -> Column:
@@ -80,8 +96,8 @@ def by_shape(word: Column, low: Column, pos: Column) -> Column:
     name = (pos > 0) & word.rlike(r"^\p{Lu}")
     return (
         F.when(~word.rlike(r"[\p{L}\p{N}]"), "PUNCT").when(word.rlike(r"^\p{N}"), "NUM").when(word.rlike(r"^\p{Lu}[\p{Lu}\p{N}-]+$"), "PROPN")
-        .when(name, F.when(F.char_length(low) > 6, F.coalesce(ending, F.lit("PROPN"))).otherwise("PROPN")).when(ending.isNotNull(), ending)
-        .when(low.contains("-"), F.coalesce(tail, F.lit("ADJ"))).otherwise("NOUN")
+        .when(name, F.when(F.char_length(low) > 6, F.coalesce(ending, F.lit("PROPN"))).otherwise("PROPN"))
+        .otherwise(F.coalesce(ending, F.when(low.contains("-"), F.coalesce(tail, F.lit("ADJ"))), F.lit("NOUN")))
     )
 
 
@@ -165,6 +181,200 @@ def with_relations(tagged: DataFrame) -> DataFrame:
     return rows.withColumns({"dep": F.col("__rel.dep"), "head": F.col("__rel.head")}).drop("__root", "__noun", "__open", "__subject", "__rel")
 
 
+def sentence_rows(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, the columns in keep, sent, words (array): a row for each sentence; null and blank texts have none."""
+    each = docs.select("doc_id", *keep, F.posexplode(sentences(F.col("text"))).alias("sent", "__s"))
+    return each.select("doc_id", *keep, "sent", held(F.regexp_extract_all("__s", F.lit(WORD), F.lit(0))).alias("words"))
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """The entries of an array of lists as numbers, what they stand for, and where each list begins, with the end."""
+    offsets = lists.offsets.to_numpy()
+    coded = lists.flatten().dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary.to_pylist(), offsets - offsets[0]
+
+
+def _listed(numbers: np.ndarray, names: list[str], offsets: np.ndarray) -> pa.Array:
+    """Lists of strings by their numbers."""
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(names, pa.string()).take(pa.array(numbers)))
+
+
+def _kind(c: str) -> str:
+    return unicodedata.category(c)
+
+
+def _capitals(word: str) -> bool:
+    return len(word) > 1 and _kind(word[0]) == "Lu" and all(c == "-" or _kind(c) == "Lu" or _kind(c)[0] == "N" for c in word)
+
+
+def _ending_of(low: str) -> str | None:
+    """by_ending() of a string."""
+    size = len(low)
+    return next((tag for n in (4, 3, 2) if (rule := _RULES.get(low[-n:])) and size >= n + rule[0] for tag in rule[1:]), None)
+
+
+_RULES = {e: (n, tag) for tag, endings in ENDINGS.items() for e, n in endings}
+
+
+def shape_of(word: str, inner: bool) -> str:
+    """by_shape() of a string, inner for one behind the first of its sentence."""
+    low = word.lower()
+    if word.isascii() and word.isalpha() and word == low:
+        return _ending_of(low) or "NOUN"
+    if not any(_kind(c)[0] in "LN" for c in word):
+        return "PUNCT"
+    if _kind(word[0])[0] == "N":
+        return "NUM"
+    if _capitals(word):
+        return "PROPN"
+    if inner and _kind(word[0]) == "Lu":
+        return _ending_of(low) or "PROPN" if len(low) > 6 else "PROPN"
+    return _ending_of(low) or (_ending_of(low.rpartition("-")[2]) or "ADJ" if "-" in low else "NOUN")
+
+
+def rule_of(low: str, tag: str) -> str:
+    """by_rule() of a string."""
+    size = len(low)
+    bare = lambda stem: stem[:-1] if len(stem) > 1 and stem[-1] == stem[-2] and stem[-1] not in "aeiou" else stem
+    cut = lambda n: stem if len(stem := bare(low[:-n])) >= 3 else low[:-n] + "e"
+    if tag == "VERB":
+        if low.endswith("ied") and size > 4:
+            return low[:-3] + "y"
+        if low.endswith("ing") and size > 5:
+            return cut(3)
+        if low.endswith("ed") and size > 4:
+            return cut(2)
+    if tag == "ADJ":
+        return bare(low[:-2]) if low.endswith("er") and size > 5 else bare(low[:-3]) if low.endswith("est") and size > 5 else low
+    if tag not in ("NOUN", "PROPN", "VERB") or size <= 3 or not low.endswith("s") or low.endswith(("ss", "us", "is", "as", "os")):
+        return low
+    return low[:-3] + "y" if low.endswith("ies") and size > 4 else low[:-2] if low.endswith(("ches", "shes", "xes", "zes", "sses")) else low[:-1]
+
+
+def tagged_sentences(rows: DataFrame, classes: dict[str, list[str]] | None = None) -> DataFrame:
+    """sentence_rows() with tags (array), by the rules of with_tags(); classes are those of lexicon(). Of a batch each distinct word is looked at once."""
+    bounded_batches(rows.sparkSession)
+    known = _first({tag: [w.lower() for w in words] for tag, words in (classes or LEXICON).items()})
+    names = [*dict.fromkeys(["PUNCT", "NUM", "PROPN", "ADJ", "NOUN", "VERB", *ENDINGS, *known.values()])]
+    number, before_verbs = {name: i for i, name in enumerate(names)}, frozenset(BEFORE_VERBS)
+
+    def facts(word: str) -> tuple[int, int, int, bool, bool]:
+        """The class at the start of a sentence, that behind it, the lexicon's or -1, and what the word does to the next."""
+        low = word.lower()
+        tag = known.get(low)
+        first = tag or shape_of(word, False)
+        inner = first if tag or word == low else shape_of(word, True)
+        return number[first], number[inner], number[tag] if tag else -1, tag == "DET", low in before_verbs
+
+    @F.arrow_udf("array<string>")
+    def tagged(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        of = lru_cache(REMEMBERED)(facts)
+        for lists in parts:
+            at, words, offsets = _flat(lists)
+            table = np.array([of(w) for w in words], np.int8).reshape(-1, 5)[at]
+            inner = np.ones(len(at) + 1, bool)
+            inner[offsets] = False  # with an entry more, as empty lists may end the batch
+            inner = inner[:-1]
+            before = np.concatenate([table[:1], table[:-1]])
+            tags = np.where(inner, table[:, 1], table[:, 0])
+            tags = np.where(inner & (table[:, 2] == number["VERB"]) & (before[:, 3] > 0), number["NOUN"], tags)
+            tags = np.where(inner & (table[:, 2] == number["NOUN"]) & (before[:, 4] > 0), number["VERB"], tags)
+            yield _listed(tags, names, offsets)
+
+    return rows.withColumn("tags", held(tagged("words")))
+
+
+def lemmatized_sentences(rows: DataFrame, forms: dict[str, list[str]] | None = None) -> DataFrame:
+    """tagged_sentences() with lemmas (array), by the rules of with_lemmas(); forms are those of irregular()."""
+    bounded_batches(rows.sparkSession)
+    known = _first({lemma: [f.lower() for f in listed] for lemma, listed in (forms or IRREGULAR).items()})
+
+    def lemma_of(word: str, tag: str) -> str:
+        low = word.lower()
+        return word if _capitals(word) else known.get(low) or rule_of(low, tag)
+
+    @F.arrow_udf("array<string>")
+    def lemmas(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        of = lru_cache(REMEMBERED)(lemma_of)
+        for words, tags in parts:
+            (at, names, offsets), (kind, kinds, _) = _flat(words), _flat(tags)
+            pairs, back = np.unique(at.astype(np.int64) * max(len(kinds), 1) + kind, return_inverse=True)
+            yield _listed(back, [of(names[p // len(kinds)], kinds[p % len(kinds)]) for p in pairs.tolist()], offsets)
+
+    return rows.withColumn("lemmas", held(lemmas("words", "tags")))
+
+
+#: Classes that the relations tell apart, and the relations, both by number; a class of none of these is one more.
+CLASSES = ["NOUN", "PROPN", "PRON", "VERB", "AUX", "DET", "ADJ", "NUM", "ADP", "ADV", "CCONJ", "PUNCT"]
+RELATIONS = ["ROOT", "punct", "aux", "neg", "nsubj", "compound", "det", "amod", "nummod", "prep", "cc", "pobj", "dobj", "advmod", "advcl", "conj", "pcomp", "dep"]
+ING, NOT = 16, 32
+
+
+def relations(kinds: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of relations, and heads, of the words of sentences that follow each other: kinds are numbers of classes, plus ING and NOT for
+    such words; ends is where each sentence ends. The rules are those of with_relations(), for all sentences of a batch at once."""
+    lengths = np.diff(ends, prepend=0)
+    lengths = lengths[lengths > 0]
+    if not len(lengths):
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    starts, at = np.cumsum(lengths) - lengths, np.arange(len(kinds))
+    start, end = np.repeat(starts, lengths), np.repeat(starts + lengths, lengths)
+    pos, far = at - start, len(kinds)
+    tag, ing, neg = kinds & 15, (kinds & ING) > 0, (kinds & NOT) > 0
+    is_ = {name: tag == i for i, name in enumerate(CLASSES)}
+    noun, verb = is_["NOUN"] | is_["PROPN"], is_["VERB"]
+    nominal = noun | is_["PRON"]
+    each = lambda least: np.repeat(np.minimum.reduceat(least, starts), lengths)
+    choice = np.where(verb, np.where(ing, 1, 0), np.where(nominal | is_["ADJ"] | is_["NUM"], 2, 3))
+    root = each(choice * far + pos) % far
+    subject = each(np.where(nominal & ~neg, pos, far))
+    ahead, behind = pos < root, pos > root
+    next_noun = root
+    for step in (3, 2, 1):
+        there = np.minimum(at + step, far - 1)
+        next_noun = np.where((at + step < end) & noun[there], pos + step, next_noun)
+    opens = behind & is_["ADP"] & ~neg
+    last = np.maximum.accumulate(np.where(opens | (behind & is_["ADJ"]), at, -1))
+    last = np.concatenate([[-1], last[:-1]])
+    opened = (last >= start) & opens[last]
+    rules = [
+        (pos == root, "ROOT", root), (is_["PUNCT"], "punct", root), (is_["AUX"], "aux", root), (neg, "neg", root), (ahead & nominal & (pos == subject), "nsubj", root),
+        (ahead & noun, "compound", root - 1), (is_["DET"], "det", next_noun), (is_["ADJ"] | (is_["NUM"] & ahead), "amod", next_noun), (is_["NUM"], "nummod", next_noun),
+        (is_["ADP"], "prep", root), (behind & is_["CCONJ"], "cc", root), (behind & nominal & opened, "pobj", last - start), (behind & nominal, "dobj", root),
+        (is_["ADV"], "advmod", root), (ahead & verb, "advcl", root), (verb & ~opened, "conj", root), (verb, "pcomp", root),
+    ]
+    tests = [test for test, _, _ in rules]
+    return np.select(tests, [np.int32(RELATIONS.index(name)) for _, name, _ in rules], np.int32(RELATIONS.index("dep"))), np.select(tests, [head for _, _, head in rules], root).astype(np.int32)
+
+
+def related_sentences(rows: DataFrame) -> DataFrame:
+    """tagged_sentences() with relations (array of dep and head), by the rules of with_relations()."""
+    bounded_batches(rows.sparkSession)
+    number = {name: i for i, name in enumerate(CLASSES)}
+
+    @F.arrow_udf("array<struct<dep:string,head:int>>")
+    def related(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for words, tags in parts:
+            (at, names, offsets), (kind, kinds, _) = _flat(words), _flat(tags)
+            marks = np.array([(ING if low.endswith("ing") else 0) + (NOT if low in ("not", "n't") else 0) for low in map(str.lower, names)], np.int64)
+            coded = np.array([number.get(tag, len(CLASSES)) for tag in kinds], np.int64)
+            dep, head = relations(coded[kind] + marks[at], offsets[1:])
+            fields = [pa.array(RELATIONS, pa.string()).take(pa.array(dep)), pa.array(head, pa.int32())]
+            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, ["dep", "head"]))
+
+    return rows.withColumn("relations", held(related("words", "tags")))
+
+
+def word_rows(rows: DataFrame) -> DataFrame:
+    """A row for each word of rows of sentences: its place, word, and what has been made of it of tag, lemma, dep and head."""
+    made = {"words": "word", "tags": "tag", "lemmas": "lemma", "relations": "relation"}
+    there = [c for c in made if c in rows.columns]
+    others = [c for c in rows.columns if c not in made]
+    each = rows.select(*others, F.posexplode(F.arrays_zip(*there)).alias("pos", "__x"))
+    named = [F.col(f"__x.{c}").alias(made[c]) for c in there if c != "relations"]
+    return each.select(*others, "pos", *named, *(["__x.relations.dep", "__x.relations.head"] if "relations" in there else []))
+
+
 def longest_spans(spans: Column) -> Column:
     """Of an array of spans (first, n, and other fields) those that the longest-first rule keeps, in the order of the text: the longest,
     then the next that overlaps none of them; ties from the left."""

@@ -1,6 +1,7 @@
 """The analysis of texts as a pyspark.ml Pipeline: stages with parameters that are saved and loaded, in any order that fits.
 
 Each stage is a Transformer over columns of the operators in grammar.py; a pipeline of them is fitted, saved and loaded like any other.
+Words makes a row for each sentence, in which the next stages add to its words; Relations makes a row for each word. All but Words take rows of words, too.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ class SpanMerger(_Stage):
 
 
 class Words(_Stage):
-    """docs (doc_id, textCol) to a row for each word; columns named in keep go with each."""
+    """docs (doc_id, textCol) to a row for each sentence with its words as an array; columns named in keep go with each."""
 
     textCol = Param(Params._dummy(), "textCol", "column of texts", TypeConverters.toString)
     keep = Param(Params._dummy(), "keep", "columns that go with each word", TypeConverters.toListString)
@@ -47,8 +48,9 @@ class Words(_Stage):
         self._set(**{k: list(v) if k == "keep" else v for k, v in self._input_kwargs.items()})
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        keyed = dataset.select(F.struct("doc_id", *self.getOrDefault("keep")).alias("doc_id"), F.col(self.getOrDefault("textCol")).alias("text"))
-        return G.words(keyed).select("doc_id.*", "sent", "pos", "word")
+        keep = [c for c in self.getOrDefault("keep") if c != "text"]
+        rows = dataset.select("doc_id", *keep, F.col(self.getOrDefault("textCol")).alias("text"))
+        return G.sentence_rows(rows, *self.getOrDefault("keep"))
 
 
 class Tagger(_Stage):
@@ -67,6 +69,8 @@ class Tagger(_Stage):
         for entry in self.getOrDefault("entries"):
             word, _, tag = entry.rpartition("=")
             classes.setdefault(tag, []).append(word)
+        if "words" in dataset.columns:
+            return G.tagged_sentences(dataset, classes or None)
         return G.with_tags(dataset, G.lexicon(dataset.sparkSession, classes or None))
 
 
@@ -86,6 +90,8 @@ class Lemmatizer(_Stage):
         for entry in self.getOrDefault("forms"):
             form, _, lemma = entry.partition("=")
             table.setdefault(lemma, []).append(form)
+        if "words" in dataset.columns:
+            return G.lemmatized_sentences(dataset, table or None)
         return G.with_lemmas(dataset, G.irregular(dataset.sparkSession, table or None))
 
 
@@ -97,6 +103,8 @@ class Relations(_Stage):
         super().__init__()
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
+        if "words" in dataset.columns:
+            return G.word_rows(G.related_sentences(dataset))
         return G.with_relations(dataset)
 
 

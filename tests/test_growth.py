@@ -139,3 +139,48 @@ def test_a_block_of_vectors_meets_each_other_once(spark):
     want = {(i, r + 1, int(j)) for i in range(300) for r, j in enumerate(np.lexsort((np.arange(300), -scores[i]))[:4])}
     for rows in (None, 60):
         assert {(r["left_id"], r["rank"], r["right_id"]) for r in similarity.nearest(df, 4, block_rows=rows).collect()} == want
+
+
+ODD_SENTENCES = [
+    "The design was to design NASA's well-made engines. He running quickly, stopped 3 boxes; the cities' Berlin-based children", None, "", " \t ", "Well?", "A 3D Ally relied. ALLY-2 X A-B É-é Éa résumés ²x",
+    "the plan to plan is planned\n\nISTANBUL İstanbul ΑΣ ß glasses buses-ed re-ify NATION-ABLE happier biggest tried dying sees", "Ending ABLE Nationally Wolfing x-y-fully passes studies' it's not n't going THE Make", "?! ... 中文 字 ٣x \U0001f600 ok",
+]
+
+
+def test_words_in_a_sentences_row_are_those_of_rows_of_words(spark):
+    from docpair.operators import grammar as G
+    from docpair.operators import stages
+
+    docs = spark.createDataFrame([*enumerate(ODD_SENTENCES), (1, "Again she led teams.")], "doc_id long, text string")
+    words = ["the", "plan", "Design", "be", "of", "x", "going"]
+    for classes in (None, {"DET": words[:1], "VERB": words[1:4], "OWN": words[4:], "NOUN": ["make", "x"]}):
+        rows = G.related_sentences(G.lemmatized_sentences(G.tagged_sentences(G.sentence_rows(docs), classes)))
+        got = G.word_rows(rows)
+        want = G.with_relations(G.with_lemmas(G.with_tags(G.words(docs.where("text <> 'Again she led teams.' or text is null")), G.lexicon(spark, classes)), G.irregular(spark)))
+        mine = [tuple(r) for r in got.select(*want.columns).collect()]
+        assert sorted(r for r in mine if r[0] != 1) == sorted(map(tuple, want.collect()))
+        assert len([r for r in mine if r[0] == 1]) == 5
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" not in plan and "Join" not in plan  # no word is shuffled
+    # stages go on rows of words, too, as Relations makes them
+    model = lambda *s: stages.Pipeline(stages=list(s)).fit(docs).transform(docs)
+    last = model(stages.Words(), stages.Tagger(), stages.Relations(), stages.Lemmatizer())
+    assert sorted(map(str, last.select("word", "tag", "lemma", "dep", "head").collect())) == sorted(map(str, stages.text_pipeline().fit(docs).transform(docs).select("word", "tag", "lemma", "dep", "head").collect()))
+
+
+def test_relations_of_sentences_in_a_batch_are_those_of_each(spark):
+    import numpy as np
+    from docpair.operators import grammar as G
+    from test_texts import plain_relations
+
+    rng = np.random.default_rng(1)
+    words = {0: "a", G.ING: "going", G.NOT: "not"}
+    lengths = rng.integers(0, 15, 400)
+    tags, marks = rng.integers(0, len(G.CLASSES) + 1, lengths.sum()), rng.choice(list(words), lengths.sum())
+    dep, head = G.relations(tags + marks, np.cumsum(lengths))
+    names, at = [*G.CLASSES, "X"], 0
+    for n in lengths.tolist():
+        want = plain_relations([names[t] for t in tags[at : at + n]], [words[m] for m in marks[at : at + n]]) if n else []
+        assert [(G.RELATIONS[d], h) for d, h in zip(dep[at : at + n], head[at : at + n], strict=True)] == want
+        at += n
+    assert G.relations(tags[:0], np.zeros(3, int))[0].size == 0
