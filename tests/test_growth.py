@@ -184,3 +184,21 @@ def test_relations_of_sentences_in_a_batch_are_those_of_each(spark):
         assert [(G.RELATIONS[d], h) for d, h in zip(dep[at : at + n], head[at : at + n], strict=True)] == want
         at += n
     assert G.relations(tags[:0], np.zeros(3, int))[0].size == 0
+
+
+def test_frequent_runs_meet_without_a_row_each(spark):
+    import random
+
+    from docpair.operators import frequent, language
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["a", "b", "c", "dé", "e5", "f"]) for _ in range(rng.randint(0, 12))) for _ in range(60)]
+    docs = spark.createDataFrame([*enumerate(texts), (60, None), (61, ""), (62, "one"), (1, "a b c"), (3, texts[3])], "doc_id long, text string")
+    for sizes, least in (((2, 3), 3), ((1, 2, 4), 7)):
+        surfaces = language.ngrams(docs, sizes).select("doc_id", "surface").distinct().groupBy("surface").count().where(f"count >= {least}").select("surface")
+        want = sorted(tuple(r) for r in language.longest_matches(docs, surfaces, sizes).select("doc_id", "pos", "n", "surface").collect())
+        for chunk_bytes in (100, 1 << 20):
+            got = frequent.frequent_matches(docs, sizes, least, chunk_bytes)
+            assert sorted(tuple(r) for r in got.select("doc_id", "pos", "n", "surface").collect()) == want
+        assert "surface" not in "".join(x for x in got._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x)
+    assert frequent.frequent_matches(docs.limit(0)).count() == 0
