@@ -202,3 +202,16 @@ def test_frequent_runs_meet_without_a_row_each(spark):
             assert sorted(tuple(r) for r in got.select("doc_id", "pos", "n", "surface").collect()) == want
         assert "surface" not in "".join(x for x in got._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x)
     assert frequent.frequent_matches(docs.limit(0)).count() == 0
+
+
+def test_each_step_of_cleaning_is_made_once(spark):
+    from docpair.functions import normal
+
+    texts = ["Büro ﬁt… 中文 ½ at a@b.com, see www.x.org; tel 030 1234 5678", "plain | text rn l0w", "é" * 9 + "​ ﷺ", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = normal.cleaned_documents(docs)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"\brn\b") == 1 and plan.count(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]") == 1
+    got = {r["doc_id"]: (r["text"], r["emails"], r["urls"], r["phones"]) for r in rows.collect()}
+    assert got[0] == ("Buro fit... 中文 1 2 at , see tel", ["a@b.com"], ["www.x.org"], ["030 1234 5678"])
+    assert got[1][0] == "plain text m low" and got[3] == got[4] == ("", [], [], [])
