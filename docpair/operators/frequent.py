@@ -1,8 +1,8 @@
 """Runs of tokens that at least so many documents have, and where texts hold them, without a row for each run.
 
 Documents are dealt into chunks. A chunk tells each bucket of hashes which runs it has, each once and sorted, in RUN_BYTES a
-run; a bucket answers with a bit for each. Runs are told apart by hashes of 64 bits, or 56 and the first few (4 at least, the bucket's): at 6 GB of
-documents (some 2.5e9 runs), two runs are expected to be taken for one 0.2 times in all.
+run; a bucket answers with a bit for each. Runs are told apart by their hashes alone: the last 56 of 64 bits and the first few (4 at least), which
+are the bucket's. By estimate, 2.5e9 runs hold some 0.2 pairs of equal hashes.
 """
 
 from __future__ import annotations
