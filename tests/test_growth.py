@@ -215,3 +215,59 @@ def test_each_step_of_cleaning_is_made_once(spark):
     got = {r["doc_id"]: (r["text"], r["emails"], r["urls"], r["phones"]) for r in rows.collect()}
     assert got[0] == ("Buro fit... 中文 1 2 at , see tel", ["a@b.com"], ["www.x.org"], ["030 1234 5678"])
     assert got[1][0] == "plain text m low" and got[3] == got[4] == ("", [], [], [])
+
+
+def _plain_similarities(texts):
+    """Of lists of chunks, each a string of content words: cosines of each text but the last with the last one, by a plain decomposition."""
+    import numpy as np
+
+    chunks = [w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)] for t in texts for w in map(str.split, t)]
+    names = sorted({t for c in chunks for t in c})
+    n = len(chunks)
+    tf = np.array([[c.count(t) for t in names] for c in chunks], float).reshape(n, len(names))
+    x = np.where(tf > 0, 1 + np.log(np.maximum(tf, 1)), 0) * (np.log((1 + n) / (1 + (tf > 0).sum(0))) + 1)
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=-1, keepdims=True), 1e-300)
+    x = unit(x)
+    if n >= 2 and len(names) >= 2:
+        k = max(2, min(max(8, min(192, max(16, n // 2), n - 1)), len(names) - 1, n - 1))
+        u, s, _ = np.linalg.svd(x, full_matrices=False)
+        x = np.where((tf.sum(1) > 0)[:, None], unit(u[:, :k] * s[:k]), 0)
+    ends = np.cumsum([len(t) for t in texts])
+    v = unit(np.array([x[e - len(t) : e].mean(0) if t else np.zeros(x.shape[1]) for t, e in zip(texts, ends, strict=True)]))
+    return (v[:-1] @ v[-1]).clip(0, 1).tolist()
+
+
+def test_a_side_of_latent_similarity_is_counted_once(monkeypatch):
+    import random
+
+    from docpair.operators import semantic
+
+    rng = random.Random(8)
+    chunk = lambda: " ".join(f"w{rng.randint(0, 60)}" for _ in range(rng.randint(0, 30)))
+    text = lambda most: [chunk() for _ in range(rng.randint(0, most))]
+    lefts = [[["w1 w2"]], [[]], [[""]], [["w1"], ["w1"]], *([text(25) for _ in range(rng.randint(1, 5))] for _ in range(6))]
+    rights = [["w1"], [], [""], ["w2 w1"], *(text(3) for _ in range(6))]
+    side = lambda texts: "".join("".join(c + "\n" for c in t) + "\f" for t in texts)
+    groups = [(l, r) for l in lefts for r in rights]  # noqa: E741
+    for kept in (1 << 20, 400):  # all are kept; some are forgotten on the way
+        monkeypatch.setattr(semantic, "KEPT", kept)
+        sides = semantic._Sides()
+        got = semantic._batch_similarities(sides, [side(g[0]) for g in groups], [side([g[1]]) for g in groups])
+        assert kept < 1000 or len(sides) == len({side(x) for x in lefts} | {side([x]) for x in rights})
+        for (l, r), found in zip(groups, got, strict=True):  # noqa: E741
+            want = _plain_similarities([*l, r])
+            assert len(found) == len(want) and all(abs(a - b) < 2e-6 for a, b in zip(found, want, strict=True)), (l, r)
+
+
+def test_latent_similarity_tokenises_documents_before_they_meet(spark):
+    from docpair.operators import semantic
+
+    docs = spark.createDataFrame([(0, "red fox, blue rod. The old mill"), (1, "blue rod"), (2, None), (3, "the of")], "doc_id long, text string")
+    pairs = spark.createDataFrame([(10 * l + r, l, r) for l in range(4) for r in range(4)], "pair_id long, left_id long, right_id long")  # noqa: E741
+    sections = docs.selectExpr("doc_id", "'whole' as name", "text").unionByName(docs.selectExpr("doc_id", "'again' as name", "text"))
+    for df in (semantic.pair_similarity(pairs, docs, docs), semantic.section_similarity(pairs, sections, docs)):
+        got = {(r["pair_id"], *([r["name"]] if "name" in df.columns else [])): r["similarity"] for r in df.collect()}
+        assert all(0 <= v <= 1 for v in got.values()) and all(v == 0 for k, v in got.items() if k[0] % 10 > 1)
+        assert len(got) == (24 if "name" in df.columns else 16) and {k[1:] for k in got} <= {(), ("whole",), ("again",)}
+        tree = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_extract_all" not in tree[: tree.index("Join")]  # not for each pair
