@@ -8,21 +8,23 @@ over partitions and cut at multiples of the window, without a task that sees the
 window in all, is cut into powers of two, which need no padding.
 
 Ids come from the tokenizers library. A text is cut at places where its word pattern and its normalizing cut in any case:
-ASCII texts into the pattern's words, others at blanks and before signs that end a word. Each task keeps the ids of up to
-twice CACHED pieces it has met last, and hands the library only pieces that are new.
+Latin texts into the pattern's words, which go to the library's model as they are, others at blanks and before signs that
+end a word. Each task keeps the ids of up to twice CACHED words, and as many pieces, it has met last.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import byte_letters
 from .shared import bounded_batches, running_total, stored
 
 WINDOW, OPEN, CACHED = 4096, 16, 120_000
@@ -32,35 +34,31 @@ SPAN = 1 << 20
 PER_PARTITION, MERGED = 1 << 33, 1 << 60
 
 
-#: The words of the vocabulary's pattern where a text is ASCII and in lower case.
-ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII).findall
-#: ASCII signs between a letter and a blank are words of their own.
-ENDING = re.compile(r"([A-Za-z])([!-/:-@\[-`{-~]+)(?=[ \n]|$)")
+def _kept(category: str) -> str:
+    return "".join(c for c in map(chr, range(0x80, 0x180)) if unicodedata.category(c)[0] == category)
 
 
-class Encoder(dict):
-    """The ids of texts under a tokenizers JSON file whose words end at ASCII blanks, as little-endian unsigned 32-bit integers.
+#: Beyond these characters (Latin letters, usual quotes and dashes), normalizing may join characters or the classes below not hold.
+OUTSIDE = re.compile("[^\x00-\u017f\u2010-\u2027\u20ac]").search
+#: The words of the vocabulary's pattern where a text has no others and is in lower case.
+WORDS = re.compile(rf"[a-z{_kept('L')}]+|[0-9{_kept('N')}]|'(?:re|ve|ll|[stmd])|[^ \t-\r\x85\xa0a-z{_kept('L')}0-9{_kept('N')}]+").findall
+#: The letter that stands for each byte.
+LETTERS = dict(enumerate(byte_letters()))
+#: ASCII signs between a letter and a blank are words of their own.
+ENDING = re.compile(r"([A-Za-z])([!-/:-@\[-`{-~]+)(?=[ \n]|$)")
 
-    As a dictionary, it holds the ids of pieces; those met since the last CACHED others are kept, and once more found again.
-    """
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+class _Kept(dict):
+    """The ids of pieces, made by a function; those met since the last CACHED others are kept, and once more found again."""
 
+    def __init__(self, made: Callable[[str], bytes]):
         super().__init__({"": b""})
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.model, self.older = self.library.model, {}
-        self.marked = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.made, self.older = made, {}
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
-            if piece.isascii() and piece.isprintable() and ASCII_WORDS(piece.lower()) == [piece]:  # a word that nothing normalizes
-                ids = array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
-            else:
-                ids = array("I", self.library.encode(piece, add_special_tokens=False).ids).tobytes()
+            ids = self.made(piece)
         if len(piece) <= 64:
             if len(self) >= CACHED:
                 self.older = dict(self)
@@ -68,21 +66,46 @@ class Encoder(dict):
             self[piece] = ids
         return ids
 
-    def pieces(self, text: str) -> list[str]:
+
+class Encoder:
+    """The ids of texts under a tokenizers JSON file whose words end at ASCII blanks, as little-endian unsigned 32-bit integers."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.model = self.library.model
+        self.marked = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.words, self.pieces = _Kept(self._word), _Kept(self._piece)
+
+    def _word(self, word: str) -> bytes:
+        """One word of WORDS: there's nothing to normalize or cut."""
+        if not (word.isascii() and word.isprintable()):  # the bytes that stand for themselves
+            word = word.encode().decode("latin-1").translate(LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        if not OUTSIDE(piece) and WORDS(piece.lower()) == [piece]:
+            return self._word(piece)
+        return array("I", self.library.encode(piece, add_special_tokens=False).ids).tobytes()
+
+    def _part(self, text: str) -> bytes:
         if any(mark in text for mark in self.marked):  # a special token is one word, whatever its signs
-            return text.replace("\n", " ").split(" ")
-        if text.isascii():
-            return ASCII_WORDS(text.lower())
-        return ENDING.sub(r"\1 \2", text).replace("\n", " ").split(" ")
+            return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
+        if not OUTSIDE(text):
+            return b"".join(map(self.words.__getitem__, WORDS(text.lower())))
+        return b"".join(map(self.pieces.__getitem__, ENDING.sub(r"\1 \2", text).replace("\n", " ").split(" ")))
 
     def encode(self, text: str) -> bytes:
-        ids, n = self.__getitem__, len(text)
+        n = len(text)
         if n <= SPAN:
-            return b"".join(map(ids, self.pieces(text)))
+            return self._part(text)
         parts, at = [], 0
         while at < n:
             to = text.find(" ", at + SPAN)
-            parts.append(b"".join(map(ids, self.pieces(text[at : n if to < 0 else to]))))
+            parts.append(self._part(text[at : n if to < 0 else to]))
             at = n if to < 0 else to
         return b"".join(parts)
 

@@ -102,3 +102,24 @@ def test_query_on_the_given_tables(spark, library):
         assert r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes())
         seen += r["length"]
     assert seen == sum(len(ids_of(library, t)) for t in texts.values())
+
+
+def test_latin_texts_are_cut_without_the_library(library):
+    rng = random.Random(6)
+    latin = [*map(chr, range(0x180)), *map(chr, range(0x2010, 0x2028)), "€"]
+    bits = [*latin, *"'\"’–éÉßçñÅİŉſ¼²ª\xad", *(["'s", "'RE", "'ll", "''t", " ", "\n", "\xa0", "mañana", "Ünder", "WÖRTER"] * 30)]
+    texts = [*latin, *(f"a{c}b" for c in latin), *("".join(rng.choices(bits, k=rng.randint(1, 60))) for _ in range(2000))]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    encoder = packing.Encoder(queries.word_vocabulary())
+    encoder.library = None  # only its model is asked
+    for t, ids in zip(texts, want, strict=True):
+        assert np.frombuffer(encoder.encode(t), "<u4").tolist() == ids, repr(t)
+
+
+def test_texts_of_many_scripts_equal_the_library(library):
+    rng = random.Random(7)
+    marks = ["e\u0301", "\u0301", "\u0307", "\u0345", "A\u030a", "\u212b", "\u212a", "\u1100\u1161", "\u0391\u03a3", "\u2126", "\u2c65", "\u1e9e", "\ufb01", "\u0663", "\uff11", "\u4e2d", "\u093e"]
+    bits = [*map(chr, range(0x180, 0x250)), *map(chr, range(0x2000, 0x2070)), *([*marks, *" aZ1!éİ\n ", "'s"] * 5)]
+    encoder = packing.Encoder(queries.word_vocabulary())
+    for t in ("".join(rng.choices(bits, k=rng.randint(1, 30))) for _ in range(2000)):
+        assert np.frombuffer(encoder.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
