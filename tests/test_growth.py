@@ -271,3 +271,32 @@ def test_latent_similarity_tokenises_documents_before_they_meet(spark):
         assert len(got) == (24 if "name" in df.columns else 16) and {k[1:] for k in got} <= {(), ("whole",), ("again",)}
         tree = df._jdf.queryExecution().optimizedPlan().toString()
         assert "regexp_extract_all" not in tree[: tree.index("Join")]  # not for each pair
+
+
+def test_skills_of_a_small_dictionary_are_found_in_the_row_as_by_joins(spark, monkeypatch):
+    words = spark.createDataFrame([*SKILL_WORDS, ("Rod end cap", "cap", "w", "any"), ("Go", "go", "v", "exact"), ("rings", "ring", None, "drop"), ("a b c d e", "long", "u", "any")], "surface string, canonical string, category string, policy string")
+    texts = ["Red bolt's blue rod end caps; go, Go go rings red", "Requirements:\n- go\nMust-have: x\nRod. Rod end\ncap\n\nNice-to-have!\n- Go a b c d e\nAbout us\nbolts", "ÉRod rod# red bolts", "", " \n ", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    queries = lambda: [spans.posting_skills(docs, words), spans.profile_skills(docs, words), spans.skills(docs, words)]
+    of = lambda dfs: [sorted((tuple(r) for r in df.collect()), key=str) for df in dfs]
+    in_rows = queries()
+    for df in in_rows:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan and "Repartition" not in plan
+    got = of(in_rows)
+    monkeypatch.setattr(spans, "IN_ROW", 0)
+    assert got == of(queries()) and (0, "go", "v", 1) in got[2] and (1, "cap", "w", 1, "required") in got[0] and all(got)
+
+
+def test_the_sentence_of_a_degree_begins_at_its_own_line(spark):
+    from docpair.operators import dates
+
+    docs = spark.createDataFrame([(1, "We pay well\nBachelor degree required."), (2, "A. An MBA (Bachelor) is\nfine, preferred"), (3, "mabachelor, required")], "doc_id long, text string")
+    assert {r["doc_id"]: r["phrase"] for r in dates.asked_degree(docs).collect()} == {1: "Bachelor degree required.", 2: "An MBA (Bachelor) is", 3: None}
+
+
+def test_a_query_has_only_the_features_it_needs(spark):
+    from docpair.plans import analysis
+
+    rows = analysis._gap_rows(spark, "/root/testdata/sf0.001")
+    assert {"years", "required_years", "level", "degree_phrase"} <= set(rows.columns) and not {"matches", "compared", "cosine", "n_verbs", "employer"} & set(rows.columns)
