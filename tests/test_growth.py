@@ -300,3 +300,38 @@ def test_a_query_has_only_the_features_it_needs(spark):
 
     rows = analysis._gap_rows(spark, "/root/testdata/sf0.001")
     assert {"years", "required_years", "level", "degree_phrase"} <= set(rows.columns) and not {"matches", "compared", "cosine", "n_verbs", "employer"} & set(rows.columns)
+
+
+def test_recommendations_rest_on_the_whole_method(spark):
+    """Latent similarities of texts and sections, fuzzy matches, certificates and density, where other measures and fixed values stood; equal to the queries that give each."""
+    from docpair.operators import comparing
+    from docpair.plans import analysis, derived, features
+
+    sf = "/root/testdata/sf0.001"
+    made = analysis._advised(spark, sf).select("pair_id", "left_id", "similarity", "own_sections", "section_similarity", "partial", "certificates", "asked_certificates", "density", "density_band")
+    rows = {r["pair_id"]: r for r in made.collect()}
+    latent = {r["pair_id"]: r["similarity"] for r in analysis.QUERIES["latent_similarity"](spark, sf).collect()}
+    assert len(latent) == len(rows) and all(abs(latent[k] - r["similarity"]) < 2e-6 for k, r in rows.items())
+    sections = {(r["pair_id"], r["name"]): r["similarity"] for r in analysis.QUERIES["latent_section_similarity"](spark, sf).collect()}
+    own = {(k, s["name"]): s["similarity"] for k, r in rows.items() for s in r["own_sections"] if s["present"]}
+    assert own.keys() == sections.keys() and all(abs(own[k] - sections[k]) < 2e-6 for k in own)
+    assert all(r["section_similarity"] == own.get((k, "experience"), 0.0) for k, r in rows.items())
+    partly: dict = {}
+    for r in analysis.QUERIES["fuzzy_skill_matches"](spark, sf).where("status = 'partial' and similarity < 0.98").collect():
+        partly.setdefault(r["pair_id"], set()).add(f"'{r['other']}' -> '{r['skill']}'")
+    assert partly and {k: set(r["partial"]) for k, r in rows.items() if r["partial"]} == partly
+    by_left = {r["left_id"]: r for r in rows.values()}
+    assert {n for r in by_left.values() for n in r["certificates"]} >= {"Certified fork lift driver", "Best clerk", "priority clerk"}
+    assert all(r["certificates"] == ["Certified fork lift driver"] for k, r in by_left.items() if k % 3 == 0)
+    profiles = features.written(derived.profiles(spark, sf))
+    cover = {r["doc_id"]: (r["density"], r["band"]) for r in comparing.keyword_cover(profiles, comparing.top_terms(profiles).select("doc_id", F.col("tok").alias("term"))).collect()}
+    assert all(cover[k] == (r["density"], r["density_band"]) for k, r in by_left.items())
+
+
+def test_names_are_found_in_the_row_as_by_joins(spark, monkeypatch):
+    names = spark.createDataFrame([("red bolt",), ("red",), ("bolt ring",), ("Rod",)], "surface string")
+    docs = spark.createDataFrame([(1, "Rods, red bolt ring; RED. rod"), (2, "none"), (3, None)], "doc_id long, text string")
+    of = lambda: {r["doc_id"]: r["names"] or [] for r in spans.with_mentions(docs, F.col("text"), names).collect()}
+    assert of() == {1: ["Rod", "red bolt", "red"], 2: [], 3: []}
+    monkeypatch.setattr(spans, "IN_ROW", 0)
+    assert of() == {1: ["Rod", "red bolt", "red"], 2: [], 3: []}
