@@ -335,3 +335,31 @@ def test_names_are_found_in_the_row_as_by_joins(spark, monkeypatch):
     assert of() == {1: ["Rod", "red bolt", "red"], 2: [], 3: []}
     monkeypatch.setattr(spans, "IN_ROW", 0)
     assert of() == {1: ["Rod", "red bolt", "red"], 2: [], 3: []}
+
+
+def test_soft_skills_are_found_in_the_row_as_by_joins(spark, monkeypatch):
+    words = spark.createDataFrame([("team work", "teamwork"), ("Teamwork", "teamwork"), ("communication", "communication"), ("look for  people", "recruiting"), ("red", "none")], "surface string, canonical string")
+    docs = spark.createDataFrame([(1, "Dreamteam\nworkers commune"), (2, "We look for people, teams"), (3, None), (4, "red")], "doc_id long, text string")
+    df = spans.soft_skills(docs, words)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    got = {tuple(r) for r in df.collect()}
+    assert got == {(1, "teamwork"), (1, "communication"), (2, "recruiting"), (2, "teamwork")}
+    monkeypatch.setattr(spans, "SOFT_IN_ROW", 0)
+    assert {tuple(r) for r in spans.soft_skills(docs, words).collect()} == got
+
+
+def test_checks_of_a_profile_are_made_once_for_it(spark):
+    from docpair.plans import analysis
+
+    rows = analysis._advised(spark, "/root/testdata/sf0.001")
+    plan = rows.select("pair_id", "failed")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_count" not in plan.lower() and "RegExpCount" not in plan
+    of = {r["doc_id"]: [n for n, w in scoring_checks() if w > 1 and n != "keyword_density" and not r[n]] for r in analysis.QUERIES["profile_checks"](spark, "/root/testdata/sf0.001").collect()}
+    assert all([f["name"] for f in r["failed"] if f["name"] != "keyword_density"] == of[r["left_id"]] for r in rows.select("left_id", "failed").collect())
+
+
+def scoring_checks():
+    from docpair.operators import scoring
+
+    return scoring.CHECKS.items()
