@@ -351,3 +351,18 @@ def test_empty_and_repeated_labels(spark, odd):
             assert scored.where("score between 0 and 1").count() == len(odd) and "lang" in scored.columns
     assert toxicity.with_toxicity(docs.limit(0), toxicity.learn(docs.limit(0), none)).count() == 0
     assert quality.with_quality(docs.limit(0), quality.learn(docs.limit(0), none)).count() == 0
+
+
+def test_copies_of_whole_documents_are_not_listed(spark, monkeypatch):
+    """A text that a smaller document has goes as a whole, and the passes over the texts skip it."""
+    text = " ".join(f"stone {i * i} rivers" for i in range(40))
+    rows = [(5, text), (3, text), (9, text), (None, "x" * 60), (7, "x" * 60), (3, text), (4, "Before it " + text[:200]), (8, "short"), (1, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.drop_repeated_strings(docs).collect()), key=str)
+    n = len(text)
+    want = [(5, n, n, 1), (3, n, 0, 0), (9, n, n, 1), (None, 60, 0, 0), (7, 60, 60, 1), (3, n, 0, 0), (4, 210, 200, 1), (8, 5, 0, 0), (1, 5, 0, 0)]
+    assert got == sorted(want, key=str)
+    long = docs.where(F.octet_length("text") >= 50).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), F.col("text").alias("t")).withColumn("print", F.xxhash64("t")).withColumn("own", F.xxhash64("doc", "print"))
+    copies, asked = suffix_dedup.copies_of(long)
+    assert sorted(r["doc"] for r in copies.collect()) == [5, 7, 9]
+    assert set(suffix_dedup._asked(long.toPandas(), asked)["doc"]) == {3, 4, -(2**63)}
